@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,35 +20,77 @@ from graphtrust.llm.common import id_text, map_rows
 
 #: Documents of the training sample at most; hashed features; rounds of either fit; score from which a document is kept.
 SAMPLE_DOCS, BUCKETS, EM_ROUNDS, FIT_ROUNDS, KEEP_AT = 4000, 1 << 14, 60, 80, 0.5
+#: Words of which a Python worker remembers the facts.
+CACHE_WORDS = 200_000
 _ODD = re.compile(r"[!$*%#&|@<>{}\[\]\\^~=_]")
 _TAIL = re.compile(r"([^\w\s])\1+[.,]?$")
 LABELLERS = 10
-_SHAPES = str.maketrans({**{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "9" for c in "0123456789"}})
+
+
+class _Words(dict):
+    """The class of each word, made at first sight: words of equal facts share one, so the facts' table stays small.
+
+    Facts: characters, letters, capitals, upper-cased word, symbols, has a symbol, repeated symbol at the end, is a bar; then the bucket of its shape.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.classes: dict[tuple, int] = {}
+        self.simple: dict[tuple, int] = {}
+        self.facts = np.zeros((1024, 9), np.int32)
+
+    def __missing__(self, word: str) -> int:
+        core = word.rstrip(".,;:?")
+        if core.isalpha() and (core.islower() or core.istitle()):  # most words, told from a few facts
+            key = (len(core), core.islower(), word[len(core) :])
+            n = self.simple.get(key)
+            if n is None:
+                n = self.simple[key] = self._class(word)
+        else:
+            n = self._class(word)
+        self[word] = n
+        return n
+
+    def _class(self, word: str) -> int:
+        facts = self._facts(word)
+        n = self.classes.setdefault(facts, len(self.classes))
+        if n >= len(self.facts):
+            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
+        self.facts[n] = facts
+        return n
+
+    @staticmethod
+    def _facts(word: str) -> tuple:
+        letters, capitals, symbols = sum(map(str.isalpha, word)), sum(map(str.isupper, word)), len(_ODD.findall(word))
+        shape = re.sub(r"(.)\1+", r"\1\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:256]))
+        bucket = zlib.crc32(shape.encode("utf-8", "replace")) % (BUCKETS - 64) + 64
+        return len(word), letters, capitals, 1 < capitals == letters, symbols, symbols > 0, _TAIL.search(word) is not None, word == "|", bucket
+
+
+_words = _Words()
 
 
 class Profile:
     """Counts that labellers and features share, over the whole text."""
 
     def __init__(self, text: str):
-        self.words = text.split()
-        self.n = len(self.words)
-        self.counts = Counter(self.words)
-        self.pairs = len(set(zip(self.words, self.words[1:], strict=False)))
-        self.repeats = sum(a == b for a, b in zip(self.words, self.words[1:], strict=False))
-        self.chars = self.symbols = self.letters = self.capitals = self.upper = self.odd = self.tails = self.stops = 0
-        for w, k in self.counts.items():
-            self.chars += k * len(w)
-            capitals = sum(map(str.isupper, w))
-            letters = sum(map(str.isalpha, w))
-            self.letters += k * letters
-            self.capitals += k * capitals
-            self.upper += k * (capitals > 1 and capitals == letters)
-            symbols = len(_ODD.findall(w))
-            self.symbols += k * symbols
-            self.odd += k * (symbols > 0)
-            self.tails += k * (_TAIL.search(w) is not None)
-            self.stops += k * (w[-1] in ".!?,;:")
-        self.bars = self.counts.get("|", 0)
+        words = text.split()
+        self.n = len(words)
+        totals, shapes = np.zeros(8, np.int64), []
+        for at in range(0, self.n, CACHE_WORDS):  # once, but for a giant text
+            if len(_words) + min(self.n, CACHE_WORDS) > 2 * CACHE_WORDS:
+                _words.clear()
+            if len(_words.classes) > CACHE_WORDS:
+                _words.__init__()
+            kinds = np.fromiter(map(_words.__getitem__, words[at : at + CACHE_WORDS]), np.int64)
+            facts = _words.facts[kinds]
+            totals += facts[:, :8].sum(axis=0, dtype=np.int64)
+            shapes.append(facts[:, 8])
+        self.chars, self.letters, self.capitals, self.upper, self.symbols, self.odd, self.tails, self.bars = totals.tolist()
+        self.buckets = np.concatenate(shapes) if shapes else np.zeros(0, np.int32)
+        self.distinct = len(set(words))
+        self.pairs = len(set(zip(words, words[1:], strict=False)))
+        self.repeats = sum(map(str.__eq__, words, words[1:]))
 
 
 def votes(p: Profile) -> list[int]:
@@ -68,9 +109,9 @@ def votes(p: Profile) -> list[int]:
         share(p.capitals, p.letters, 0.2, 0.35, 5),
         share(p.repeats, p.n, 0.08, 0.2, 8),
         share(p.n - 1 - p.pairs, p.n, 0.3, 0.5, 20),
-        share(p.n - len(p.counts), p.n, 0.8, 0.92, 40) if p.n < 500 else 0,
+        share(p.n - p.distinct, p.n, 0.8, 0.92, 40) if p.n < 500 else 0,
         share(p.bars, p.n, 0.01, 0.08, 8),
-        share(p.chars - p.letters, p.chars, 0.12, 0.3),
+        share(p.chars - p.letters, p.chars, 0.15, 0.45),
     ]
 
 
@@ -104,33 +145,13 @@ def weak_labels(counts: dict[int, int]) -> tuple[dict[int, float], np.ndarray]:
     return dict(zip(codes.tolist(), good.tolist(), strict=True)), confusion
 
 
-_shape_cache: dict[str, int] = {}
-
-
-def _bucket(word: str) -> int:
-    """Hashed shape: runs of one kind of character shortened to two, so few shapes cover all words."""
-    b = _shape_cache.get(word)
-    if b is None:
-        if len(_shape_cache) > 200_000:
-            _shape_cache.clear()
-        shape = re.sub(r"(.)\1+", r"\1\1", "".join("A" if c.isupper() else "a" if c.isalpha() else c for c in word[:256].translate(_SHAPES)))
-        _shape_cache[word] = b = zlib.crc32(shape.encode("utf-8", "replace")) % (BUCKETS - 64) + 64
-    return b
-
-
-def features(p: Profile) -> dict[int, float]:
-    """Hashed features, of unit length: shares of word shapes, and tenths of some shares as indicators in the first buckets."""
-    held: dict[int, float] = {}
-    for w, k in p.counts.items():
-        b = _bucket(w)
-        held[b] = held.get(b, 0.0) + k
-    out = {b: (k / p.n) ** 0.5 for b, k in held.items()}
-    for k, x in enumerate((p.odd, p.upper, p.repeats, p.bars, p.tails)):
-        out[11 * k + min(10, int(20 * x / max(1, p.n)))] = 1.0
-    out[55 + min(4, int(10 * len(p.counts) / max(1, min(p.n, 400))))] = 1.0
-    out[60 + (p.n == 0)] = 1.0
-    scale = sum(v * v for v in out.values()) ** 0.5
-    return {b: v / scale for b, v in out.items()}
+def features(p: Profile) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, values), of unit length: shares of word shapes, hashed, and twentieths of some shares as indicators in the first buckets."""
+    shapes, counts = np.unique(p.buckets, return_counts=True)
+    marks = [11 * k + min(10, int(20 * x / max(1, p.n))) for k, x in enumerate((p.odd, p.upper, p.repeats, p.bars, p.tails))]
+    marks += [55 + min(4, int(5 * p.distinct / max(1, min(p.n, 400)))), 60 + (p.n == 0)]
+    values = np.concatenate([np.ones(len(marks)), np.sqrt(counts / max(1, p.n))])
+    return np.concatenate([marks, shapes]).astype(np.int64), values / np.sqrt((values**2).sum())
 
 
 def fit_scorer(rows: list[tuple[list[int], list[float], float]]) -> np.ndarray:
@@ -168,8 +189,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     def fn(ids, texts):
         for i, t in zip(ids, texts, strict=True):
             p = Profile(t)
-            f = features(p)
-            yield i, pattern(votes(p)), list(f), list(f.values())
+            buckets, values = features(p)
+            yield i, pattern(votes(p)), buckets.tolist(), values.tolist()
 
     sample = rows.orderBy(F.xxhash64("id", F.length("txt")), "id").limit(SAMPLE_DOCS)
     got = sorted(map_rows(sample, fn, schema).collect(), key=lambda r: (r["id"] is not None, r["id"], r["buckets"]))
@@ -198,7 +219,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model
 def judged(text: str, good: dict[int, float], w: np.ndarray) -> tuple[int, float, float, bool]:
     p = Profile(text)
     v = votes(p)
-    total = float(w[BUCKETS]) + sum(float(w[b]) * x for b, x in features(p).items())
+    buckets, values = features(p)
+    total = float(w[BUCKETS] + w[buckets] @ values)
     s = 1 / (1 + float(np.exp(-max(-40.0, min(40.0, total)))))
     return v.count(1), good.get(pattern(v), 0.5), s, s >= KEEP_AT
 
