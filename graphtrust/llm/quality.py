@@ -1,96 +1,85 @@
 """Quality classifier: a weak-label model over heuristic labellers, and a hashed linear scorer trained on its posteriors.
 
-Pass 1 takes each labeller's vote on every document and counts the vote patterns (at most 3 ** labellers of them) in
-Spark; expectation-maximisation over all patterns estimates each labeller's confusion and the share of good documents.
-Pass 2 trains a logistic scorer over hashed shape features on the posteriors of a bounded sample (SAMPLE_DOCS), and pass 3
+One pass over the texts writes each document's votes and hashed shape features. The vote patterns (at most 3 **
+labellers of them) are counted in Spark; expectation-maximisation over all of them estimates each labeller's confusion and
+the share of good documents. A logistic scorer is trained on the posteriors of a bounded sample (SAMPLE_DOCS) and
 scores every document. The labels table is used for held-out accuracy only.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphtrust.llm.common import id_text, map_rows
+from graphtrust.llm.common import id_text, map_rows, small_batches
+from graphtrust.runtime import spill
 
 #: Documents of the training sample at most; hashed features; rounds of either fit; score from which a document is kept.
 SAMPLE_DOCS, BUCKETS, EM_ROUNDS, FIT_ROUNDS, KEEP_AT = 4000, 1 << 14, 60, 80, 0.5
-#: Words of which a Python worker remembers the facts.
-CACHE_WORDS = 200_000
-_ODD = re.compile(r"[!$*%#&|@<>{}\[\]\\^~=_]")
-_TAIL = re.compile(r"([^\w\s])\1+[.,]?$")
 LABELLERS = 10
 
 
-class _Words(dict):
-    """The class of each word, made at first sight: words of equal facts share one, so the facts' table stays small.
+def _kinds() -> np.ndarray:
+    """The kind of each byte: 0 white space, 1 lower, 2 upper, 3 digit, 4 starts another letter, 5 goes on with one, else itself."""
+    kinds = np.arange(256, dtype=np.uint8)
+    for k, span in ((0, (*range(9, 14), 32)), (1, range(97, 123)), (2, range(65, 91)), (3, range(48, 58)), (4, range(192, 256)), (5, range(128, 192))):
+        kinds[list(span)] = k
+    kinds[[k for k in range(32) if kinds[k]]] = 6
+    return kinds
 
-    Facts: characters, letters, capitals, upper-cased word, symbols, has a symbol, repeated symbol at the end, is a bar; then the bucket of its shape.
-    """
 
-    def __init__(self):
-        super().__init__()
-        self.classes: dict[tuple, int] = {}
-        self.simple: dict[tuple, int] = {}
-        self.facts = np.zeros((1024, 9), np.int32)
-
-    def __missing__(self, word: str) -> int:
-        core = word.rstrip(".,;:?")
-        if core.isalpha() and (core.islower() or core.istitle()):  # most words, told from a few facts
-            key = (len(core), core.islower(), word[len(core) :])
-            n = self.simple.get(key)
-            if n is None:
-                n = self.simple[key] = self._class(word)
-        else:
-            n = self._class(word)
-        self[word] = n
-        return n
-
-    def _class(self, word: str) -> int:
-        facts = self._facts(word)
-        n = self.classes.setdefault(facts, len(self.classes))
-        if n >= len(self.facts):
-            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
-        self.facts[n] = facts
-        return n
-
-    @staticmethod
-    def _facts(word: str) -> tuple:
-        letters, capitals, symbols = sum(map(str.isalpha, word)), sum(map(str.isupper, word)), len(_ODD.findall(word))
-        shape = re.sub(r"(.)\1+", r"\1\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:256]))
-        bucket = zlib.crc32(shape.encode("utf-8", "replace")) % (BUCKETS - 64) + 64
-        return len(word), letters, capitals, 1 < capitals == letters, symbols, symbols > 0, _TAIL.search(word) is not None, word == "|", bucket
-
-
-_words = _Words()
+_KIND = _kinds()
+_POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
+_IS_ODD = np.isin(np.arange(256), np.frombuffer(b"!$*%#&|@<>{}[]\\^~=_", np.uint8))
 
 
 class Profile:
-    """Counts that labellers and features share, over the whole text."""
-
-    def __init__(self, text: str):
-        words = text.split()
-        self.n = len(words)
-        totals, shapes = np.zeros(8, np.int64), []
-        for at in range(0, self.n, CACHE_WORDS):  # once, but for a giant text
-            if len(_words) + min(self.n, CACHE_WORDS) > 2 * CACHE_WORDS:
-                _words.clear()
-            if len(_words.classes) > CACHE_WORDS:
-                _words.__init__()
-            kinds = np.fromiter(map(_words.__getitem__, words[at : at + CACHE_WORDS]), np.int64)
-            facts = _words.facts[kinds]
-            totals += facts[:, :8].sum(axis=0, dtype=np.int64)
-            shapes.append(facts[:, 8])
-        self.chars, self.letters, self.capitals, self.upper, self.symbols, self.odd, self.tails, self.bars = totals.tolist()
-        self.buckets = np.concatenate(shapes) if shapes else np.zeros(0, np.int32)
-        self.distinct = len(set(words))
-        self.pairs = len(set(zip(words, words[1:], strict=False)))
-        self.repeats = sum(map(str.__eq__, words, words[1:]))
+    """Counts that labellers and features share, over the whole text (UTF-8), in numpy."""
+
+    def __init__(self, text: bytes):
+        raw = np.frombuffer(text, np.uint8)
+        kind = _KIND[raw]
+        solid = np.flatnonzero(kind)
+        self.n = self.distinct = self.pairs = self.repeats = 0
+        self.chars = self.letters = self.capitals = self.upper = self.symbols = self.odd = self.tails = self.bars = 0
+        self.buckets = np.zeros(0, np.int64)
+        if not len(solid):
+            return
+        raw, kind = raw[solid], kind[solid]
+        begins = np.concatenate([[True], np.diff(solid) > 1])
+        first = np.flatnonzero(begins)
+        self.n = len(first)
+        word = np.cumsum(begins) - 1
+        size = np.diff(np.concatenate([first, [len(raw)]]))
+        place = (np.arange(len(raw)) - first[word]) & (len(_POWERS) - 1)
+        counted = lambda mask: np.bincount(word[mask], minlength=self.n)
+        upper, symbol = counted(kind == 2), counted(_IS_ODD[raw])
+        self.chars, self.capitals, self.symbols = len(raw) - np.count_nonzero(kind == 5), int(upper.sum()), int(symbol.sum())
+        self.letters = self.capitals + np.count_nonzero(kind == 1) + np.count_nonzero(kind == 4)
+        if self.capitals:
+            self.upper = int(((upper > 1) & (counted(kind == 1) == 0)).sum())
+        self.odd = np.count_nonzero(symbol)
+        last = first + size - 1
+        last -= (size > 2) & ((raw[last] == 44) | (raw[last] == 46))  # a comma or stop may follow
+        self.tails = int(((size > 1) & (raw[last] == raw[last - 1]) & (kind[last] > 6)).sum())
+        self.bars = int(((size == 1) & (raw[first] == 124)).sum())
+        names = np.add.reduceat(raw.astype(np.uint64) * _POWERS[place], first)
+        self.distinct = len(set(names.tolist()))
+        self.repeats = int((names[1:] == names[:-1]).sum())
+        self.pairs = len(set((names[1:] * np.uint64(0xC2B2AE3D27D4EB4F) + names[:-1]).tolist()))
+        # shapes: runs of one kind shortened to two, then hashed
+        kept = kind != 5
+        kind, word, begins = kind[kept], word[kept], begins[kept]
+        same = np.concatenate([[False], (kind[1:] == kind[:-1]) & (word[1:] == word[:-1])])
+        kept = ~(same & np.concatenate([[False], same[:-1]]))
+        kind, word = kind[kept], word[kept]
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        place = np.arange(len(word)) - np.repeat(first, np.diff(np.concatenate([first, [len(word)]])))
+        shapes = np.add.reduceat((kind.astype(np.uint64) + np.uint64(1)) * _POWERS[place & (len(_POWERS) - 1)], first)
+        self.buckets = ((shapes >> np.uint64(20)) % np.uint64(BUCKETS - 64)).astype(np.int64) + 64
 
 
 def votes(p: Profile) -> list[int]:
@@ -147,7 +136,9 @@ def weak_labels(counts: dict[int, int]) -> tuple[dict[int, float], np.ndarray]:
 
 def features(p: Profile) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, values), of unit length: shares of word shapes, hashed, and twentieths of some shares as indicators in the first buckets."""
-    shapes, counts = np.unique(p.buckets, return_counts=True)
+    counts = np.bincount(p.buckets, minlength=1)
+    shapes = np.flatnonzero(counts)
+    counts = counts[shapes]
     marks = [11 * k + min(10, int(20 * x / max(1, p.n))) for k, x in enumerate((p.odd, p.upper, p.repeats, p.bars, p.tails))]
     marks += [55 + min(4, int(5 * p.distinct / max(1, min(p.n, 400)))), 60 + (p.n == 0)]
     values = np.concatenate([np.ones(len(marks)), np.sqrt(counts / max(1, p.n))])
@@ -174,69 +165,66 @@ def fit_scorer(rows: list[tuple[list[int], list[float], float]]) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[int, float], np.ndarray]:
-    """(posterior of each vote pattern over all documents, scorer weights)."""
-    rows = id_text(docs, id_col, text_col)
-    one = T.StructType([T.StructField("pattern", T.IntegerType())])
-    voted = map_rows(rows.select("txt"), lambda texts: ((pattern(votes(Profile(t))),) for t in texts), one)
-    counts = {r["pattern"]: r["count"] for r in voted.groupBy("pattern").count().collect()}  # at most 3 ** LABELLERS
-    good, _ = weak_labels(counts)
-    schema = T.StructType([
-        T.StructField("id", T.LongType()), T.StructField("pattern", T.IntegerType()),
-        T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.DoubleType())),
-    ])
+_PROFILE = T.StructType([
+    T.StructField("id", T.LongType()), T.StructField("pattern", T.IntegerType()), T.StructField("bad", T.IntegerType()), T.StructField("draw", T.LongType()),
+    T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.DoubleType())),
+])
+
+
+def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, pattern, bad, draw, buckets, values) of each row, written: votes, a hash to draw samples by, and features."""
 
     def fn(ids, texts):
         for i, t in zip(ids, texts, strict=True):
             p = Profile(t)
-            buckets, values = features(p)
-            yield i, pattern(votes(p)), buckets.tolist(), values.tolist()
+            v, (buckets, values) = votes(p), features(p)
+            yield i, pattern(v), v.count(1), xxhash.xxh3_64_intdigest(t) >> 1, buckets.tolist(), values.tolist()
 
-    sample = rows.orderBy(F.xxhash64("id", F.length("txt")), "id").limit(SAMPLE_DOCS)
-    got = sorted(map_rows(sample, fn, schema).collect(), key=lambda r: (r["id"] is not None, r["id"], r["buckets"]))
-    return good, fit_scorer([(r["buckets"], r["values"], good.get(r["pattern"], 0.5)) for r in got])
+    return spill(map_rows(id_text(docs, id_col, text_col), fn, _PROFILE, as_bytes=True), "profiles")
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model=None) -> DataFrame:
+def train(profiled: DataFrame) -> tuple[dict[int, float], np.ndarray]:
+    """(posterior of each vote pattern over all documents, scorer weights)."""
+    counts = {r["pattern"]: r["count"] for r in profiled.groupBy("pattern").count().collect()}  # at most 3 ** LABELLERS
+    good, _ = weak_labels(counts)
+    sample = profiled.orderBy("draw", "id").limit(SAMPLE_DOCS).select("pattern", "buckets", "values").collect()
+    return good, fit_scorer([(r["buckets"], r["values"], good[r["pattern"]]) for r in sample])
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bad_votes, posterior, score, keep) of each row: the weak label's and the scorer's probability of good.
 
     A null text is empty, and an empty text is bad by vote; repeated rows score alike; other columns are ignored; an empty
     table gives no rows.
     """
-    good, w = model or train(docs, id_col, text_col)
+    profiled = profiles(docs, id_col, text_col)
+    good, w = train(profiled)
     schema = T.StructType([
         T.StructField("id", T.LongType()), T.StructField("n_bad_votes", T.IntegerType()),
         T.StructField("posterior", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("keep", T.BooleanType()),
     ])
 
-    def fn(ids, texts):
-        for i, t in zip(ids, texts, strict=True):
-            yield i, *judged(t, good, w)
+    def fn(ids, patterns, bad, buckets, values):
+        for i, code, n, b, v in zip(ids, patterns, bad, buckets, values, strict=True):
+            s = _logistic(w, np.array(b, int), np.array(v))
+            yield i, n, good[code], s, s >= KEEP_AT
 
-    return map_rows(id_text(docs, id_col, text_col), fn, schema)
+    return map_rows(profiled.select("id", "pattern", "bad", "buckets", "values"), fn, schema)
 
 
-def judged(text: str, good: dict[int, float], w: np.ndarray) -> tuple[int, float, float, bool]:
-    p = Profile(text)
-    v = votes(p)
-    buckets, values = features(p)
+def _logistic(w: np.ndarray, buckets: np.ndarray, values: np.ndarray) -> float:
     total = float(w[BUCKETS] + w[buckets] @ values)
-    s = 1 / (1 + float(np.exp(-max(-40.0, min(40.0, total)))))
-    return v.count(1), good.get(pattern(v), 0.5), s, s >= KEEP_AT
+    return float(1 / (1 + np.exp(-max(-40.0, min(40.0, total)))))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, all columns, whose score is KEEP_AT or more."""
-    import pyarrow as pa
-
-    from graphtrust.llm.common import small_batches
-
-    good, w = train(docs, id_col, text_col)
+    """The rows of docs, all columns, whose score is KEEP_AT or more. Texts are read once to train and once to filter; nothing is shuffled."""
+    _, w = train(profiles(docs, id_col, text_col))
     names = docs.columns
 
     def run(batches):
         for batch in batches:
             texts = batch.columns[names.index(text_col)].to_pylist()
-            yield batch.filter(pa.array([judged(t or "", good, w)[3] for t in texts], pa.bool_()))
+            yield batch.filter(pa.array([_logistic(w, *features(Profile((t or "").encode()))) >= KEEP_AT for t in texts], pa.bool_()))
 
     return small_batches(docs).mapInArrow(run, docs.schema)
