@@ -2,5 +2,643 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from graphtrust.functions import labels as L
+from graphtrust.functions import stats, text
+from graphtrust.functions.stats import fixed
+from graphtrust.operators import edges as E
+from graphtrust.operators import graph as G
+from graphtrust.operators import ranking as R
+from graphtrust.operators import scores as S
+from graphtrust.operators.components import connected_components
+from graphtrust.plans import project as P
+from graphtrust.runtime import table
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, views: bool = True):
+    """Register a query by its name; sql: the rest of a WITH that begins with the projection's views, or whole where views is False."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = f"WITH {P.SQL}{sql}" if views else sql
+        return f
+
+    return put
+
+
+def weighted(spark, sf: str) -> DataFrame:
+    e = P.edges(spark, sf)
+    return E.weighted_edges(e, P.semantics(e))
+
+
+
+
+def r6(x: str) -> str:
+    return f"floor(({x})::DOUBLE * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE"
+
+
+def r9(x: str) -> str:
+    return f"floor(({x})::DOUBLE * 1000000000.0::DOUBLE + 0.5::DOUBLE) / 1000000000.0::DOUBLE"
+
+
+# ---- ingest and edges
+
+
+@query("SELECT edge_id, src, dst FROM edges")
+def sha1_edge_ids(spark, sf):
+    return P.edges(spark, sf)
+
+
+@query(", held AS (SELECT id FROM nodes WHERE community < 'Brand#4') SELECT edge_id, src, dst FROM edges WHERE src IN (SELECT id FROM held) AND dst IN (SELECT id FROM held)")
+def closed_world(spark, sf):
+    return E.closed_world(P.edges(spark, sf), P.nodes(spark, sf).filter("community < 'Brand#4'"))
+
+
+@query("SELECT edge_id, src, dst, reciprocal FROM flagged")
+def reciprocal_edges(spark, sf):
+    return E.with_reciprocal(P.edges(spark, sf)).select("edge_id", "src", "dst", "reciprocal")
+
+
+@query("SELECT edge_id, src, dst, intent, weight, confidence, typed FROM weighted")
+def weighted_edges(spark, sf):
+    return weighted(spark, sf)
+
+
+@query("SELECT edge_id, src_community, dst_community, internal FROM flagged")
+def community_edges(spark, sf):
+    return E.with_communities(P.edges(spark, sf), P.nodes(spark, sf)).select("edge_id", "src_community", "dst_community", "internal")
+
+
+@query("SELECT n.id, coalesce(o.d, 0)::BIGINT AS out_degree, coalesce(i.d, 0)::BIGINT AS in_degree, (coalesce(o.d, 0) + coalesce(i.d, 0))::BIGINT AS degree FROM nodes n LEFT JOIN outdeg o USING (id) LEFT JOIN indeg i USING (id)")
+def degrees(spark, sf):
+    return E.degrees(P.edges(spark, sf), P.nodes(spark, sf))
+
+
+_DEGREES = ", deg AS (SELECT n.id, n.community, coalesce(o.d, 0)::BIGINT AS o, coalesce(i.d, 0)::BIGINT AS i, (coalesce(o.d, 0) + coalesce(i.d, 0))::BIGINT AS d FROM nodes n LEFT JOIN outdeg o USING (id) LEFT JOIN indeg i USING (id))"
+
+
+@query(_DEGREES + f"""
+    SELECT count(*) AS n_nodes, sum(o)::BIGINT AS n_edges, {r6('avg(d)')} AS mean_degree, max(d) AS max_degree, list_sort(list(d))[(count(*) // 2 + 1)::INTEGER] AS upper_median,
+        count(*) FILTER (WHERE o > 0 AND i > 0) AS both_ways, count(*) FILTER (WHERE o = 0 AND i > 0) AS sinks, count(*) FILTER (WHERE o > 0 AND i = 0) AS sources, count(*) FILTER (WHERE d = 0) AS isolates,
+        (sum(o) > 2 * count(*) AND count(*) FILTER (WHERE d = 0) = 0 AND count(*) FILTER (WHERE o > 0 AND i > 0) * 2 > count(*)) AS pass FROM deg""")
+def degree_profile(spark, sf):
+    n = lambda c: F.count_if(c)
+    o, i, d = F.col("out_degree"), F.col("in_degree"), F.col("degree")
+    return E.degrees(P.edges(spark, sf), P.nodes(spark, sf)).agg(
+        F.count("*").alias("n_nodes"), F.sum("out_degree").alias("n_edges"), fixed(F.avg("degree")).alias("mean_degree"), F.max("degree").alias("max_degree"), stats.upper_median("degree").alias("upper_median"),
+        n((o > 0) & (i > 0)).alias("both_ways"), n((o == 0) & (i > 0)).alias("sinks"), n((o > 0) & (i == 0)).alias("sources"), n(d == 0).alias("isolates"),
+        ((F.sum(o) > 2 * F.count("*")) & (n(d == 0) == 0) & (n((o > 0) & (i > 0)) * 2 > F.count("*"))).alias("pass"),
+    )
+
+
+@query(_DEGREES + "SELECT CASE WHEN d = 0 THEN -1 ELSE length(CAST(d AS VARCHAR)) - 1 END AS decade, count(*) AS n FROM deg GROUP BY 1")
+def decade_histogram(spark, sf):
+    decade = F.when(F.col("degree") == 0, -1).otherwise(F.length(F.col("degree").cast("string")) - 1)
+    return E.degrees(P.edges(spark, sf), P.nodes(spark, sf)).groupBy(decade.alias("decade")).agg(F.count("*").alias("n"))
+
+
+@query(_DEGREES + "SELECT id, d AS degree FROM deg ORDER BY d DESC, id LIMIT 30")
+def top_hubs(spark, sf):
+    return E.degrees(P.edges(spark, sf), P.nodes(spark, sf)).orderBy(F.desc("degree"), "id").limit(30).select("id", "degree")
+
+
+@query(_DEGREES + f", q AS (SELECT quantile_cont(d, 0.95) AS q95, median(d) AS q50 FROM deg) SELECT {r6('q95')} AS q95, {r6('q50')} AS q50 FROM q")
+def degree_quantiles(spark, sf):
+    return E.degrees(P.edges(spark, sf), P.nodes(spark, sf)).agg(fixed(F.percentile("degree", F.lit(0.95))).alias("q95"), fixed(F.median("degree")).alias("q50"))
+
+
+@query(_DEGREES + ", b AS (SELECT min(d) AS lo, max(d) AS hi FROM deg) SELECT least(9, floor((d - lo) * 10 / greatest(hi - lo, 1)))::BIGINT AS bin, count(*) AS n FROM deg, b GROUP BY 1")
+def degree_histogram(spark, sf):
+    d = E.degrees(P.edges(spark, sf), P.nodes(spark, sf))
+    ends = d.agg(F.min("degree").alias("lo"), F.max("degree").alias("hi"))
+    at = F.least(F.lit(9), F.floor((F.col("degree") - F.col("lo")) * 10 / F.greatest(F.col("hi") - F.col("lo"), F.lit(1))))
+    return d.crossJoin(F.broadcast(ends)).groupBy(at.cast("long").alias("bin")).agg(F.count("*").alias("n"))  # one row
+
+
+@query("SELECT count(*) FILTER (WHERE src = dst) AS self_loops, (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)) AS isolates FROM edges")
+def loops_and_isolates(spark, sf):
+    e, n = P.edges(spark, sf), P.nodes(spark, sf)
+    ends = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return e.agg(F.count_if(F.col("src") == F.col("dst")).alias("self_loops")).crossJoin(n.join(ends, "id", "left_anti").agg(F.count("*").alias("isolates")))  # one row each
+
+
+@query(f"SELECT (SELECT count(*) FROM raw_edges) AS raw, count(*) AS kept, (SELECT count(*) FROM raw_edges) - count(*) AS dropped, {r6('count(*)::DOUBLE / (SELECT count(*) FROM nodes)')} AS ratio FROM edges")
+def duplicate_accounting(spark, sf):
+    raw = P.raw_edges(spark, sf)
+    per = raw.groupBy("src", "dst").agg(F.count("*").alias("k")).agg(F.sum("k").alias("raw"), F.count("*").alias("kept"))
+    n = P.nodes(spark, sf).agg(F.count("*").alias("n"))
+    return per.crossJoin(n).select("raw", "kept", (F.col("raw") - F.col("kept")).alias("dropped"), fixed(F.col("kept") / F.col("n")).alias("ratio"))
+
+
+# ---- scores
+
+
+@query(f"SELECT src_community AS community, count(*) AS internal_edges, count(*) FILTER (WHERE reciprocal) AS reciprocal_edges, count(*) FILTER (WHERE typed) AS typed_edges, count(*) FILTER (WHERE intent IN ('Background', 'Perfunctory/Ceremonial')) AS shallow_edges, {r6('avg(weight)')} AS mean_weight, {r6('avg(confidence)')} AS mean_confidence FROM flagged WHERE internal GROUP BY 1")
+def internal_edge_stats(spark, sf):
+    return S.internal_stats(weighted(spark, sf), P.nodes(spark, sf)).withColumns({c: fixed(F.col(c)) for c in ("mean_weight", "mean_confidence")})
+
+
+_ASSORT = """, assort AS (
+    SELECT community, CASE WHEN stddev_pop(x) * stddev_pop(y) > 1e-15 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) ELSE 0 END AS assortativity
+    FROM (SELECT src_community AS community, ln(1 + o.d) AS x, ln(1 + i.d) AS y FROM flagged f JOIN outdeg o ON o.id = f.src JOIN indeg i ON i.id = f.dst WHERE internal) GROUP BY 1
+)"""
+
+
+@query(_ASSORT + f"SELECT community, {r6('assortativity')} AS assortativity FROM assort")
+def degree_assortativity(spark, sf):
+    return S.degree_assortativity(P.edges(spark, sf), P.nodes(spark, sf)).select("community", fixed(F.col("assortativity")).alias("assortativity"))
+
+
+_FEATURES = ["density", "log_inflation", "reciprocity", "superficiality", "assortativity", "mean_rank_drop"]
+
+
+def _z(f: str) -> str:
+    return f"CASE WHEN coalesce(stddev_pop({r9(f)}) OVER (), 0) > 1e-15 THEN ({r9(f)} - avg({r9(f)}) OVER ()) / stddev_pop({r9(f)}) OVER () ELSE 0 END"
+
+
+_CCI = _DEGREES + _ASSORT + f""", inner_stats AS (
+    SELECT src_community AS community, count(*) AS internal_edges, count(*) FILTER (WHERE reciprocal) AS reciprocal_edges, count(*) FILTER (WHERE typed) AS typed_edges,
+        count(*) FILTER (WHERE typed AND intent IN ('Background', 'Perfunctory/Ceremonial')) AS shallow_edges FROM flagged WHERE internal GROUP BY 1
+), base AS (SELECT community, count(*) AS size, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM deg WHERE community IS NOT NULL GROUP BY 1
+), feats AS (
+    SELECT b.*, coalesce(internal_edges, 0) AS internal_edges, coalesce(reciprocal_edges, 0) AS reciprocal_edges, coalesce(typed_edges, 0) AS typed_edges, coalesce(shallow_edges, 0) AS shallow_edges,
+        coalesce(internal_edges, 0) / nullif(size * (size - 1), 0)::DOUBLE AS density0, coalesce(reciprocal_edges / nullif(internal_edges, 0)::DOUBLE, 0) AS reciprocity,
+        coalesce(shallow_edges / nullif(typed_edges, 0)::DOUBLE, 0) AS superficiality, coalesce(assortativity, 0) AS assortativity, 0.0::DOUBLE AS mean_rank_drop,
+        ln(1 + coalesce(internal_edges, 0) / greatest(out_degree::DOUBLE * in_degree / (SELECT count(*) FROM edges), 1e-9)) AS log_inflation,
+        coalesce(internal_edges, 0) / greatest(out_degree::DOUBLE * in_degree / (SELECT count(*) FROM edges), 1e-9) AS inflation
+    FROM base b LEFT JOIN inner_stats USING (community) LEFT JOIN assort USING (community)
+), zs AS (SELECT *, coalesce(density0, 0) AS density FROM feats
+), zz AS (SELECT *, {', '.join(f'{_z(f)} AS {f}_z' for f in _FEATURES)} FROM zs
+), scored AS (SELECT *, {r6('(' + ' + '.join(f'{f}_z' for f in _FEATURES) + ') / 6')} AS cci, {r6('(' + ' + '.join(f'{f}_z' for f in _FEATURES if f != 'superficiality') + ') / 5')} AS structural_cci FROM zz)"""
+
+
+@query(_CCI + f"SELECT community, size, internal_edges, reciprocal_edges, typed_edges, shallow_edges, {', '.join(f'{r6(f)} AS {f}' for f in _FEATURES + ['inflation'])}, cci, structural_cci, rank() OVER (ORDER BY cci DESC) AS cci_rank FROM scored")
+def cci_scores(spark, sf):
+    rows = S.community_scores(weighted(spark, sf), P.nodes(spark, sf))
+    keep = ["community", "size", "internal_edges", "reciprocal_edges", "typed_edges", "shallow_edges"]
+    return rows.select(*keep, *[fixed(F.col(f)).alias(f) for f in _FEATURES + ["inflation"]], "cci", "structural_cci", "cci_rank")
+
+
+_RANKS = lambda x: f"rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0::DOUBLE"
+_BASELINES = ["density", "inflation", "reciprocity", "structural_cci", "superficiality"]
+
+
+def _baseline(name: str) -> str:
+    top = lambda c, k: f"SELECT community FROM fine ORDER BY {c} DESC, community LIMIT {k}"
+    overlaps = ", ".join(f"(SELECT {r6(f'avg(CASE WHEN community IN ({top(name, k)}) THEN 1.0 ELSE 0.0 END)')} FROM ({top('cci', k)})) AS overlap_{k}" for k in (5, 10, 25))
+    pearson = "CASE WHEN stddev_pop(x) * stddev_pop(y) > 1e-15 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) ELSE 0 END"
+    return f"SELECT '{name}' AS score, (SELECT {r6(pearson)} FROM (SELECT {_RANKS(name)} AS x, {_RANKS('cci')} AS y FROM fine)) AS spearman, {overlaps}"
+
+
+@query(_CCI + f", fine AS (SELECT community, cci, structural_cci, {', '.join(f'{r6(f)} AS {f}' for f in _BASELINES if f != 'structural_cci')} FROM scored) " + " UNION ALL ".join(map(_baseline, _BASELINES)))
+def spearman_baselines(spark, sf):
+    from graphtrust.runtime import checkpoint
+
+    rows = S.community_scores(weighted(spark, sf), P.nodes(spark, sf))
+    fine = checkpoint(rows.select("community", "cci", "structural_cci", *[fixed(F.col(f)).alias(f) for f in _BASELINES if f != "structural_cci"]))
+    return S.compare(fine, _BASELINES)
+
+
+@query(_CCI + "SELECT community, cci, " + ", ".join(r6("(" + " + ".join(f"{g}_z" for g in _FEATURES if g != f) + ") / 5") + f" AS without_{f}" for f in _FEATURES) + " FROM scored")
+def ablation(spark, sf):
+    return S.ablations(S.community_scores(weighted(spark, sf), P.nodes(spark, sf)))
+
+
+_PRE = """, und AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst
+), vol AS (SELECT n.community, count(*) AS volume FROM (SELECT a AS id FROM und UNION ALL SELECT b FROM und) JOIN nodes n USING (id) GROUP BY 1
+), pre_inner AS (SELECT src_community AS community, count(*) AS internal_edges, count(*) FILTER (WHERE reciprocal) AS reciprocal_edges FROM flagged WHERE internal GROUP BY 1
+), pre AS (
+    SELECT community, size, coalesce(internal_edges, 0) AS internal_edges, coalesce(reciprocal_edges, 0) AS reciprocal_edges, coalesce(volume, 0) AS volume,
+        coalesce(coalesce(internal_edges, 0) / nullif(size * (size - 1), 0)::DOUBLE, 0) AS density, coalesce(reciprocal_edges / nullif(internal_edges, 0)::DOUBLE, 0) AS reciprocity,
+        coalesce(volume, 0)::DOUBLE * coalesce(volume, 0) / (2.0::DOUBLE * (SELECT count(*) FROM und)) AS expected
+    FROM (SELECT community, count(*) AS size FROM nodes GROUP BY 1) LEFT JOIN pre_inner USING (community) LEFT JOIN vol USING (community))"""
+
+
+@query(_PRE + f"SELECT community, size, internal_edges, reciprocal_edges, volume, {r6('density')} AS density, {r6('reciprocity')} AS reciprocity, {r6('expected')} AS expected, {r6('internal_edges / greatest(expected, 1e-9)')} AS inflation FROM pre")
+def precommunity_scores(spark, sf):
+    return S.precommunity_scores(P.edges(spark, sf), P.nodes(spark, sf)).withColumns({c: fixed(F.col(c)) for c in ("density", "reciprocity", "expected", "inflation")})
+
+
+@query(_PRE + f"SELECT community, {r6(f'({_RANKS('size')}) / count(*) OVER ()')} AS size_pct, {r6(f'({_RANKS('volume')}) / count(*) OVER ()')} AS volume_pct FROM pre")
+def pct_rank_scores(spark, sf):
+    pre = S.precommunity_scores(P.edges(spark, sf), P.nodes(spark, sf))
+    return pre.select("community", fixed(stats.percent_rank("size")).alias("size_pct"), fixed(stats.percent_rank("volume")).alias("volume_pct"))
+
+
+_POOLS = _PRE + f""", dense AS (SELECT community FROM pre ORDER BY {r9('density')} DESC, size DESC, community LIMIT 5
+), inflated AS (SELECT community FROM pre ORDER BY {r9('internal_edges / greatest(expected, 1e-9)')} DESC, community LIMIT 5
+), pools AS (
+    SELECT edge_id, src, dst, 'dense' AS pool FROM flagged WHERE internal AND src_community IN (SELECT community FROM dense)
+    UNION ALL SELECT edge_id, src, dst, 'inflated' FROM flagged WHERE internal AND src_community IN (SELECT community FROM inflated)
+    UNION ALL SELECT edge_id, src, dst, 'reciprocal' FROM flagged WHERE reciprocal
+    UNION ALL SELECT edge_id, src, dst, 'cross' FROM flagged WHERE NOT internal AND (src_community IN (SELECT community FROM dense) OR dst_community IN (SELECT community FROM dense))
+    UNION ALL (SELECT edge_id, src, dst, 'random' FROM edges ORDER BY md5(edge_id || ':42'), edge_id LIMIT 2500))"""
+
+
+def pools(spark, sf) -> DataFrame:
+    """(edge_id, src, dst, pool): five pools, in each of which an edge stands once."""
+    e, n = P.edges(spark, sf), P.nodes(spark, sf)
+    pre = S.precommunity_scores(e, n)
+    top = lambda *order: pre.orderBy(*order, "community").limit(5).select("community")
+    dense, inflated = top(fixed(F.col("density"), 9).desc(), F.desc("size")), top(fixed(F.col("inflation"), 9).desc())
+    flagged = E.with_reciprocal(E.with_communities(e, n))
+    inside = lambda t: flagged.filter("internal").join(F.broadcast(t.withColumnRenamed("community", "src_community")), "src_community", "left_semi")  # noqa: E731  five rows
+    a = F.broadcast(dense.select(F.col("community").alias("src_community"), F.lit(True).alias("a")))
+    b = F.broadcast(dense.select(F.col("community").alias("dst_community"), F.lit(True).alias("b")))
+    cross = flagged.filter("not internal").join(a, "src_community", "left").join(b, "dst_community", "left").filter("a or b")
+    named = {"dense": inside(dense), "inflated": inside(inflated), "reciprocal": flagged.filter("reciprocal"), "cross": cross, "random": R.sample(e, "edge_id", 2500, 42)}
+    out = None
+    for name, rows in named.items():
+        rows = rows.select("edge_id", "src", "dst", F.lit(name).alias("pool"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(_POOLS + "SELECT * FROM pools")
+def sampling_pools(spark, sf):
+    return pools(spark, sf)
+
+
+_QUOTAS = {"cross": 400, "dense": 250, "inflated": 200, "random": 300, "reciprocal": 150}
+
+
+@query(_POOLS + f""", ranked AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY md5(edge_id || ':7'), edge_id) AS n FROM pools),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY pool) AS k FROM ranked WHERE n <= CASE pool {' '.join(f"WHEN '{p}' THEN {n}" for p, n in _QUOTAS.items())} END)
+    SELECT edge_id, src, dst, pool FROM kept WHERE k = 1""")
+def quota_selection(spark, sf):
+    return R.quota_sample(pools(spark, sf), "edge_id", "pool", _QUOTAS, 7)
+
+
+@query(_POOLS + """, g1 AS (SELECT edge_id FROM (SELECT DISTINCT edge_id FROM pools WHERE pool = 'dense') ORDER BY md5(edge_id || ':42'), edge_id LIMIT 100
+), g2 AS (SELECT edge_id FROM (SELECT DISTINCT edge_id FROM pools WHERE pool = 'reciprocal') WHERE edge_id NOT IN (SELECT edge_id FROM g1) ORDER BY md5(edge_id || ':59'), edge_id LIMIT 100
+), g3 AS (SELECT edge_id FROM edges WHERE edge_id NOT IN (SELECT edge_id FROM g1 UNION SELECT edge_id FROM g2) AND edge_id NOT IN (SELECT edge_id FROM semantics) ORDER BY md5(edge_id || ':143'), edge_id LIMIT 300)
+    SELECT edge_id, 'dense' AS selection_group FROM g1 UNION ALL SELECT edge_id, 'reciprocal' FROM g2 UNION ALL SELECT edge_id, 'filler' FROM g3""")
+def exclusive_selection(spark, sf):
+    p, e = pools(spark, sf), P.edges(spark, sf)
+    of = lambda name: p.filter(F.col("pool") == name).select("edge_id").distinct()
+    filler = e.join(P.semantics(e), "edge_id", "left_anti")
+    return R.exclusive_groups([("dense", of("dense"), 100, 42), ("reciprocal", of("reciprocal"), 100, 59), ("filler", filler, 300, 143)], "edge_id")
+
+
+@query(_CCI + f""", ti AS (SELECT src_community AS community, count(*) AS typed_seen, avg(CASE WHEN intent IN ('Background', 'Perfunctory/Ceremonial') THEN 1.0 ELSE 0.0 END) AS shallow_share, avg(weight) AS seen_weight FROM flagged WHERE internal AND typed GROUP BY 1
+), ar AS (SELECT community, size, {r9('density')} AS density, {r9('inflation')} AS inflation, {r9('coalesce(shallow_share, 0)')} AS shallow_share, 1.0::DOUBLE - {r9('coalesce(seen_weight, (SELECT median(seen_weight) FROM ti), 1.0)')} AS distrust, coalesce(typed_seen, 0) AS seen FROM scored LEFT JOIN ti USING (community)
+), el AS (SELECT * FROM ar WHERE seen >= 10 OR NOT EXISTS (SELECT 1 FROM ar WHERE seen >= 10)
+), rk AS (SELECT community, size, {r6('((' + ') / count(*) OVER () + ('.join(_RANKS(c) for c in ('density', 'inflation', 'shallow_share', 'distrust')) + ') / count(*) OVER ()) / 4')} AS rough_score FROM el)
+    SELECT * FROM rk ORDER BY rough_score DESC, community LIMIT 10""")
+def adaptive_ranking(spark, sf):
+    n, e = P.nodes(spark, sf), P.edges(spark, sf)
+    return S.adaptive_ranking(S.community_scores(weighted(spark, sf), n), P.semantics(e), n)
+
+
+@query("SELECT intent, count(*) AS n FROM weighted WHERE typed GROUP BY 1")
+def intent_distribution(spark, sf):
+    return weighted(spark, sf).filter("typed").groupBy("intent").agg(F.count("*").alias("n"))
+
+
+@query("SELECT src_community, dst_community, count(*) AS n FROM flagged GROUP BY 1, 2")
+def flow_matrix(spark, sf):
+    return E.with_communities(P.edges(spark, sf), P.nodes(spark, sf)).groupBy("src_community", "dst_community").agg(F.count("*").alias("n"))
+
+
+@query("SELECT src_community AS community, intent, count(*) AS n FROM flagged WHERE internal GROUP BY 1, 2")
+def intent_breakdown(spark, sf):
+    return E.with_communities(weighted(spark, sf), P.nodes(spark, sf)).filter("internal").groupBy(F.col("src_community").alias("community"), "intent").agg(F.count("*").alias("n"))
+
+
+_SHALLOW = "avg(CASE WHEN intent IN ('Background', 'Perfunctory/Ceremonial') THEN 1.0 ELSE 0.0 END)"
+
+
+@query(f"SELECT src_community AS community, count(*) AS internal_edges, {r6(_SHALLOW)} AS shallow_share, {_SHALLOW} > 0.3 AS flagged FROM flagged WHERE internal GROUP BY 1 HAVING count(*) > 2")
+def shallow_share(spark, sf):
+    share = F.avg(L.is_shallow(F.col("intent")).cast("int"))
+    inner = E.with_communities(weighted(spark, sf), P.nodes(spark, sf)).filter("internal")
+    return inner.groupBy(F.col("src_community").alias("community")).agg(F.count("*").alias("internal_edges"), fixed(share).alias("shallow_share"), (share > 0.3).alias("flagged")).filter("internal_edges > 2")
+
+
+# ---- labels and text
+
+
+@query("""
+    , shards AS (SELECT edge_id, intent, 1 AS priority FROM semantics UNION ALL SELECT edge_id, 'Support', 2 FROM semantics WHERE confidence < 0.5 UNION ALL SELECT edge_id, 'Method', 10000 FROM semantics WHERE confidence > 0.9)
+    SELECT edge_id, intent, priority FROM (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY priority DESC) AS n FROM shards) WHERE n = 1""")
+def priority_dedup(spark, sf):
+    s = P.semantics(P.edges(spark, sf))
+    shards = s.select("edge_id", "intent", F.lit(1).alias("priority"))
+    shards = shards.unionByName(s.filter("confidence < 0.5").select("edge_id", F.lit("Support").alias("intent"), F.lit(2).alias("priority")))
+    shards = shards.unionByName(s.filter("confidence > 0.9").select("edge_id", F.lit("Method").alias("intent"), F.lit(10000).alias("priority")))
+    return R.keep_first(shards, "edge_id", F.desc("priority"))
+
+
+_REPLY = """CASE event_id % 5 WHEN 0 THEN '{"label":"method","confidence":0.9}' WHEN 1 THEN '{"label":"This is Support","confidence":"1.7"}' WHEN 2 THEN '{"label":"Background or Method","confidence":null}' WHEN 3 THEN '{"label":"other"}' ELSE NULL END"""
+
+
+@query(f"""
+    WITH r AS (SELECT event_id, {_REPLY} AS content FROM events)
+    SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'Method' WHEN 1 THEN 'Support' WHEN 2 THEN 'Background' END AS label,
+        CASE event_id % 5 WHEN 0 THEN 0.9::DOUBLE WHEN 1 THEN 1.0::DOUBLE END AS confidence,
+        CASE event_id % 5 WHEN 3 THEN 'unknown_label: other' WHEN 4 THEN 'missing_message_content' END AS error FROM r""", views=False)
+def label_parse(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", F.expr(_REPLY.replace("::DOUBLE", "")).alias("content"))
+    return rows.select("event_id", L.parse_reply(F.col("content")).alias("r")).select("event_id", "r.*")
+
+
+@query("""SELECT quality AS label, count(*) AS n, floor(count(*) * 10000.0::DOUBLE / sum(count(*)) OVER () + 0.5) / 10000.0::DOUBLE AS share, count(*) < 100 AS underpowered FROM labels GROUP BY 1""", views=False)
+def label_audit(spark, sf):
+    counts = table(spark, sf, "labels").groupBy(F.col("quality").alias("label")).agg(F.count("*").alias("n"))
+    return counts.select("label", "n", fixed(F.col("n") / F.sum("n").over(Window.partitionBy()), 4).alias("share"), (F.col("n") < 100).alias("underpowered"))
+
+
+@query(f"SELECT quality AS label, {r6('sum(count(*)) OVER () / (count(*) OVER () * greatest(count(*), 1))::DOUBLE')} AS weight FROM labels GROUP BY 1", views=False)
+def class_weights(spark, sf):
+    counts = table(spark, sf, "labels").groupBy(F.col("quality").alias("label")).agg(F.count("*").alias("n"))
+    every = Window.partitionBy()
+    return counts.select("label", fixed(F.sum("n").over(every) / (F.count("*").over(every) * F.greatest("n", F.lit(1)))).alias("weight"))
+
+
+_PRED = "SELECT label AS gold, CASE WHEN embedding[1] > 0.1 THEN (label + 1) % 10 ELSE label END AS pred FROM embeddings"
+
+
+def predictions(spark, sf) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("label").alias("gold"), F.when(F.element_at("embedding", 1) > 0.1, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("pred"))
+
+
+@query("WITH p AS (" + _PRED + ") SELECT gold, " + ", ".join(f"count(*) FILTER (WHERE pred = {k}) AS p{k}" for k in range(10)) + " FROM p GROUP BY 1", views=False)
+def confusion_matrix(spark, sf):
+    wide = predictions(spark, sf).groupBy("gold").pivot("pred", list(range(10))).agg(F.count(F.lit(1)))
+    return wide.select("gold", *[F.coalesce(F.col(f"`{k}`"), F.lit(0)).cast("long").alias(f"p{k}") for k in range(10)])
+
+
+@query(f"""
+    WITH p AS ({_PRED}), c AS (SELECT k.gold AS label, (SELECT count(*) FROM p WHERE gold = k.gold AND pred = k.gold) AS hit, (SELECT count(*) FROM p WHERE gold = k.gold) AS support, (SELECT count(*) FROM p WHERE pred = k.gold) AS said FROM (SELECT DISTINCT gold FROM p) k)
+    SELECT label, support, {r6('coalesce(hit / nullif(said, 0)::DOUBLE, 0)')} AS prec, {r6('hit / support::DOUBLE')} AS recall, {r6('coalesce(2.0 * hit / nullif(said + support, 0)::DOUBLE, 0)')} AS f1,
+        {r6('sum(hit) OVER () / sum(support) OVER ()::DOUBLE')} AS accuracy FROM c""", views=False)
+def class_report(spark, sf):
+    p = predictions(spark, sf)
+    cells = p.groupBy("gold", "pred").agg(F.count("*").alias("n"))
+    gold = cells.groupBy(F.col("gold").alias("label")).agg(F.sum("n").alias("support"), F.coalesce(F.sum(F.when(F.col("gold") == F.col("pred"), F.col("n"))), F.lit(0)).alias("hit"))
+    said = cells.groupBy(F.col("pred").alias("label")).agg(F.sum("n").alias("said"))
+    every, s = Window.partitionBy(), F.coalesce("said", F.lit(0))
+    return gold.join(said, "label", "left").select(
+        "label", "support", fixed(F.coalesce(F.try_divide("hit", s), F.lit(0.0))).alias("prec"), fixed(F.col("hit") / F.col("support")).alias("recall"),
+        fixed(F.coalesce(F.try_divide(2.0 * F.col("hit"), s + F.col("support")), F.lit(0.0))).alias("f1"), fixed(F.sum("hit").over(every) / F.sum("support").over(every)).alias("accuracy"),
+    )
+
+
+_STOP = "['" + "', '".join(text.STOP) + "']"
+_TOK = lambda c: f"list_sort(list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z][a-z0-9_+-]{{2,}}'), lambda w: NOT list_contains({_STOP}, w))))"
+
+
+@query(f"""
+    WITH t AS (SELECT item_id, {_TOK('text')} AS t FROM benchmark)
+    SELECT a.item_id, len(a.t) AS n_tokens, {r6("CASE WHEN len(a.t) > 0 AND len(b.t) > 0 THEN len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))) ELSE 0 END")} AS jaccard
+    FROM t a JOIN t b ON b.item_id = a.item_id + 1""", views=False)
+def jaccard_pairs(spark, sf):
+    t = table(spark, sf, "benchmark").select("item_id", text.tokens(F.col("text")).alias("t"))
+    b = t.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("u"))
+    return t.join(b, "item_id").select("item_id", F.size("t").cast("long").alias("n_tokens"), fixed(text.jaccard(F.col("t"), F.col("u"))).alias("jaccard"))
+
+
+@query("WITH w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark) SELECT item_id, trim(array_to_string(w, ' ')) AS text FROM w", views=False)
+def inverted_index_text(spark, sf):
+    words = F.transform(F.split("text", " "), lambda w, i: F.struct(w.alias("word"), i.alias("pos")))
+    return table(spark, sf, "benchmark").select("item_id", text.text_from_index(F.reverse(words)).alias("text"))
+
+
+@query("SELECT o_orderkey, coalesce(arg_max(l_returnflag, (l_quantity, -l_linenumber)), 'Unknown') AS top FROM orders LEFT JOIN (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2) ON l_orderkey = o_orderkey GROUP BY 1", views=False)
+def top_field(spark, sf):
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("name"), F.max("l_quantity").alias("w"))
+    fields = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "name", "w"))).alias("fields"))
+    orders = table(spark, sf, "orders").select("o_orderkey")
+    return orders.join(fields, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", text.top_field(F.col("fields")).alias("top"))
+
+
+@query("SELECT doc_id, substring(concat_ws(' ', source, text), 1, 1200) AS clipped, concat(source, '. ', substring(text, 1, 80)) AS pair_text FROM documents", views=False)
+def pair_text(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", text.clipped(F.col("source"), F.col("text")).alias("clipped"), F.concat("source", F.lit(". "), F.substring("text", 1, 80)).alias("pair_text"))
+
+
+@query(f"SELECT role, count(*) AS requests, sum(length(text))::BIGINT AS chars, {r6('sum(length(text)) / 4.0::DOUBLE * 0.15 / 1000000')} AS cost, sum(length(text)) / 4.0::DOUBLE * 0.15 / 1000000 > 100 AS over_cap FROM conversations GROUP BY 1", views=False)
+def cost_estimate(spark, sf):
+    cost = F.sum(F.length("text")) / 4.0 * 0.15 / 1000000
+    return table(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("requests"), F.sum(F.length("text")).alias("chars"), fixed(cost).alias("cost"), (cost > 100).alias("over_cap"))
+
+
+@query("""
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id::VARCHAR || ':5'), doc_id) AS n, count(*) OVER (PARTITION BY quality) AS c FROM labels)
+    SELECT doc_id, quality, CASE WHEN (n - 1) / c::DOUBLE < 0.8 THEN 'train' WHEN (n - 1) / c::DOUBLE < 0.9 THEN 'valid' ELSE 'test' END AS part FROM r""", views=False)
+def stratified_split(spark, sf):
+    return R.stratified_split(table(spark, sf, "labels"), "doc_id", "quality", 5, (("train", 0.8), ("valid", 0.1), ("test", 0.1))).select("doc_id", "quality", "part")
+
+
+@query("""
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id::VARCHAR || ':9'), doc_id) AS n, count(*) OVER (PARTITION BY quality) AS c, count(*) OVER () AS t FROM labels)
+    SELECT doc_id, quality FROM r WHERE n <= greatest(1, floor(c * 100 / t::DOUBLE + 0.5))""", views=False)
+def stratified_cap(spark, sf):
+    every, one = Window.partitionBy(), Window.partitionBy("quality")
+    n = F.row_number().over(one.orderBy(R.draw("doc_id", 9), "doc_id"))
+    cap = F.greatest(F.lit(1), F.floor(F.count("*").over(one) * 100 / F.count("*").over(every) + 0.5))
+    return table(spark, sf, "labels").withColumns({"n": n, "cap": cap}).filter("n <= cap").select("doc_id", "quality")
+
+
+@query()
+def request_chunks(spark, sf):
+    """Greedy chunks of conversation turns by rows and bytes."""
+    t = table(spark, sf, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("request"), F.octet_length("text").cast("long").alias("bytes"))
+    return R.chunks(t, "request", "bytes", 50, 20_000)
+
+
+# ---- graph
+
+
+def _pagerank_sql(weight: str, k: int, name: str) -> str:
+    w = "max(weight)" if weight else "1.0::DOUBLE"
+    parts = [f", {name}_arc AS (SELECT src, dst, {w} AS w FROM weighted GROUP BY 1, 2), {name}_p AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM {name}_arc)",
+             f"{name}_0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS r FROM nodes)"]
+    for i in range(1, k + 1):
+        parts.append(f"{name}_{i} AS MATERIALIZED (SELECT n.id, 0.15::DOUBLE / (SELECT count(*) FROM nodes) + 0.85::DOUBLE * (coalesce(g.got, 0) + (SELECT coalesce(sum(r), 0) FROM {name}_{i - 1} WHERE id NOT IN (SELECT src FROM {name}_p)) / (SELECT count(*) FROM nodes)) AS r FROM nodes n LEFT JOIN (SELECT dst, sum(p * r) AS got FROM {name}_p JOIN {name}_{i - 1} z ON z.id = src GROUP BY 1) g ON g.dst = n.id)")
+    return ", ".join(parts)
+
+
+@query(_pagerank_sql("", 5, "pr") + f"SELECT id, {r9('r')} AS rank FROM pr_5")
+def pagerank_k(spark, sf):
+    return G.pagerank(P.edges(spark, sf), P.nodes(spark, sf), rounds=5, stop="fixed").select("id", fixed(F.col("rank"), 9).alias("rank"))
+
+
+@query(_pagerank_sql("", 4, "pu") + _pagerank_sql("weight", 4, "pw") + f", s AS (SELECT u.id, {r9('u.r')} AS u, {r9('w.r')} AS w FROM pu_4 u JOIN pw_4 w USING (id)) SELECT id, u AS rank_plain, w AS rank_trust, rank() OVER (ORDER BY u DESC) AS place_plain, rank() OVER (ORDER BY w DESC) AS place_trust, rank() OVER (ORDER BY w DESC) - rank() OVER (ORDER BY u DESC) AS rank_drop FROM s")
+def trust_pagerank_shift(spark, sf):
+    e, n = weighted(spark, sf), P.nodes(spark, sf)
+    plain = G.pagerank(e, n, rounds=4, stop="fixed").select("id", fixed(F.col("rank"), 9).alias("rank_plain"))
+    trust = G.pagerank(e, n, "weight", rounds=4, stop="fixed").select("id", fixed(F.col("rank"), 9).alias("rank_trust"))
+    place = lambda c: F.rank().over(Window.orderBy(F.desc(c)))
+    rows = plain.join(trust, "id").withColumns({"place_plain": place("rank_plain"), "place_trust": place("rank_trust")})
+    return rows.withColumn("rank_drop", F.col("place_trust") - F.col("place_plain"))
+
+
+@query(""" SELECT id, (SELECT min(least(src, dst)) FROM edges) AS component FROM nodes WHERE id IN (SELECT src FROM edges WHERE src <> dst UNION SELECT dst FROM edges WHERE src <> dst)""")
+def components(spark, sf):
+    return connected_components(P.edges(spark, sf)).withColumnRenamed("node", "id")
+
+
+_BFS = """, arcs AS (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst
+), starts AS (SELECT id FROM nodes ORDER BY md5(id::VARCHAR || ':3'), id LIMIT 8
+), l0 AS (SELECT id AS source, id, 0 AS distance FROM starts
+)""" + "".join(f", l{k} AS MATERIALIZED (SELECT source, id, min(distance)::INTEGER AS distance FROM (SELECT * FROM l{k - 1} UNION ALL SELECT l.source, a.dst, {k} FROM l{k - 1} l JOIN arcs a ON a.src = l.id) GROUP BY 1, 2)" for k in range(1, 7))
+
+
+def _levels(spark, sf) -> DataFrame:
+    e, n = P.edges(spark, sf), P.nodes(spark, sf)
+    return G.bfs(e, R.sample(n, "id", 8, 3))
+
+
+@query(_BFS + "SELECT source, id, distance FROM l6")
+def bfs_levels(spark, sf):
+    return _levels(spark, sf)
+
+
+@query(_BFS + f"SELECT {r6('avg(distance) FILTER (WHERE distance > 0)')} AS mean_path, {r6('avg(distance)')} AS mean_with_self, max(distance) AS eccentricity, count(*) AS reached FROM l6")
+def path_means(spark, sf):
+    d = F.col("distance")
+    return _levels(spark, sf).agg(fixed(F.avg(F.when(d > 0, d))).alias("mean_path"), fixed(F.avg(d)).alias("mean_with_self"), F.max(d).alias("eccentricity"), F.count("*").alias("reached"))
+
+
+_UND = ", und AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst)"
+
+
+@query(_UND + f""", deg2 AS (SELECT id, count(*) AS d FROM (SELECT a AS id FROM und UNION ALL SELECT b FROM und) GROUP BY 1),
+    tri AS (SELECT x.a AS p, x.b AS q, y.b AS r FROM und x JOIN und y ON y.a = x.b JOIN und z ON z.a = x.a AND z.b = y.b),
+    t AS (SELECT id, count(*) AS t FROM (SELECT p AS id FROM tri UNION ALL SELECT q FROM tri UNION ALL SELECT r FROM tri) GROUP BY 1)
+    SELECT n.id, coalesce(t, 0) AS triangles, coalesce(d, 0) AS degree, {r6('CASE WHEN d > 1 THEN 2.0 * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END')} AS clustering FROM nodes n LEFT JOIN deg2 USING (id) LEFT JOIN t USING (id)""")
+def clustering(spark, sf):
+    return G.local_clustering(P.edges(spark, sf), P.nodes(spark, sf)).withColumn("clustering", fixed(F.col("clustering")))
+
+
+@query(_UND + f""", ends AS (SELECT n.community AS c, count(*) AS vol FROM (SELECT a AS id FROM und UNION ALL SELECT b FROM und) JOIN nodes n USING (id) GROUP BY 1),
+    ins AS (SELECT x.community AS c, count(*) AS k FROM und JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b WHERE x.community = y.community GROUP BY 1), m AS (SELECT count(*) AS m FROM und)
+    SELECT {r6('sum(coalesce(k, 0) / m::DOUBLE - (vol / (2.0::DOUBLE * m)) ** 2)')} AS modularity FROM ends LEFT JOIN ins USING (c), m""")
+def modularity(spark, sf):
+    return G.modularity(P.edges(spark, sf), P.nodes(spark, sf)).select(fixed(F.col("modularity")).alias("modularity"))
+
+
+@query(f""", j AS (SELECT domain, community, count(*)::DOUBLE AS n FROM nodes GROUP BY 1, 2), t AS (SELECT sum(n) AS t FROM j),
+    a AS (SELECT domain, sum(n) AS n FROM j GROUP BY 1), b AS (SELECT community, sum(n) AS n FROM j GROUP BY 1),
+    mi AS (SELECT sum(j.n / t * ln(j.n * t / (a.n * b.n))) AS mi FROM j JOIN a USING (domain) JOIN b USING (community), t), h AS (SELECT (SELECT -sum(n / t * ln(n / t)) FROM a, t) AS ha, (SELECT -sum(n / t * ln(n / t)) FROM b, t) AS hb)
+    SELECT {r6('mi / ((ha + hb) / 2)')} AS nmi FROM mi, h""")
+def nmi(spark, sf):
+    j = P.nodes(spark, sf).groupBy("domain", "community").agg(F.count("*").cast("double").alias("n"))
+    every = Window.partitionBy()
+    j = j.withColumns({"t": F.sum("n").over(every), "a": F.sum("n").over(Window.partitionBy("domain")), "b": F.sum("n").over(Window.partitionBy("community"))})
+    mi = F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("a") * F.col("b"))))
+    entropy = lambda c: -F.sum(F.col("n") / F.col("t") * F.log(F.col(c) / F.col("t")))
+    return j.agg(fixed(F.coalesce(F.try_divide(mi, (entropy("a") + entropy("b")) / 2.0), F.lit(0.0))).alias("nmi"))
+
+
+@query(_UND + f""", deg2 AS (SELECT id, count(*) AS d FROM (SELECT a AS id FROM und UNION ALL SELECT b FROM und) GROUP BY 1),
+    nb AS (SELECT x.id, avg(y.d) AS m FROM (SELECT a AS id, b AS o FROM und UNION ALL SELECT b, a FROM und) x JOIN deg2 y ON y.id = x.o GROUP BY 1)
+    SELECT d AS degree, count(*) AS n, {r6('avg(m)')} AS mean_neighbour_degree FROM deg2 JOIN nb USING (id) GROUP BY 1""")
+def knn_by_degree(spark, sf):
+    pairs = E.undirected(P.edges(spark, sf))
+    both = pairs.selectExpr("a id", "b other").unionByName(pairs.selectExpr("b id", "a other"))
+    degree = both.groupBy("id").agg(F.count("*").alias("degree"))
+    near = both.join(degree.selectExpr("id other", "degree d"), "other").groupBy("id").agg(F.avg("d").alias("m"))
+    return degree.join(near, "id").groupBy("degree").agg(F.count("*").alias("n"), fixed(F.avg("m")).alias("mean_neighbour_degree"))
+
+
+_TRIM = _DEGREES + """, t0 AS (SELECT id FROM deg ORDER BY d DESC, id LIMIT 300)""" + "".join(
+    f", t{k} AS MATERIALIZED (SELECT id FROM t{k - 1} WHERE id IN (SELECT src FROM edges WHERE src IN (SELECT id FROM t{k - 1}) AND dst IN (SELECT id FROM t{k - 1}) UNION SELECT dst FROM edges WHERE src IN (SELECT id FROM t{k - 1}) AND dst IN (SELECT id FROM t{k - 1})))" for k in range(1, 6))
+
+
+@query(_TRIM + "SELECT id FROM t5")
+def trim_top_degree(spark, sf):
+    return G.trim_to(P.edges(spark, sf), P.nodes(spark, sf), 300)
+
+
+@query(_CCI + """, worst AS (SELECT community FROM scored ORDER BY cci DESC, community LIMIT 5), gone AS (SELECT src, dst FROM flagged WHERE internal AND src_community IN (SELECT community FROM worst)),
+    und AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst), cut AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM gone WHERE src <> dst)
+    SELECT (SELECT count(*) FROM gone) AS target_edges, (SELECT count(*) FROM und) AS pairs_before, (SELECT count(*) FROM und WHERE (a, b) NOT IN (SELECT (a, b) FROM cut)) AS pairs_after""")
+def excision_edges(spark, sf):
+    """What goes with the internal edges of the five communities of largest index."""
+    e, n = weighted(spark, sf), P.nodes(spark, sf)
+    worst = S.community_scores(e, n).orderBy(F.desc("cci"), "community").limit(5).select(F.col("community").alias("src_community"))
+    gone = E.with_communities(e, n).filter("internal").join(F.broadcast(worst), "src_community", "left_semi")  # five rows
+    before = E.undirected(e)
+    after = before.join(E.undirected(gone), ["a", "b"], "left_anti")
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    return one(gone, "target_edges").crossJoin(one(before, "pairs_before")).crossJoin(one(after, "pairs_after"))  # one row each
+
+
+@query()
+def graph_health(spark, sf):
+    """Nodes, pairs, components and the giant's share."""
+    e, n = P.edges(spark, sf), P.nodes(spark, sf)
+    sizes = connected_components(e).groupBy("component").agg(F.count("*").alias("k"))
+    return sizes.agg(F.count("*").alias("components"), F.max("k").alias("giant")).crossJoin(n.agg(F.count("*").alias("n_nodes"))).withColumn("giant_share", fixed(F.col("giant") / F.col("n_nodes")))
+
+
+@query()
+def bow_tie(spark, sf):
+    return G.bow_tie(P.edges(spark, sf), P.nodes(spark, sf)).groupBy("part").agg(F.count("*").alias("n"))
+
+
+@query()
+def snowball_sample(spark, sf):
+    e, n = P.edges(spark, sf), P.nodes(spark, sf)
+    seeds = E.degrees(e, n).orderBy(F.desc("in_degree"), "id").limit(5)
+    return G.snowball(e, seeds, 500, 42)
+
+
+@query()
+def louvain_communities(spark, sf):
+    return G.label_moves(P.edges(spark, sf), P.nodes(spark, sf), levels=1, rounds=3)
+
+
+@query()
+def betweenness_sampled(spark, sf):
+    return G.betweenness(P.edges(spark, sf), P.nodes(spark, sf), 32)
+
+
+@query()
+def power_law(spark, sf):
+    counts = E.degrees(P.edges(spark, sf), P.nodes(spark, sf)).groupBy("degree").count().collect()  # a row for each degree
+    alpha, xmin, ks = G.power_law_fit([(r["degree"], r["count"]) for r in counts])
+    return spark.createDataFrame([(alpha, xmin, ks)], "alpha double, xmin long, ks double")
+
+
+@query()
+def null_models(spark, sf):
+    """Pairs and clustering of the graph, a configuration model and an Erdos-Renyi graph of its size."""
+    e, n = P.edges(spark, sf), P.nodes(spark, sf)
+    nodes, pairs = n.count(), E.undirected(e).count()
+    graphs = {"given": E.undirected(e), "configuration": G.configuration_pairs(e, 42), "random": G.random_pairs(nodes, 2 * pairs / max(1, nodes * (nodes - 1)), 42, spark)}
+    out = None
+    for name, g in graphs.items():
+        g = g.selectExpr("a src", "b dst")
+        row = G.local_clustering(g, n).agg(F.lit(name).alias("model"), (F.sum("degree") / 2).cast("long").alias("pairs"), fixed(F.avg("clustering")).alias("clustering"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query()
+def attack_curve(spark, sf):
+    """The giant component's share as nodes go by degree or in random order, five fractions."""
+    e, n = P.edges(spark, sf), P.nodes(spark, sf)
+    d = E.degrees(e, n)
+    orders = {"degree": (F.desc("degree"), "id"), "random": (R.draw("id", 42), "id")}
+    total, out = n.count(), None
+    for name, order in orders.items():
+        for f in (0.5, 0.95):
+            left = d.orderBy(*order).limit(int(f * total)).select("id")
+            kept = n.select("id").join(left, "id", "left_anti")
+            giant = connected_components(E.closed_world(e, kept)).groupBy("component").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("giant"))
+            row = giant.select(F.lit(name).alias("strategy"), F.lit(f).alias("fraction"), (F.col("giant") / total).alias("giant_share"))
+            out = row if out is None else out.unionByName(row)
+    return out
