@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphtrust.llm.common import id_text, map_rows, small_batches
@@ -187,7 +188,9 @@ def train(profiled: DataFrame) -> tuple[dict[int, float], np.ndarray]:
     """(posterior of each vote pattern over all documents, scorer weights)."""
     counts = {r["pattern"]: r["count"] for r in profiled.groupBy("pattern").count().collect()}  # at most 3 ** LABELLERS
     good, _ = weak_labels(counts)
-    sample = profiled.orderBy("draw", "id").limit(SAMPLE_DOCS).select("pattern", "buckets", "values").collect()
+    last = profiled.select("draw").orderBy("draw").limit(SAMPLE_DOCS).agg(F.max("draw")).first()[0]
+    drawn = profiled.filter(F.col("draw") <= F.lit(last))  # few rows but for ties, so features of the rest are not moved
+    sample = drawn.orderBy("draw", "id").limit(SAMPLE_DOCS).select("pattern", "buckets", "values").collect()
     return good, fit_scorer([(r["buckets"], r["values"], good[r["pattern"]]) for r in sample])
 
 
