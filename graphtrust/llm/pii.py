@@ -207,10 +207,14 @@ def find_spans(text: str, field: Field) -> tuple[list, list]:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """The field fitted on the candidates of at most SAMPLE_DOCS documents (least hashes of id and text length) and SAMPLE_TOKENS tokens."""
+    """The field fitted on the candidates of SAMPLE_DOCS documents (least hashes of id and text length) and at most SAMPLE_TOKENS tokens.
+
+    Only hashes are ranked; the texts below the last hash drawn stay where they are read. Repeated rows tie, and all of a tie are taken.
+    """
     rows = id_text(docs, id_col, text_col).filter(F.col("txt").rlike("[0-9@]"))
-    rank = [F.xxhash64("id", F.length("txt")), "id", "txt"]
-    sample = rows.orderBy(*rank[:2]).limit(SAMPLE_DOCS)
+    rank = F.xxhash64("id", F.length("txt"))
+    cut = rows.select(rank.alias("rank")).orderBy("rank").limit(SAMPLE_DOCS).agg(F.max("rank")).first()[0]
+    sample = rows.filter(rank <= F.lit(cut))
     schema = T.StructType([
         T.StructField("id", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("f", T.ArrayType(T.IntegerType())),
         *(T.StructField(c, T.IntegerType()) for c in ("y", "before", "after", "pair")),
