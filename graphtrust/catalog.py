@@ -13,8 +13,11 @@ from graphtrust.functions import stats, text
 from graphtrust.functions.stats import fixed
 from graphtrust.operators import edges as E
 from graphtrust.operators import graph as G
+from graphtrust.operators import prototype as O
 from graphtrust.operators import ranking as R
 from graphtrust.operators import scores as S
+from graphtrust.operators import stability as B
+from graphtrust.operators import student as T
 from graphtrust.operators.components import connected_components
 from graphtrust.plans import project as P
 from graphtrust.runtime import table
@@ -642,3 +645,82 @@ def attack_curve(spark, sf):
             row = giant.select(F.lit(name).alias("strategy"), F.lit(f).alias("fraction"), (F.col("giant") / total).alias("giant_share"))
             out = row if out is None else out.unionByName(row)
     return out
+
+
+# ---- the small-graph profile, stability, student
+
+_PROTO = ["density", "inflation", "reciprocity", "superficiality", "assortativity", "rank_anomaly"]
+_SAMPLE_Z = lambda f: f"CASE WHEN coalesce(stddev_samp({f}) OVER (), 0) > 1e-15 THEN ({f} - avg({f}) OVER ()) / stddev_samp({f}) OVER () ELSE 0 END"
+
+
+@query(_PRE + _pagerank_sql("", 4, "pp") + f""", shallow AS (SELECT src_community AS community, avg(CASE WHEN intent IN ('Background', 'Perfunctory') THEN 1 ELSE 0 END) AS superficiality FROM flagged WHERE internal GROUP BY 1
+), own_out AS (SELECT src AS id, count(*) AS x FROM flagged WHERE internal GROUP BY 1), own_in AS (SELECT dst AS id, count(*) AS y FROM flagged WHERE internal GROUP BY 1
+), mixing AS (SELECT src_community AS community, CASE WHEN stddev_pop(x) * stddev_pop(y) > 1e-15 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) ELSE 0 END AS assortativity
+    FROM flagged JOIN own_out a ON a.id = src JOIN own_in b ON b.id = dst WHERE internal GROUP BY 1
+), odd AS (SELECT n.community, avg(r - coalesce(d, 0) / (SELECT count(*) FROM edges)::DOUBLE) AS rank_anomaly FROM nodes n JOIN pp_4 USING (id) LEFT JOIN indeg USING (id) GROUP BY 1
+), f AS (SELECT community, size, {r9('density')} AS density, {r9('internal_edges / greatest(expected, 1.0::DOUBLE)')} AS inflation, {r9('reciprocity')} AS reciprocity,
+    {r9('coalesce(superficiality, 0)')} AS superficiality, {r9('coalesce(assortativity, 0)')} AS assortativity, {r9('coalesce(rank_anomaly, 0)')} AS rank_anomaly
+    FROM pre LEFT JOIN shallow USING (community) LEFT JOIN mixing USING (community) LEFT JOIN odd USING (community) WHERE size >= 3
+), i AS (SELECT *, {r6('(' + ' + '.join(_SAMPLE_Z(f) for f in _PROTO) + ') / 6')} AS cartel_index FROM f) SELECT *, cartel_index > 2 AS flagged FROM i""")
+def prototype_index(spark, sf):
+    e, n = weighted(spark, sf), P.nodes(spark, sf)
+    return O.prototype_index(e, n, G.pagerank(e, n, rounds=4, stop="fixed"))
+
+
+@query(_PRE + f"SELECT community, size, internal_edges, {r9('density * size')} AS suspicion FROM pre WHERE size > 5 ORDER BY suspicion DESC, community LIMIT 3")
+def dense_groups(spark, sf):
+    return O.dense_groups(P.edges(spark, sf), P.nodes(spark, sf))
+
+
+def _sweep_sql(name: str, start: str) -> str:
+    levels = [f"{name}0 AS (SELECT id, 0 AS d FROM ({start}))"]
+    levels += [f"{name}{k} AS MATERIALIZED (SELECT id, min(d) AS d FROM (SELECT * FROM {name}{k - 1} UNION ALL SELECT a.dst, {k} FROM {name}{k - 1} l JOIN arcs a ON a.src = l.id) GROUP BY 1)" for k in range(1, 9)]
+    return ", " + ", ".join(levels)
+
+
+_FAR = "SELECT id FROM {0}8 ORDER BY d DESC, id LIMIT 1"
+
+
+@query(_DEGREES + ", arcs AS (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst)" + _sweep_sql("u", "SELECT id FROM deg ORDER BY o + i DESC, id LIMIT 1") + _sweep_sql("v", _FAR.format("u"))
+       + f"SELECT (SELECT id FROM u0) AS start, (SELECT id FROM v0) AS far, ({_FAR.format('v')}) AS other, (SELECT max(d)::INTEGER FROM v8) AS diameter")
+def double_sweep(spark, sf):
+    return O.double_sweep(P.edges(spark, sf), P.nodes(spark, sf))
+
+
+@query()
+def edge_removal_curve(spark, sf):
+    """The giant component's share as the internal edges of the three densest groups go, in 20 steps."""
+    e, n = P.edges(spark, sf), P.nodes(spark, sf)
+    worst = O.dense_groups(e, n).select(F.col("community").alias("src_community"))
+    targets = E.with_communities(e, n).filter("internal").join(F.broadcast(worst), "src_community", "left_semi")  # three rows
+    return O.removal_curve(e, n, targets)
+
+
+@query()
+def seed_stability(spark, sf):
+    return B.seed_stability(weighted(spark, sf), P.nodes(spark, sf), (42, 11, 23), levels=1)
+
+
+@query()
+def modularity_significance(spark, sf):
+    return B.modularity_significance(P.edges(spark, sf), P.nodes(spark, sf), nulls=2, levels=1)
+
+
+@query()
+def preferential_model(spark, sf):
+    """(degree, n) of a graph grown by preference, of as many nodes as given."""
+    pairs = B.preferential_pairs(spark, P.nodes(spark, sf).count(), 3, 42)
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    return degree.groupBy("degree").agg(F.count("*").alias("n"))
+
+
+@query()
+def student_inference(spark, sf):
+    """Labels for the edges that have none, from a classifier of pair texts fitted on those that have."""
+    e, n = P.edges(spark, sf), P.nodes(spark, sf)
+    a, b = n.selectExpr("id src", "title src_title"), n.selectExpr("id dst", "title dst_title")
+    pair = lambda rows: rows.join(a, "src", "left").join(b, "dst", "left").withColumn("text", F.concat_ws(" ", "src_title", "dst_title"))
+    labelled = P.semantics(e)
+    model = T.fit_student(pair(labelled).select("text", F.col("intent").alias("label")), rounds=5)
+    rest = pair(e.join(labelled.select("edge_id"), "edge_id", "left_anti"))
+    return T.infer(model, rest).select("edge_id", "student_label", "student_confidence")

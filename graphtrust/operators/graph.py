@@ -150,10 +150,10 @@ def bow_tie(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return all_nodes.select("id", part.alias("part"))
 
 
-def label_moves(edges: DataFrame, nodes: DataFrame, weight: str | None = None, levels: int = 2, rounds: int = 3) -> DataFrame:
+def label_moves(edges: DataFrame, nodes: DataFrame, weight: str | None = None, levels: int = 2, rounds: int = 3, seed: int = 0) -> DataFrame:
     """(id, community): Louvain by simultaneous local moves and contraction.
 
-    In a round, half of the nodes (by a hash that changes with the round) move to the neighbouring community of largest
+    In a round, half of the nodes (by a hash that changes with round and seed) move to the neighbouring community of largest
     modularity gain; communities are contracted between levels. Community names are their least node; deterministic.
     """
     w = F.col(weight) if weight else F.lit(1.0)
@@ -173,7 +173,7 @@ def label_moves(edges: DataFrame, nodes: DataFrame, weight: str | None = None, l
             held = state.selectExpr("u", "c own", "k")
             gain = to.join(tot, "c").join(held, "u").withColumn("gain", F.col("in") - F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / (2 * total))
             best = gain.groupBy("u").agg(F.max(F.struct("gain", (-F.col("c")).alias("minus"))).alias("best"))
-            moves = F.pmod(F.xxhash64("u", F.lit(r)), F.lit(2)) == 0
+            moves = F.pmod(F.xxhash64("u", F.lit(r + 1000 * seed)), F.lit(2)) == 0
             state = checkpoint(state.join(best, "u", "left").select("u", F.when(moves & F.col("best").isNotNull(), -F.col("best")["minus"]).otherwise(F.col("c")).alias("c"), "k"))
         names = checkpoint(state.join(state.groupBy("c").agg(F.min("u").alias("name")), "c").select("u", "name"))
         place = checkpoint(place.join(names, place["community"] == names["u"], "left").select("id", F.coalesce("name", "community").alias("community")))
