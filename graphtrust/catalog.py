@@ -482,7 +482,7 @@ def trust_pagerank_shift(spark, sf):
     e, n = weighted(spark, sf), P.nodes(spark, sf)
     plain = G.pagerank(e, n, rounds=4, stop="fixed").select("id", fixed(F.col("rank"), 9).alias("rank_plain"))
     trust = G.pagerank(e, n, "weight", rounds=4, stop="fixed").select("id", fixed(F.col("rank"), 9).alias("rank_trust"))
-    place = lambda c: F.rank().over(Window.orderBy(F.desc(c)))
+    place = lambda c: F.rank().over(Window.orderBy(F.desc(c))).cast("long")
     rows = plain.join(trust, "id").withColumns({"place_plain": place("rank_plain"), "place_trust": place("rank_trust")})
     return rows.withColumn("rank_drop", F.col("place_trust") - F.col("place_plain"))
 
