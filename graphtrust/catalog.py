@@ -15,12 +15,13 @@ from graphtrust.operators import edges as E
 from graphtrust.operators import graph as G
 from graphtrust.operators import prototype as O
 from graphtrust.operators import ranking as R
+from graphtrust.operators import resilience as C
 from graphtrust.operators import scores as S
 from graphtrust.operators import stability as B
 from graphtrust.operators import student as T
 from graphtrust.operators.components import connected_components
 from graphtrust.plans import project as P
-from graphtrust.runtime import table
+from graphtrust.runtime import checkpoint, table
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -482,8 +483,8 @@ def trust_pagerank_shift(spark, sf):
     e, n = weighted(spark, sf), P.nodes(spark, sf)
     plain = G.pagerank(e, n, rounds=4, stop="fixed").select("id", fixed(F.col("rank"), 9).alias("rank_plain"))
     trust = G.pagerank(e, n, "weight", rounds=4, stop="fixed").select("id", fixed(F.col("rank"), 9).alias("rank_trust"))
-    place = lambda c: F.rank().over(Window.orderBy(F.desc(c))).cast("long")
-    rows = plain.join(trust, "id").withColumns({"place_plain": place("rank_plain"), "place_trust": place("rank_trust")})
+    rows = R.ranks(R.ranks(checkpoint(plain.join(trust, "id")), "rank_plain", "place_plain"), "rank_trust", "place_trust")
+    rows = rows.select("id", "rank_plain", "rank_trust", "place_plain", "place_trust")
     return rows.withColumn("rank_drop", F.col("place_trust") - F.col("place_plain"))
 
 
@@ -632,19 +633,41 @@ def null_models(spark, sf):
 
 @query()
 def attack_curve(spark, sf):
-    """The giant component's share as nodes go by degree or in random order, five fractions."""
+    """The giant component's share and mean path as nodes go in three orders, twenty fractions each; betweenness from all sources."""
     e, n = P.edges(spark, sf), P.nodes(spark, sf)
-    d = E.degrees(e, n)
-    orders = {"degree": (F.desc("degree"), "id"), "random": (R.draw("id", 42), "id")}
-    total, out = n.count(), None
-    for name, order in orders.items():
-        for f in (0.5, 0.95):
-            left = d.orderBy(*order).limit(int(f * total)).select("id")
-            kept = n.select("id").join(left, "id", "left_anti")
-            giant = connected_components(E.closed_world(e, kept)).groupBy("component").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("giant"))
-            row = giant.select(F.lit(name).alias("strategy"), F.lit(f).alias("fraction"), (F.col("giant") / total).alias("giant_share"))
-            out = row if out is None else out.unionByName(row)
-    return out
+    return C.attack_curve(e, n, C.attack_orders(e, n), sources=1)
+
+
+@query(_DEGREES + f""", each AS (SELECT 'in' AS direction, i AS k FROM deg UNION ALL SELECT 'out', o FROM deg)
+    SELECT direction, {r6('avg(k)')} AS mean, list_sort(list(k))[(count(*) // 2 + 1)::INTEGER] AS upper_median, max(k) AS largest, {r6('100.0::DOUBLE * count(*) FILTER (WHERE k > 0) / count(*)')} AS percent_above_zero FROM each GROUP BY 1""")
+def direction_profile(spark, sf):
+    """Mean, upper median and largest of in- and out-degrees."""
+    d = E.degrees(P.edges(spark, sf), P.nodes(spark, sf))
+    each = d.select(F.explode(F.array(*[F.struct(F.lit(name).alias("direction"), F.col(c).alias("k")) for name, c in (("in", "in_degree"), ("out", "out_degree"))])).alias("e")).select("e.*")
+    return each.groupBy("direction").agg(fixed(F.avg("k")).alias("mean"), stats.upper_median("k").alias("upper_median"), F.max("k").alias("largest"), fixed(F.count_if(F.col("k") > 0) * 100.0 / F.count("*")).alias("percent_above_zero"))
+
+
+@query(_UND + f""", deg2 AS (SELECT id, count(*) AS d FROM (SELECT a AS id FROM und UNION ALL SELECT b FROM und) GROUP BY 1),
+    ks AS (SELECT DISTINCT d AS k FROM deg2), held AS (SELECT k, count(*) AS n FROM ks JOIN deg2 ON d > k GROUP BY 1),
+    low AS (SELECT least(x.d, y.d) AS d FROM und JOIN deg2 x ON x.id = a JOIN deg2 y ON y.id = b), kept AS (SELECT k, count(*) AS m FROM ks JOIN low ON d > k GROUP BY 1)
+    SELECT k AS degree, n AS nodes, coalesce(m, 0) AS pairs, {r6('2.0::DOUBLE * coalesce(m, 0) / (n * (n - 1))')} AS rich_club FROM held LEFT JOIN kept USING (k) WHERE n > 1""")
+def rich_club(spark, sf):
+    return C.rich_club(P.edges(spark, sf))
+
+
+@query(_UND + """, f AS (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM edges) AS m)
+    SELECT n AS n_nodes, m AS n_edges, (SELECT count(*) FROM und) AS n_pairs, """ + r9("m / (n * (n - 1))::DOUBLE") + """ AS density FROM f""")
+def edge_scalars(spark, sf):
+    """Nodes, edges, pairs and directed density."""
+    e, n = P.edges(spark, sf), P.nodes(spark, sf)
+    one = e.agg(F.count("*").alias("n_edges")).crossJoin(E.undirected(e).agg(F.count("*").alias("n_pairs"))).crossJoin(n.agg(F.count("*").alias("n_nodes")))  # one row each
+    return one.select("n_nodes", "n_edges", "n_pairs", fixed(F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1)), 9).alias("density"))
+
+
+@query()
+def topology_baseline(spark, sf):
+    """Density, clustering and paths from sampled nodes of the giant component."""
+    return C.topology_baseline(P.edges(spark, sf), P.nodes(spark, sf))
 
 
 # ---- the small-graph profile, stability, student

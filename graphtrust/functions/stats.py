@@ -41,6 +41,5 @@ def mean_of(*columns: Column) -> Column:
 
 
 def upper_median(x: str) -> Column:
-    """Aggregate: sorted[n // 2]."""
-    every = F.sort_array(F.collect_list(x))
-    return F.element_at(every, (F.floor(F.size(every) / 2) + 1).cast("int"))
+    """Aggregate: sorted[n // 2] of whole numbers. Counts by distinct values are merged, not the values themselves."""
+    return F.expr(f"CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY {x} DESC) AS BIGINT)")

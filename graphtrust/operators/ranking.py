@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphtrust.runtime import spill
+
 
 def draw(key: str, seed: int) -> Column:
     """A reproducible random order of a key."""
@@ -19,6 +21,23 @@ def keep_first(df: DataFrame, key: str, *order: Column) -> DataFrame:
     return df.withColumn("_n", n).filter("_n = 1").drop("_n")
 
 
+def prefix_sums(df: DataFrame, weight: Column, *order: Column | str) -> DataFrame:
+    """df with `before`: the weights of all rows ahead of a row in a total order. Ranges are sorted by many tasks, and their totals (a row for each) summed."""
+    rows = spill(df.withColumn("_w", weight).orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    rows = rows.withColumn("_range", F.shiftright("_at", 33))
+    totals = rows.groupBy("_range").agg(F.sum("_w").alias("_total"))
+    ahead = totals.select("_range", (F.sum("_total").over(Window.orderBy("_range")) - F.col("_total")).alias("_ahead"))
+    inside = F.coalesce(F.sum("_w").over(Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_inside", inside).join(F.broadcast(ahead), "_range").withColumn("before", F.col("_ahead") + F.col("_inside")).drop("_w", "_at", "_range", "_ahead", "_inside")
+
+
+def ranks(df: DataFrame, value: str, name: str) -> DataFrame:
+    """df with the rank of value, the largest first, equals sharing the least: counted by distinct values, so ties aren't one task's."""
+    counts = df.groupBy(value).agg(F.count("*").alias("_k"))
+    at = prefix_sums(counts, F.col("_k"), F.desc(value)).select(value, (F.col("before") + 1).cast("long").alias(name))
+    return df.join(at, value)
+
+
 def sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """Exactly min(n, rows) rows."""
     return df.orderBy(draw(key, seed), key).limit(max(0, n))

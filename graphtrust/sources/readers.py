@@ -58,6 +58,14 @@ def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return read("node", "_id string").selectExpr("_id id"), read("edge", "_source string, _target string").selectExpr("_source src", "_target dst")
 
 
+def config(path: str) -> dict:
+    """A YAML file of the driver as a dict; an empty one gives {}."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        return yaml.safe_load(f) or {}
+
+
 def require(df: DataFrame, *columns: str) -> DataFrame:
     """df, or ValueError where columns are missing."""
     missing = [c for c in columns if c not in df.columns]
