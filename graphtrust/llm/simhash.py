@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,8 @@ from graphtrust.runtime import spill
 
 #: Fingerprints of a block at most, but for the chance of a hash; blocks at least, for parallel work; rows of a tile.
 BLOCK_ROWS, LEAST_BLOCKS, TILE_ROWS = 131_072, 8, 512
+#: A fingerprint of more than one in so many rows is joined by broadcast, so that no task gathers its copies. Stands for a null id, ranked last.
+OFTEN, NO_ID = 4096, 2**63 - 1
 _CHUNK = 65_536  # shingles whose bits are counted at once
 FINGERPRINT = T.StructType([T.StructField("id", T.LongType()), T.StructField("fp", T.StringType()), T.StructField("pop", T.IntegerType())])
 
@@ -167,28 +169,35 @@ def plan_blocks(histogram: dict[int, int], radius: int) -> list[tuple[int, int,
 
 
 def similar_links(distinct: DataFrame, radius: int) -> DataFrame:
-    """(src, dst) hex fingerprints: a forest that spans every link among the distinct (fp, pop) rows."""
+    """(src, dst) nodes (first, fp): a forest that spans every link among the distinct (fp, pop, first) rows; a null `first` ranks last."""
     histogram = {r["pop"]: r["count"] for r in distinct.groupBy("pop").count().collect()}  # at most one row for each bit and one
     plan = plan_blocks(histogram, radius)
     lookup = lambda k: F.create_map(*[F.lit(v) for r in plan for v in (r[0], r[k])])[F.col("pop")]
     if not plan:
-        return distinct.select(F.col("fp").alias("src"), F.col("fp").alias("dst")).limit(0)
-    dealt = distinct.select("fp", (lookup(1) + F.pmod(F.xxhash64("fp"), lookup(2))).cast("int").alias("block"), F.explode(F.sequence(lookup(3), lookup(4))).alias("meets"))
+        return distinct.select(_node("first", "fp").alias("src"), _node("first", "fp").alias("dst")).limit(0)
+    dealt = distinct.select("fp", F.coalesce("first", F.lit(NO_ID)).alias("first"), (lookup(1) + F.pmod(F.xxhash64("fp"), lookup(2))).cast("int").alias("block"), F.explode(F.sequence(lookup(3), lookup(4))).alias("meets"))
     dealt = dealt.withColumns({"lo": F.least("block", "meets"), "hi": F.greatest("block", "meets")})
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         lo, hi = key
-        mine = rows["block"] == lo
-        a, b = rows["fp"][mine].to_numpy(), rows["fp"][~mine].to_numpy()
+        mine = (rows["block"] == lo).to_numpy()
+        a, b = np.flatnonzero(mine), np.flatnonzero(~mine)
+        fps, first = rows["fp"].to_numpy(), rows["first"].to_numpy()
         if lo == hi:
-            forest, names = links_within(_words(a), None, radius), a
+            forest, names = links_within(_words(fps[a]), None, radius), a
         elif not len(a) or not len(b):
             forest, names = np.zeros((0, 2), int), a
         else:
-            forest, names = links_within(_words(a), _words(b), radius), np.concatenate([a, b])
-        return pd.DataFrame({"src": names[forest[:, 0]], "dst": names[forest[:, 1]]}, dtype=object)
+            forest, names = links_within(_words(fps[a]), _words(fps[b]), radius), np.concatenate([a, b])
+        src, dst = names[forest[:, 0]], names[forest[:, 1]]
+        return pd.DataFrame({"sf": first[src], "s": fps[src], "df": first[dst], "d": fps[dst]})
 
-    return dealt.groupBy("lo", "hi").applyInPandas(compare, "src string, dst string")
+    links = dealt.groupBy("lo", "hi").applyInPandas(compare, "sf long, s string, df long, d string")
+    return links.select(_node("sf", "s").alias("src"), _node("df", "d").alias("dst"))
+
+
+def _node(first: str, fp: str) -> Column:
+    return F.struct(F.coalesce(first, F.lit(NO_ID)).alias("first"), F.col(fp).alias("fp"))
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, words: int = 4, radius: int = 52) -> DataFrame:
@@ -197,14 +206,18 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     The defaults (5-word shingles, 256 bits, 52 apart) correspond to a Jaccard similarity of 0.8 or more:
     0.8 has 39 bits expected, 0.5 has 68, unrelated texts 128. Null or empty texts: the zero fingerprint, linked
     like any other. Repeated rows are returned as often as given; rows of null id are linked, and a class of null ids
-    only has a null component_id. Other columns are ignored. An empty table: no rows.
+    only has a null component_id, as has one whose smallest id is 2**63 - 1. Other columns are ignored. An empty table: no rows.
     """
     fps = spill(fingerprints(docs, id_col, text_col, width, words), "fingerprints")
-    distinct = spill(fps.groupBy("fp", "pop").agg(F.min("id").alias("first")), "distinct-fingerprints")
+    distinct = spill(fps.groupBy("fp", "pop").agg(F.min("id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
     roots = connected_components(similar_links(distinct, radius))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("root")
-    )
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return fps.select("id", "fp").join(named, "fp", "left")
+    # a class's least node has its smallest id, so no row is gathered by class
+    linked = roots.select(F.col("node.fp").alias("fp"), F.nullif(F.col("component.first"), F.lit(NO_ID)).alias("root"), F.lit(True).alias("linked"))
+    component = F.when(F.col("linked"), F.col("root")).otherwise(F.col("first")).alias("component_id")
+    named = spill(distinct.join(linked, "fp", "left").select("fp", "n", component), "named-fingerprints")
+    total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = F.col("n") * OFTEN > total
+    hot = F.broadcast(named.filter(often).drop("n"))  # fewer than OFTEN rows
+    rows = fps.select("id", "fp")
+    rest = rows.join(hot.select("fp"), "fp", "left_anti").join(named.filter(~often).drop("n"), "fp")
+    return rows.join(hot, "fp").unionByName(rest)
