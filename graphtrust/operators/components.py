@@ -8,15 +8,26 @@ from pyspark.sql import functions as F
 from graphtrust.runtime import checkpoint
 
 
+#: See _hook; broadcasts at most so many nodes.
+OFTEN = 4096
+
+
 def _signature(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return row["n"], row["h"]
 
 
-def _hook(pairs: DataFrame) -> DataFrame:
-    """(u, v) with the least neighbour m of u; the minimum is pre-aggregated and the hub side of the join can be split."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    return pairs.join(least, "u")
+def _hook(pairs: DataFrame, most: int) -> DataFrame:
+    """(u, v, m) with the least neighbour m of u, for distinct pairs of which there are at most `most`.
+
+    The minimum is pre-aggregated. A hub, a node with more than one in OFTEN of `most` pairs, gets its m by broadcast, so
+    that no task gathers its pairs; there are fewer than OFTEN hubs.
+    """
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    is_hub = F.col("n") * OFTEN > most
+    hubs = F.broadcast(least.filter(is_hub).drop("n"))
+    rest = pairs.join(hubs.select("u"), "u", "left_anti").join(least.filter(~is_hub).drop("n"), "u")
+    return pairs.join(hubs, "u").unionByName(rest)
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
@@ -36,10 +47,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (
-            _hook(both).withColumn("m", F.least("u", "m")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            _hook(both, 2 * seen[0]).withColumn("m", F.least("u", "m")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .filter("u <> v").distinct()
         )
-        hooked = _hook(large)
+        hooked = _hook(checkpoint(large), 2 * seen[0])
         small = hooked.select("u", F.col("m").alias("v")).unionByName(
             hooked.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         ).distinct()
