@@ -1,16 +1,17 @@
-"""Substring dedup by line hashing, with units fine enough for passages that stand inside lines.
+"""Substring dedup by the words themselves: a passage is found wherever it begins and ends, however it is cased or wrapped.
 
-A line falls into units at sentence ends and before capitalised words. A window is the shortest run of units from a
-unit on with at least WINDOW_WORDS words; its normalised words (lower case, single spaces) are hashed. Windows begin
-and end by what they hold, so a repeated passage has the same windows wherever it stands. Digests are grouped over all
-documents; the occurrence in the smallest id is kept, and of a document's own the first. Other windows are
-joined to spans, and spans of LEAST_WORDS words or more are removed.
+A gram is LEAST_WORDS words in a row, normalised (lower case, single spaces). Grams are grouped over all documents; the
+occurrence in the smallest id is kept, and of a document's own the first. The others' unions are the removed spans, so
+every repeat of LEAST_WORDS words or more goes whole. To keep the grouped grams few, each is first stood for by its
+anchor, the least hash of the WINDOW_WORDS words in a row inside it: equal grams have equal anchors, a text has about one
+in twelve words, and only grams whose anchor some other document shares are hashed and grouped themselves.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,77 +20,105 @@ from pyspark.sql import types as T
 from graphtrust.llm.common import id_text, map_rows
 from graphtrust.runtime import spill
 
-#: Words of a window at least; words of a removed span at least.
+#: Words that an anchor hashes; words of a removed span at least.
 WINDOW_WORDS, LEAST_WORDS = 8, 30
 _WORD = re.compile(r"\S+")
-_WINDOWS = T.StructType([
-    T.StructField("id", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("again", T.BooleanType()),
-    *(T.StructField(c, T.IntegerType()) for c in ("first", "last", "start", "stop")),
-])
+_FACTOR = 0x9E3779B97F4A7C15
+_LONGS, _INTS = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
+_ANCHORS = T.StructType([T.StructField("id", T.LongType()), T.StructField("anchors", _LONGS), T.StructField("again", T.BooleanType())])
+_GRAMS = T.StructType([T.StructField("id", T.LongType()), T.StructField("part", T.LongType()), T.StructField("digests", _LONGS), T.StructField("firsts", _INTS), T.StructField("again", _INTS)])
 
 
-def windows(text: str) -> list[tuple[int, bool, int, int, int, int]]:
-    """(digest, whether it stood before in the text, first word, last word + 1, start, end) of each window; a text's tail shorter than a window is part of the last one."""
-    spans = [m.span() for m in _WORD.finditer(text)]
-    if not spans:
-        return []
+def word_hashes(text: str) -> np.ndarray:
+    """A hash of each word, lower-cased."""
+    found = _WORD.findall(text)
     words = text.lower().split()
-    if len(words) != len(spans):  # a lower-cased character that splits
-        words = [text[a:b].lower() for a, b in spans]
-    cuts, stopped, at = [], True, 0
-    for k, (a, b) in enumerate(spans):
-        if stopped or text[a].isupper() or "\n" in text[at:a]:
-            cuts.append(k)
-        stopped, at = text[b - 1] in ".!?", b
-    cuts.append(len(spans))
-    out, seen, n = [], set(), len(cuts) - 1
-    stop = 0
-    for k in range(n):
-        first = cuts[k]
-        stop = max(stop, k + 1)
-        while stop < n and cuts[stop] - first < WINDOW_WORDS:
-            stop += 1
-        last = cuts[stop]
-        if last - first < WINDOW_WORDS and k:
-            break
-        digest = xxhash.xxh3_64_intdigest(" ".join(words[first:last]).encode("utf-8", "surrogatepass"))
-        digest -= (digest >> 63) << 64
-        out.append((digest, digest in seen, first, last, spans[first][0], spans[last - 1][1]))
-        seen.add(digest)
+    if len(words) != len(found):  # a lower-cased character that splits
+        words = [w.lower() for w in found]
+    return np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+
+
+def rolled(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n in a row, put together from runs of powers of two."""
+    out, at, run, size, last = None, n, hashes, 1, len(hashes) - n + 1
+    while size <= n:
+        if n & size:  # the runs of lesser powers stand to the right
+            at -= size
+            part = run[at : at + last] * np.uint64(pow(_FACTOR, n - at - size, 2**64))
+            out = part if out is None else out + part
+        run = run[:-size] * np.uint64(pow(_FACTOR, size, 2**64)) + run[size:]
+        size *= 2
     return out
 
 
-def joined(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
-    """(start, end) of the unions of overlapping or adjacent windows (first, last, start, end) that have LEAST_WORDS words or more."""
-    out: list[list[int]] = []
-    for first, last, start, stop in sorted(found):
-        if out and first <= out[-1][1]:
-            if last > out[-1][1]:
-                out[-1][1], out[-1][3] = last, stop
+def anchored(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, anchor, whether it stood before in the text) of the gram at each word; empty where the text is shorter than one."""
+    if len(hashes) < LEAST_WORDS:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+    least, width, size = rolled(hashes, WINDOW_WORDS), LEAST_WORDS - WINDOW_WORDS + 1, 1
+    while size < width:
+        step = min(size, width - size)
+        least = np.minimum(least[:-step], least[step:])
+        size += step
+    digests = rolled(hashes, LEAST_WORDS).view(np.int64)
+    again = np.ones(len(digests), bool)
+    again[np.unique(digests, return_index=True)[1]] = False
+    return digests, least.view(np.int64), again
+
+
+def removed(text: str, grams: list[int]) -> list[tuple[int, int]]:
+    """(start, end) of the unions of overlapping or adjacent grams that begin at the given words.
+
+    A single word that a sentence end parts from the rest of the union, with text beyond it, is taken for its neighbours'
+    and stays: there a word may well be equal by chance.
+    """
+    if not grams:
+        return []
+    words = [m.span() for m in _WORD.finditer(text)]
+    runs: list[list[int]] = []
+    for first in sorted(grams):
+        if runs and first <= runs[-1][1]:
+            runs[-1][1] = first + LEAST_WORDS
         else:
-            out.append([first, last, start, stop])
-    return [(s, e) for a, b, s, e in out if b - a >= LEAST_WORDS]
+            runs.append([first, first + LEAST_WORDS])
+    stops = lambda k: text[words[k][1] - 1] in ".!?"
+    for run in runs:
+        if run[1] < len(words) and run[1] - run[0] > LEAST_WORDS and stops(run[1] - 2) and not stops(run[1] - 1):
+            run[1] -= 1
+        if run[0] and run[1] - run[0] > LEAST_WORDS and stops(run[0]) and not stops(run[0] - 1):
+            run[0] += 1
+    return [(words[a][0], words[b - 1][1]) for a, b in runs]
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, spans) for the ids that have spans to remove: an array of (start, end) in code points of the original text."""
+def repeated_grams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(of, part, grams) for the texts that have grams to remove: the words at which they begin. part: a hash of the text, as rows of one id may differ."""
+    texts = id_text(docs, id_col, text_col, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("part")).filter("id is not null")
 
-    def fn(ids, texts):
+    def anchors(ids, texts):
         for i, text in zip(ids, texts, strict=True):
-            for w in windows(text):
-                yield i, *w
-
-    rows = spill(map_rows(id_text(docs, id_col, text_col), fn, _WINDOWS), "windows")
-    key = F.coalesce("id", F.lit(2**63 - 1))
-    shared = rows.filter(~F.col("again")).groupBy("digest").agg(F.min(key).alias("keeper"), F.max(key).alias("latest")).filter("latest > keeper").drop("latest")
-    window = F.struct("first", "last", "start", "stop")
-    others = rows.filter(~F.col("again")).join(shared, "digest").filter(key > F.col("keeper")).select("id", window.alias("w"))
-    own = rows.filter("again").select("id", window.alias("w"))
-    merge = F.udf(lambda found: joined([tuple(w) for w in found]), T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])))
-    return (
-        others.unionByName(own).filter(F.col("id").isNotNull()).groupBy("id").agg(F.collect_set("w").alias("found"))
-        .select("id", merge("found").alias("spans")).filter(F.size("spans") > 0)
-    )  # a document's own windows only: bounded by its length
+            _, found, again = anchored(word_hashes(text))
+            if len(found):
+                yield i, np.unique(found), bool(again.any())
+
+    def grams(ids, texts, parts, shared):
+        for i, text, part, held in zip(ids, texts, parts, shared, strict=True):
+            digests, found, again = anchored(word_hashes(text))
+            at = np.flatnonzero(np.isin(found, np.array(held, np.int64)) & ~again)
+            yield i, part, digests[at], at, np.flatnonzero(again)
+
+    def in_more(rows: DataFrame) -> DataFrame:
+        """(digest, keeper) of those that more than one id holds."""
+        return rows.groupBy("digest").agg(F.min("id").alias("keeper"), F.max("id").alias("latest")).filter("latest > keeper").drop("latest")
+
+    first = spill(map_rows(texts.select("id", "txt"), anchors, _ANCHORS), "anchors")
+    each = first.select("id", F.explode("anchors").alias("digest"))
+    shared = each.join(in_more(each), "digest").select("id", "digest").unionByName(first.filter("again").select("id", F.lit(None).cast("long").alias("digest")))
+    shared = shared.groupBy(F.col("id").alias("of")).agg(F.collect_set("digest").alias("shared"))  # a document's own anchors: bounded by its length
+    second = spill(map_rows(texts.join(shared, F.col("id") == F.col("of")).select("id", "txt", "part", "shared"), grams, _GRAMS), "grams")
+    each = second.select("id", "part", F.explode(F.arrays_zip("digests", "firsts")).alias("g")).select("id", "part", F.col("g.digests").alias("digest"), F.col("g.firsts").alias("first"))
+    others = each.join(in_more(each), "digest").filter("id > keeper").select("id", "part", "first")
+    own = second.select("id", "part", F.explode("again").alias("first"))
+    return others.unionByName(own).groupBy(F.col("id").alias("of"), "part").agg(F.collect_set("first").alias("grams"))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,16 +128,17 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     document, which keeps what only it holds; null ids rank last, and their repeats are kept. Other columns are ignored; an
     empty table gives no rows.
     """
-    spans = repeated_spans(docs, id_col, text_col)
-    rows = id_text(docs, id_col, text_col).join(spans.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").select("id", "txt", "spans")
+    found = repeated_grams(docs, id_col, text_col).withColumnRenamed("part", "of_part")
+    rows = id_text(docs, id_col, text_col, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("part"))
+    rows = rows.join(found, (F.col("id") == F.col("of")) & (F.col("part") == F.col("of_part")), "left").select("id", "txt", "grams")
     schema = T.StructType([
         T.StructField("id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("removed_spans", T.StringType()),
         *(T.StructField(c, T.LongType()) for c in ("n_removed", "removed_chars", "kept_chars")),
     ])
 
-    def fn(ids, texts, cuts):
-        for i, text, cut in zip(ids, texts, cuts, strict=True):
-            cut = [(min(c["start"], len(text)), min(c["stop"], len(text))) for c in cut or []]
+    def fn(ids, texts, grams):
+        for i, text, held in zip(ids, texts, grams, strict=True):
+            cut = removed(text, held or [])
             edges = [0, *(x for c in cut for x in c), len(text)]
             kept = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if cut else text
             yield i, kept, ",".join(f"{a}:{b}" for a, b in cut), len(cut), len(text) - len(kept), len(kept)

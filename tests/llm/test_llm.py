@@ -229,6 +229,42 @@ def test_op10_removes_later_passages_only(spark, odd):
     assert substrings.dedup_substrings(odd.limit(0)).count() == 0
 
 
+def test_op10_removes_whole_passages_wherever_they_stand(spark):
+    rng = random.Random(7)
+    words = lambda n: [rng.choice("bcdfghjklm") + str(rng.randrange(10**6)) for _ in range(n)]
+    wrapped = lambda ws: "".join(w + rng.choice((" ", " ", "\n", "  ")) for w in ws)
+    rows, spans = [], {}
+    for k, n in enumerate([30, 31, 51, 52, 55, 60, 66, 73, 80, 29]):
+        passage = words(n)
+        for copy, form in enumerate((str.lower, str.upper, str.capitalize)):
+            before, after = words(40), words(40)
+            text = [wrapped(before), wrapped(map(form, passage)).rstrip(), " " + wrapped(after)]
+            rows.append((100 * copy + k, "".join(text)))
+            if copy and n >= 30:
+                spans[rows[-1][0]] = f"{len(text[0])}:{len(text[0]) + len(text[1])}"
+    rows += [(500, " ".join(words(40))), (500, rows[0][1]), (None, rows[0][1])]
+    got = substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["id"]: r["removed_spans"] for r in got if r["n_removed"] and r["id"] != 500} == spans
+    assert sorted(r["n_removed"] for r in got if r["id"] == 500) == [0, 1] and [r["n_removed"] for r in got if r["id"] is None] == [0]
+
+
+def test_op10_equals_plain_grams(spark):
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(["a", "b", "c"]) * rng.randrange(1, 3) for _ in range(rng.randrange(200)))) for k in range(40)]
+    rows += [(k + 40, rows[rng.randrange(40)][1][rng.randrange(20):] + " tail") for k in range(40)]
+    seen, want = set(), {}
+    for k, text in rows:
+        words = text.split()
+        grams, gone = [" ".join(words[p : p + 30]) for p in range(len(words) - 29)], set()
+        for p, gram in enumerate(grams):
+            if gram in seen:
+                gone |= set(range(p, p + 30))
+            seen.add(gram)
+        want[k] = [w for p, w in enumerate(words) if p not in gone]
+    got = {r["id"]: r["text"].split() for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and any(len(got[k]) < len(t.split()) for k, t in rows)
+
+
 def test_pipeline_stages(spark, docs):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     held = docs.collect()
