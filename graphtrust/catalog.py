@@ -192,6 +192,20 @@ def cci_scores(spark, sf):
     return rows.select(*keep, *[fixed(F.col(f)).alias(f) for f in _FEATURES + ["inflation"]], "cci", "structural_cci", "cci_rank")
 
 
+def full_scores(spark, sf: str) -> DataFrame:
+    """The index from all six features: ranks' drops included."""
+    e, n = weighted(spark, sf), P.nodes(spark, sf)
+    return S.community_scores(e, n, checkpoint(S.rank_drops(e, n)))
+
+
+@query()
+def cci_scores_full(spark, sf):
+    """cci_scores with the trust-PageRank feature, from stationary ranks."""
+    keep = ["community", "size", "internal_edges", "reciprocal_edges", "typed_edges", "shallow_edges"]
+    drop = fixed(F.col("mean_rank_drop"), 12).alias("mean_rank_drop")
+    return full_scores(spark, sf).select(*keep, *[fixed(F.col(f)).alias(f) for f in _FEATURES[:-1]], drop, fixed(F.col("inflation")).alias("inflation"), "cci", "structural_cci", "cci_rank")
+
+
 _RANKS = lambda x: f"rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0::DOUBLE"
 _BASELINES = ["density", "inflation", "reciprocity", "structural_cci", "superficiality"]
 
@@ -212,11 +226,23 @@ def spearman_baselines(spark, sf):
     return S.compare(fine, _BASELINES)
 
 
+@query()
+def spearman_baselines_full(spark, sf):
+    """spearman_baselines of the index from all six features."""
+    return S.compare(checkpoint(full_scores(spark, sf).select("community", "cci", "structural_cci", *[fixed(F.col(f)).alias(f) for f in _BASELINES if f != "structural_cci"])), _BASELINES)
+
+
 @query(_CCI + "SELECT community, cci, " + ", ".join(r6("(" + " + ".join(f"{g}_z" for g in _FEATURES if g != f) + ") / 5") + f" AS without_{f}" for f in _FEATURES) + " FROM scored")
 def ablation(spark, sf):
     return S.ablations(S.community_scores(weighted(spark, sf), P.nodes(spark, sf)))
 
 
+@query()
+def ablation_full(spark, sf):
+    """ablation of the index from all six features."""
+    return S.ablations(full_scores(spark, sf))
+
+
 _PRE = """, und AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst
 ), vol AS (SELECT n.community, count(*) AS volume FROM (SELECT a AS id FROM und UNION ALL SELECT b FROM und) JOIN nodes n USING (id) GROUP BY 1
 ), pre_inner AS (SELECT src_community AS community, count(*) AS internal_edges, count(*) FILTER (WHERE reciprocal) AS reciprocal_edges FROM flagged WHERE internal GROUP BY 1
@@ -572,14 +598,28 @@ def trim_top_degree(spark, sf):
 def excision_edges(spark, sf):
     """What goes with the internal edges of the five communities of largest index."""
     e, n = weighted(spark, sf), P.nodes(spark, sf)
-    worst = S.community_scores(e, n).orderBy(F.desc("cci"), "community").limit(5).select(F.col("community").alias("src_community"))
-    gone = E.with_communities(e, n).filter("internal").join(F.broadcast(worst), "src_community", "left_semi")  # five rows
+    return _excised(e, n, S.community_scores(e, n))
+
+
+def _excised(e: DataFrame, n: DataFrame, scores: DataFrame) -> DataFrame:
+    gone = _targets(e, n, scores)
     before = E.undirected(e)
     after = before.join(E.undirected(gone), ["a", "b"], "left_anti")
     one = lambda df, name: df.agg(F.count("*").alias(name))
     return one(gone, "target_edges").crossJoin(one(before, "pairs_before")).crossJoin(one(after, "pairs_after"))  # one row each
 
 
+def _targets(e: DataFrame, n: DataFrame, scores: DataFrame) -> DataFrame:
+    worst = scores.orderBy(F.desc("cci"), "community").limit(5).select(F.col("community").alias("src_community"))
+    return E.with_communities(e, n).filter("internal").join(F.broadcast(worst), "src_community", "left_semi")  # five rows
+
+
+@query()
+def excision_edges_full(spark, sf):
+    """excision_edges, the communities chosen by all six features."""
+    return _excised(weighted(spark, sf), P.nodes(spark, sf), full_scores(spark, sf))
+
+
 @query()
 def graph_health(spark, sf):
     """Nodes, pairs, components and the giant's share."""
@@ -721,7 +761,8 @@ def edge_removal_curve(spark, sf):
 
 @query()
 def seed_stability(spark, sf):
-    return B.seed_stability(weighted(spark, sf), P.nodes(spark, sf), (42, 11, 23), levels=1)
+    e, n = weighted(spark, sf), P.nodes(spark, sf)
+    return B.seed_stability(e, n, (42, 11, 23), shifts=checkpoint(S.rank_drops(e, n)), levels=1)
 
 
 @query()

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from graphtrust.functions.labels import is_shallow
 from graphtrust.functions.stats import average_rank, fixed, mean_of, pearson, percent_rank, zscore
 from graphtrust.operators.edges import degrees, undirected, with_communities, with_reciprocal
+from graphtrust.operators.graph import pagerank
 
 #: Features of the index, by z-score mean; the structural variant leaves the shallow share out.
 FEATURES = ("density", "log_inflation", "reciprocity", "superficiality", "assortativity", "mean_rank_drop")
@@ -33,6 +34,12 @@ def degree_assortativity(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.groupBy(F.col("src_community").alias("community")).agg(pearson(F.log1p("x"), F.log1p("y")).alias("assortativity"))
 
 
+def rank_drops(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, drop): PageRank without weights less that by `weight`, both stationary to an L1 change of 1e-6."""
+    plain, trust = pagerank(edges, nodes, stop="l1"), pagerank(edges, nodes, "weight", stop="l1")
+    return plain.join(trust.select("id", F.col("rank").alias("trust")), "id").select("id", (F.col("rank") - F.col("trust")).alias("drop"))
+
+
 def community_scores(edges: DataFrame, nodes: DataFrame, shifts: DataFrame | None = None, denominator: str = "typed") -> DataFrame:
     """The composite index of each community of nodes (id, community). shifts: (id, drop) of ranks; without them that feature is 0.
 
@@ -63,7 +70,8 @@ def community_scores(edges: DataFrame, nodes: DataFrame, shifts: DataFrame | Non
         "coverage": ratio("typed_edges", "internal_edges"),
     })
     rows = rows.withColumn("inflation", F.col("internal_edges") / F.greatest(F.col("expected"), F.lit(1e-9))).withColumn("log_inflation", F.log1p("inflation"))
-    rows = rows.withColumns({f"{f}_z": zscore(fixed(F.col(f), 9)) for f in FEATURES})
+    even = lambda f: F.col(f) * F.col("n_edges") if f == "mean_rank_drop" else F.col(f)  # noqa: E731  ranks shrink with the graph, so nine places of them would be too few
+    rows = rows.withColumns({f"{f}_z": zscore(fixed(even(f), 9)) for f in FEATURES})
     rows = rows.withColumns({"cci": fixed(mean_of(*[F.col(f"{f}_z") for f in FEATURES])), "structural_cci": fixed(mean_of(*[F.col(f"{f}_z") for f in STRUCTURAL]))})
     return rows.withColumn("cci_rank", F.rank().over(Window.orderBy(F.desc("cci"))))
 

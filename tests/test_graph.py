@@ -86,3 +86,37 @@ def test_queries_equal_their_sql(spark, name):
     assert columns == sorted(want.columns) and len(got) == len(want)
     plain = lambda df: sorted(tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in df[columns].itertuples(index=False))
     assert plain(got) == plain(want)
+
+
+def plain_ranks(nodes, arcs):
+    """Stationary ranks by plain power iteration; arcs: {(src, dst): weight}."""
+    total = {}
+    for (a, _), w in arcs.items():
+        total[a] = total.get(a, 0) + w
+    rank = {i: 1 / len(nodes) for i in nodes}
+    for _ in range(200):
+        lost = sum(r for i, r in rank.items() if not total.get(i))
+        new = {i: (0.15 + 0.85 * lost) / len(nodes) for i in nodes}
+        for (a, b), w in arcs.items():
+            new[b] += 0.85 * rank[a] * w / total[a]
+        rank = new
+    return rank
+
+
+def test_index_takes_the_drop_of_stationary_ranks(spark):
+    nodes = {r["id"]: r["community"] for r in catalog.P.nodes(spark, SF).collect()}
+    edges = catalog.weighted(spark, SF).collect()
+    plain = plain_ranks(nodes, {(r["src"], r["dst"]): 1.0 for r in edges})
+    trust = plain_ranks(nodes, {(r["src"], r["dst"]): r["weight"] for r in edges})
+    groups = {}
+    for i, c in nodes.items():
+        groups.setdefault(c, []).append(plain[i] - trust[i])
+    drop = {c: sum(v) / len(v) for c, v in groups.items()}
+    mean = sum(drop.values()) / len(drop)
+    sd = (sum((v - mean) ** 2 for v in drop.values()) / len(drop)) ** 0.5
+    got = {r["community"]: r for r in catalog.QUERIES["cci_scores_full"](spark, SF).collect()}
+    five = {r["community"]: r for r in catalog.QUERIES["cci_scores"](spark, SF).collect()}
+    assert set(got) == set(drop) and sd > 1e-6
+    for c, r in got.items():
+        assert r["mean_rank_drop"] == pytest.approx(drop[c], abs=2e-7)
+        assert r["cci"] == pytest.approx(five[c]["cci"] + (drop[c] - mean) / sd / 6, abs=2e-3)
