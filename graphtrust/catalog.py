@@ -642,7 +642,7 @@ def snowball_sample(spark, sf):
 
 @query()
 def louvain_communities(spark, sf):
-    return G.label_moves(P.edges(spark, sf), P.nodes(spark, sf), levels=1, rounds=3)
+    return G.label_moves(P.edges(spark, sf), P.nodes(spark, sf), levels=None, rounds=None)
 
 
 @query()
@@ -762,12 +762,12 @@ def edge_removal_curve(spark, sf):
 @query()
 def seed_stability(spark, sf):
     e, n = weighted(spark, sf), P.nodes(spark, sf)
-    return B.seed_stability(e, n, (42, 11, 23), shifts=checkpoint(S.rank_drops(e, n)), levels=1)
+    return B.seed_stability(e, n, shifts=checkpoint(S.rank_drops(e, n)), levels=None, rounds=None)
 
 
 @query()
 def modularity_significance(spark, sf):
-    return B.modularity_significance(P.edges(spark, sf), P.nodes(spark, sf), nulls=2, levels=1)
+    return B.modularity_significance(P.edges(spark, sf), P.nodes(spark, sf), nulls=10, levels=None, rounds=None)
 
 
 @query()

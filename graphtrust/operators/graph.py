@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,7 +12,7 @@ from pyspark.sql.window import Window
 
 from graphtrust.operators.edges import degrees, undirected
 from graphtrust.operators.ranking import draw
-from graphtrust.runtime import checkpoint
+from graphtrust.runtime import checkpoint, spill
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame, weight: str | None = None, alpha: float = 0.85, rounds: int = 100, tol: float = 1e-6, stop: str = "n_tol") -> DataFrame:
@@ -148,11 +150,13 @@ def bow_tie(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return all_nodes.select("id", part.alias("part"))
 
 
-def label_moves(edges: DataFrame, nodes: DataFrame, weight: str | None = None, levels: int = 2, rounds: int = 3, seed: int = 0) -> DataFrame:
+def label_moves(edges: DataFrame, nodes: DataFrame, weight: str | None = None, levels: int | None = 2, rounds: int | None = 3, seed: int = 0, least: float = 1e-6) -> DataFrame:
     """(id, community): Louvain by simultaneous local moves and contraction.
 
     In a round, half of the nodes (by a hash that changes with round and seed) move to the neighbouring community of largest
-    modularity gain; communities are contracted between levels. Community names are their least node; deterministic.
+    modularity gain; communities are contracted between levels. Community names are their least node; deterministic. rounds None: a level
+    goes on until its last four rounds gained less than `least` modularity, and keeps the best round's state. levels None: until a level gains
+    less than that.
     """
     w = F.col(weight) if weight else F.lit(1.0)
     links = edges.filter("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum(w).cast("double").alias("w"))
@@ -161,18 +165,43 @@ def label_moves(edges: DataFrame, nodes: DataFrame, weight: str | None = None, l
     place = nodes.select("id", F.col("id").alias("community"))
     if not total:
         return place
-    for _ in range(levels):
+
+    def quality(both: DataFrame, state: DataFrame) -> float:
+        inside = both.join(state.selectExpr("u", "c cu"), "u").join(state.selectExpr("u v", "c cv"), "v").filter("cu = cv")
+        inner = inside.agg(F.coalesce(F.sum(F.when(F.col("u") == F.col("v"), 2 * F.col("w")).otherwise(F.col("w"))), F.lit(0.0))).first()[0]
+        squares = state.groupBy("c").agg(F.sum("k").alias("tot")).agg(F.sum(F.pow(F.col("tot") / (2 * total), 2))).first()[0]
+        return inner / (2 * total) - squares
+
+    reached = None
+    for _ in range(levels) if levels is not None else count():
         both = checkpoint(links.selectExpr("a u", "b v", "w").unionByName(links.filter("a <> b").selectExpr("b u", "a v", "w")))
         degree = both.groupBy("u").agg(F.sum(F.when(F.col("u") == F.col("v"), 2 * F.col("w")).otherwise(F.col("w"))).alias("k"))
         state = checkpoint(degree.select("u", F.col("u").alias("c"), "k"))
-        for r in range(rounds):
+        value = quality(both, state) if levels is None or rounds is None else None
+        reached, best_state, best_value, stale = value if reached is None else reached, state, value, 0
+        for r in range(rounds) if rounds is not None else count():
             tot = state.groupBy("c").agg(F.sum("k").alias("tot"))
             to = both.filter("u <> v").join(state.selectExpr("u v", "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("in"))
             held = state.selectExpr("u", "c own", "k")
             gain = to.join(tot, "c").join(held, "u").withColumn("gain", F.col("in") - F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / (2 * total))
             best = gain.groupBy("u").agg(F.max(F.struct("gain", (-F.col("c")).alias("minus"))).alias("best"))
             moves = F.pmod(F.xxhash64("u", F.lit(r + 1000 * seed)), F.lit(2)) == 0
-            state = checkpoint(state.join(best, "u", "left").select("u", F.when(moves & F.col("best").isNotNull(), -F.col("best")["minus"]).otherwise(F.col("c")).alias("c"), "k"))
+            state = spill(state.join(best, "u", "left").select("u", F.when(moves & F.col("best").isNotNull(), -F.col("best")["minus"]).otherwise(F.col("c")).alias("c"), "k"), "moves")  # a checkpoint keeps its plan's constraints, which double with each round
+            if rounds is None:
+                value = quality(both, state)
+                if value > best_value + least:
+                    best_state, best_value, stale = state, value, 0
+                else:
+                    stale += 1
+                if stale == 4:
+                    break
+        if rounds is None:
+            state = best_state
+        if levels is None:
+            value = quality(both, state)
+            if value <= reached + least:
+                break
+            reached = value
         names = checkpoint(state.join(state.groupBy("c").agg(F.min("u").alias("name")), "c").select("u", "name"))
         place = checkpoint(place.join(names, place["community"] == names["u"], "left").select("id", F.coalesce("name", "community").alias("community")))
         na, nb = names.selectExpr("u a", "name x"), names.selectExpr("u b", "name y")

@@ -120,3 +120,13 @@ def test_index_takes_the_drop_of_stationary_ranks(spark):
     for c, r in got.items():
         assert r["mean_rank_drop"] == pytest.approx(drop[c], abs=2e-7)
         assert r["cci"] == pytest.approx(five[c]["cci"] + (drop[c] - mean) / sd / 6, abs=2e-3)
+
+
+def test_moves_go_on_until_nothing_is_gained(spark):
+    cliques = [(6 * g + a, 6 * g + b) for g in range(12) for a in range(6) for b in range(a)]
+    ring = cliques + [(6 * g, (6 * g + 9) % 72) for g in range(12)]
+    e, nodes = spark.createDataFrame(ring, "src long, dst long"), spark.range(72)
+    value = lambda part: G.modularity(e, part).first()[0]
+    few, whole = G.label_moves(e, nodes, levels=1, rounds=3), G.label_moves(e, nodes, levels=None, rounds=None)
+    cut = spark.createDataFrame([(i, i // 6) for i in range(72)], "id long, community long")
+    assert value(whole) >= value(cut) - 1e-6 > value(few)
