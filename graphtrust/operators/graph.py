@@ -41,13 +41,13 @@ def pagerank(edges: DataFrame, nodes: DataFrame, weight: str | None = None, alph
     return state.select("id", "rank")
 
 
-def bfs(edges: DataFrame, sources: DataFrame, directed: bool = False, most: int = 50) -> DataFrame:
+def bfs(edges: DataFrame, sources: DataFrame, directed: bool = False) -> DataFrame:
     """(source, id, distance) of every node reachable from each source (id), frontier by frontier."""
     arcs = edges.select("src", "dst") if directed else undirected(edges).selectExpr("a src", "b dst").unionByName(undirected(edges).selectExpr("b src", "a dst"))
     arcs = checkpoint(arcs.distinct())
     seen = checkpoint(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("distance")))
     frontier = seen
-    for d in range(1, most + 1):
+    for d in count(1):
         reached = frontier.join(arcs, frontier["id"] == arcs["src"]).select("source", F.col("dst").alias("id")).distinct()
         frontier = checkpoint(reached.join(seen.select("source", "id"), ["source", "id"], "left_anti").withColumn("distance", F.lit(d)))
         if frontier.isEmpty():
@@ -104,12 +104,12 @@ def trim_to(edges: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     return without_isolates(edges, top)
 
 
-def snowball(edges: DataFrame, seeds: DataFrame, budget: int, seed: int, most: int = 20) -> DataFrame:
+def snowball(edges: DataFrame, seeds: DataFrame, budget: int, seed: int) -> DataFrame:
     """(id, level): levels of neighbours in both directions until the budget; the last level is cut in a reproducible random order."""
     arcs = checkpoint(edges.select("src", "dst").unionByName(edges.selectExpr("dst src", "src dst")).distinct())
     seen = checkpoint(seeds.select("id", F.lit(0).alias("level")))
     n, frontier = seen.count(), seen
-    for level in range(1, most + 1):
+    for level in count(1):
         if n >= budget:
             break
         new = frontier.join(arcs, frontier["id"] == arcs["src"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
@@ -122,10 +122,10 @@ def snowball(edges: DataFrame, seeds: DataFrame, budget: int, seed: int, most: i
     return seen
 
 
-def reach(edges: DataFrame, start: DataFrame, most: int = 200) -> DataFrame:
+def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
     """Nodes (id) reachable along the edges from start (id), itself included."""
     seen, frontier = start.select("id"), start.select("id")
-    for _ in range(most):
+    while True:
         new = frontier.join(edges, frontier["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct()
         frontier = checkpoint(new.join(seen, "id", "left_anti"))
         if frontier.isEmpty():

@@ -130,3 +130,13 @@ def test_moves_go_on_until_nothing_is_gained(spark):
     few, whole = G.label_moves(e, nodes, levels=1, rounds=3), G.label_moves(e, nodes, levels=None, rounds=None)
     cut = spark.createDataFrame([(i, i // 6) for i in range(72)], "id long, community long")
     assert value(whole) >= value(cut) - 1e-6 > value(few)
+
+
+def test_snowball_follows_long_chains(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(24)], "src long, dst long")
+    assert G.snowball(chain, spark.range(1), 100, 42).count() == 25
+
+
+def test_bfs_follows_long_chains(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(54)], "src long, dst long")
+    assert {r["id"]: r["distance"] for r in G.bfs(chain, spark.range(1), directed=True).collect()} == {k: k for k in range(55)}
