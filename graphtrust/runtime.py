@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that spill() wrote in this process and that still stand, in order.
+_written: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table of the input folder; read by Spark alone, so any store works."""
@@ -33,8 +38,37 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def spill(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of a large table by writing it as Parquet to the shared folder and rereading it."""
+    """Cut the lineage of a large table by writing it as Parquet to the shared folder and rereading it.
+
+    The folder stays until drop_folder() or the end of a scratch() around it, as a plan may read it at any later time.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/graphtrust-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._spilled_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def drop_folder(spilled: DataFrame) -> None:
+    """Delete what spill() wrote for this table; for tables that no plan reads any more because what follows is written too."""
+    _delete(spilled.sparkSession, spilled._spilled_to)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end all that spill() wrote inside: put it around a query and what is done with its rows."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[before:]:
+            _delete(spark, path)
