@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,21 @@ from pyspark.sql import types as T
 
 #: Rows of an Arrow batch: bounds a Python worker's memory where texts are long.
 BATCH_ROWS = 1000
+#: A key of more than one in so many rows is joined by broadcast, so that no task gathers its rows.
+OFTEN = 4096
+#: likely() tells by at most so many residues of a hash.
+RESIDUES = 1 << 22
+
+
+_powers = np.cumprod(np.full(256, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def powers(n: int) -> np.ndarray:
+    """At least n powers of an odd 64-bit factor, by which places in a word are told apart; made anew, twice as many, for a longer word."""
+    global _powers
+    if n > len(_powers):
+        _powers = np.cumprod(np.full(2 * n, 0x9E3779B97F4A7C15, np.uint64))
+    return _powers
 
 
 def small_batches(df: DataFrame) -> DataFrame:
@@ -54,3 +70,25 @@ def map_rows(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: T.Struct
                 yield packed(rows)
 
     return df.mapInArrow(run, schema)
+
+
+def join_often(rows: DataFrame, counts: DataFrame, key: str, n_col: str) -> DataFrame:
+    """rows joined with counts, a written table that has a row for each key and in n_col how many rows the key has.
+
+    Frequent keys, of which there are fewer than OFTEN, come by broadcast and all others by a shuffle. n_col is dropped.
+    """
+    total = counts.agg(F.coalesce(F.sum(n_col), F.lit(0))).first()[0]
+    often = F.col(n_col) * OFTEN > total
+    hot = F.broadcast(counts.filter(often).drop(n_col))
+    rest = rows.join(hot.select(key), key, "left_anti").join(counts.filter(~often).drop(n_col), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
+def likely(rows: DataFrame, found: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """rows that may be (left_semi) or surely aren't (left_anti) among found's by their keys, so that only the former need be moved to join them.
+
+    At most RESIDUES residues of a hash are broadcast; where found has many more rows than that, nearly all rows are likely.
+    """
+    residue = F.pmod(F.xxhash64(*keys), F.lit(RESIDUES))
+    few = F.broadcast(found.select(residue.alias("_residue")).distinct())
+    return rows.withColumn("_residue", residue).join(few, "_residue", how).drop("_residue")
