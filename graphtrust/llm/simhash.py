@@ -2,8 +2,8 @@
 
 Fingerprints are cut into blocks of close population counts; pairs of blocks, and inside them pairs of
 tiles, whose population counts differ by more than the radius are skipped, all others are compared by
-exclusive or and bit counts. Each pair of blocks returns only a spanning forest of the links found,
-so a group of n near copies costs O(n) rows, and no link between different texts is lost.
+exclusive or and bit counts. A block travels as one row of bytes, and each pair of blocks returns only a spanning
+forest of the links found, so a group of n near copies costs O(n) rows, and no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -15,16 +15,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphtrust.llm.common import id_text, map_rows
+from graphtrust.llm.common import id_text, join_often, likely, map_rows
 from graphtrust.operators.components import connected_components
-from graphtrust.runtime import spill
+from graphtrust.runtime import drop_folder, spill
 
-#: Fingerprints of a block at most, but for the chance of a hash; blocks at least, for parallel work; rows of a tile.
-BLOCK_ROWS, LEAST_BLOCKS, TILE_ROWS = 131_072, 8, 512
-#: A fingerprint of more than one in so many rows is joined by broadcast, so that no task gathers its copies. Stands for a null id, ranked last.
-OFTEN, NO_ID = 4096, 2**63 - 1
+#: Fingerprints of a block at most, but for the chance of a hash; blocks at least, for parallel work; rows of a tile; tasks that compare at most.
+BLOCK_ROWS, LEAST_BLOCKS, TILE_ROWS, MOST_TASKS = 16_384, 8, 512, 4096
+#: Stands for a null id, ranked last.
+NO_ID = 2**63 - 1
 _CHUNK = 65_536  # shingles whose bits are counted at once
-FINGERPRINT = T.StructType([T.StructField("id", T.LongType()), T.StructField("fp", T.StringType()), T.StructField("pop", T.IntegerType())])
+FINGERPRINT = T.StructType([T.StructField("id", T.LongType()), T.StructField("row", T.LongType()), T.StructField("fp", T.StringType()), T.StructField("pop", T.IntegerType())])
 
 
 def shingle_hashes(text: bytes, width: int, seed: int = 42) -> np.ndarray:
@@ -57,15 +57,20 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> bytes:
     return np.packbits(counts * 2 > len(hashes)).tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, words: int = 1) -> DataFrame:
-    """(id, fp, pop) of each row: fingerprint in lowercase hex and its population count. Null or empty text: zero."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, words: int = 1, distinct: bool = False, row: Column | None = None) -> DataFrame:
+    """(id, row, fp, pop) of each row: fingerprint in lowercase hex and its population count. Null or empty text: zero.
 
-    def fn(ids, texts):
-        for i, text in zip(ids, texts, strict=True):
-            fp = fingerprint(shingle_hashes(text, width), words)
-            yield i, fp.hex(), int.from_bytes(fp, "big").bit_count()
+    distinct: a shingle counts once, however often it stands in the text. row: a number that tells rows apart, else null.
+    """
+
+    def fn(ids, texts, rows):
+        for i, text, r in zip(ids, texts, rows, strict=True):
+            hashes = shingle_hashes(text, width)
+            fp = fingerprint(np.unique(hashes) if distinct else hashes, words)
+            yield i, r, fp.hex(), int.from_bytes(fp, "big").bit_count()
 
-    return map_rows(id_text(docs, id_col, text_col), fn, FINGERPRINT, as_bytes=True)
+    number = F.lit(None) if row is None else row
+    return map_rows(id_text(docs, id_col, text_col, number.cast("long").alias("number")), fn, FINGERPRINT, as_bytes=True)
 
 
 def _fold(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -137,10 +142,6 @@ def links_within(left: np.ndarray, right: np.ndarray | None, radius: int) -> np.
     return np.column_stack([nodes, parent[nodes]])
 
 
-def _words(fps: pd.Series) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex("".join(fps)), ">u8").astype(np.uint64).reshape(len(fps), -1)
-
-
 def plan_blocks(histogram: dict[int, int], radius: int) -> list[tuple[int, int, int, int, int]]:
     """(population count, first block, blocks, first and last block to meet) for each count; blocks follow the counts.
 
@@ -175,24 +176,33 @@ def similar_links(distinct: DataFrame, radius: int) -> DataFrame:
     lookup = lambda k: F.create_map(*[F.lit(v) for r in plan for v in (r[0], r[k])])[F.col("pop")]
     if not plan:
         return distinct.select(_node("first", "fp").alias("src"), _node("first", "fp").alias("dst")).limit(0)
-    dealt = distinct.select("fp", F.coalesce("first", F.lit(NO_ID)).alias("first"), (lookup(1) + F.pmod(F.xxhash64("fp"), lookup(2))).cast("int").alias("block"), F.explode(F.sequence(lookup(3), lookup(4))).alias("meets"))
-    dealt = dealt.withColumns({"lo": F.least("block", "meets"), "hi": F.greatest("block", "meets")})
+    block = (lookup(1) + F.pmod(F.xxhash64("fp"), lookup(2))).cast("int").alias("block")
+    dealt = distinct.select("fp", F.coalesce("first", F.lit(NO_ID)).alias("first"), block, lookup(3).alias("low"), lookup(4).alias("high"))
 
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = key
-        mine = (rows["block"] == lo).to_numpy()
-        a, b = np.flatnonzero(mine), np.flatnonzero(~mine)
-        fps, first = rows["fp"].to_numpy(), rows["first"].to_numpy()
-        if lo == hi:
-            forest, names = links_within(_words(fps[a]), None, radius), a
-        elif not len(a) or not len(b):
-            forest, names = np.zeros((0, 2), int), a
-        else:
-            forest, names = links_within(_words(fps[a]), _words(fps[b]), radius), np.concatenate([a, b])
-        src, dst = names[forest[:, 0]], names[forest[:, 1]]
-        return pd.DataFrame({"sf": first[src], "s": fps[src], "df": first[dst], "d": fps[dst]})
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        fps = np.frombuffer(bytes.fromhex("".join(rows["fp"])), np.uint8).tobytes()
+        return pd.DataFrame({"block": [key[0]], "low": [key[1]], "high": [key[2]], "fps": [fps], "firsts": [rows["first"].to_numpy(np.int64).tobytes()]})
+
+    packed = dealt.groupBy("block", "low", "high").applyInPandas(pack, "block int, low int, high int, fps binary, firsts binary")
+    packed = spill(packed, "blocks")
+    pairs = packed.select("block", "fps", "firsts", F.explode(F.sequence("low", "high")).alias("meets"))
+    n_pairs = sum(high - low + 1 for _, _, _, low, high in plan) * max(n for _, _, n, _, _ in plan)  # at least as many as there are
+    pairs = pairs.select(F.least("block", "meets").alias("lo"), F.greatest("block", "meets").alias("hi"), "block", "fps", "firsts").repartition(min(n_pairs, MOST_TASKS), "lo", "hi")
 
-    links = dealt.groupBy("lo", "hi").applyInPandas(compare, "sf long, s string, df long, d string")
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        held = {r.block: (r.fps, np.frombuffer(r.firsts, np.int64)) for r in rows.itertuples()}
+        blocks = [held[k] for k in sorted(set(key)) if k in held]
+        if len(blocks) < len(set(key)):  # the other block has no rows
+            return pd.DataFrame({c: np.zeros(0, kind) for c, kind in (("sf", np.int64), ("s", object), ("df", np.int64), ("d", object))})
+        first = np.concatenate([f for _, f in blocks])
+        raw, size = b"".join(fps for fps, _ in blocks), len(blocks[0][0]) // len(blocks[0][1])
+        names = lambda at: np.array([raw[k * size : k * size + size].hex() for k in at], object)
+        parts = [np.frombuffer(fps, ">u8").astype(np.uint64).reshape(len(f), -1) for fps, f in blocks]
+        forest = links_within(parts[0], parts[1] if len(parts) > 1 else None, radius)
+        src, dst = forest[:, 0], forest[:, 1]
+        return pd.DataFrame({"sf": first[src], "s": names(src), "df": first[dst], "d": names(dst)})
+
+    links = pairs.groupBy("lo", "hi").applyInPandas(compare, "sf long, s string, df long, d string")
     return links.select(_node("sf", "s").alias("src"), _node("df", "d").alias("dst"))
 
 
@@ -200,24 +210,45 @@ def _node(first: str, fp: str) -> Column:
     return F.struct(F.coalesce(first, F.lit(NO_ID)).alias("first"), F.col(fp).alias("fp"))
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, words: int = 4, radius: int = 52) -> DataFrame:
+def _named(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, n, component_id, keeper) of each distinct fingerprint, written. keeper: the row that ranks first in its class, by id and then row."""
+    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("best")
+    distinct = spill(fps.groupBy("fp", "pop").agg(F.min("id").alias("first"), F.count("*").alias("n"), best), "distinct-fingerprints")
+    roots = connected_components(similar_links(distinct, radius))
+    # a class's least node has its smallest id, so no row is gathered by class
+    linked = roots.select(F.col("node.fp").alias("fp"), F.col("component.fp").alias("root"), F.nullif(F.col("component.first"), F.lit(NO_ID)).alias("root_id"), F.lit(True).alias("linked"))
+    at = distinct.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    at = spill(at.select("fp", "n", "root", "best", F.when(F.col("linked"), F.col("root_id")).otherwise(F.col("first")).alias("component_id")), "class-members")
+    classes = spill(at.groupBy("root").agg(F.min("best").alias("top"), F.count("*").alias("k")), "classes")
+    named = join_often(at, classes, "root", "k").select("fp", "n", "component_id", F.col("top.row").alias("keeper"))
+    return spill(named, "named-fingerprints")
+
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, words: int = 4, radius: int = 64, distinct: bool = True) -> DataFrame:
     """(id, fp, component_id) of every row of docs; component_id is the smallest id reachable over links of at most `radius` bits.
 
-    The defaults (5-word shingles, 256 bits, 52 apart) correspond to a Jaccard similarity of 0.8 or more:
-    0.8 has 39 bits expected, 0.5 has 68, unrelated texts 128. Null or empty texts: the zero fingerprint, linked
-    like any other. Repeated rows are returned as often as given; rows of null id are linked, and a class of null ids
-    only has a null component_id, as has one whose smallest id is 2**63 - 1. Other columns are ignored. An empty table: no rows.
+    The defaults (distinct 5-word shingles, 256 bits, 64 apart) link every pair of a Jaccard similarity of 0.8 or more but for
+    about one in 10**5: it has 39 bits expected, with a deviation of 6. 0.55 has 64 expected, unrelated texts 128. Null
+    or empty texts: the zero fingerprint, linked like any other. Ties: equal fingerprints are one class. Repeated rows are
+    returned as often as given; rows of null id are linked, and a class of null ids only has a null component_id, as has one
+    whose smallest id is 2**63 - 1. The bits of a very long text are counted in steps, over all of it. Other columns are
+    ignored, whatever their names. An empty table: no rows.
     """
-    fps = spill(fingerprints(docs, id_col, text_col, width, words), "fingerprints")
-    distinct = spill(fps.groupBy("fp", "pop").agg(F.min("id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
-    roots = connected_components(similar_links(distinct, radius))
-    # a class's least node has its smallest id, so no row is gathered by class
-    linked = roots.select(F.col("node.fp").alias("fp"), F.nullif(F.col("component.first"), F.lit(NO_ID)).alias("root"), F.lit(True).alias("linked"))
-    component = F.when(F.col("linked"), F.col("root")).otherwise(F.col("first")).alias("component_id")
-    named = spill(distinct.join(linked, "fp", "left").select("fp", "n", component), "named-fingerprints")
-    total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    often = F.col("n") * OFTEN > total
-    hot = F.broadcast(named.filter(often).drop("n"))  # fewer than OFTEN rows
-    rows = fps.select("id", "fp")
-    rest = rows.join(hot.select("fp"), "fp", "left_anti").join(named.filter(~often).drop("n"), "fp")
-    return rows.join(hot, "fp").unionByName(rest)
+    fps = spill(fingerprints(docs, id_col, text_col, width, words, distinct), "fingerprints")
+    named = _named(fps, radius)
+    return join_often(fps.select("id", "fp"), named.drop("keeper"), "fp", "n")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, words: int = 4, radius: int = 64, distinct: bool = True) -> DataFrame:
+    """docs, all columns, with one row of each class: that of the smallest id, null ids last, and of its rows the first as read.
+
+    So of repeated rows, or of copies without ids, one stays. Else as near_duplicate_classes.
+    """
+    number = next(f"row{'_' * k}" for k in range(len(docs.columns) + 1) if f"row{'_' * k}" not in {c.lower() for c in docs.columns})
+    rows = spill(docs.withColumn(number, F.monotonically_increasing_id()), "numbered-documents")
+    fps = spill(fingerprints(rows, id_col, text_col, width, words, distinct, F.col(number)), "fingerprints")
+    gone = join_often(fps.select("row", "fp"), _named(fps, radius).select("fp", "n", "keeper"), "fp", "n").filter("row <> keeper").select(F.col("row").alias(number))
+    gone = spill(gone, "near-copies")
+    drop_folder(fps)
+    maybe = likely(rows, gone, [number], "left_semi").join(gone, number, "left_anti")
+    return likely(rows, gone, [number], "left_anti").unionByName(maybe).select(docs.columns)
