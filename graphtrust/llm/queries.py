@@ -11,7 +11,7 @@ from graphtrust.runtime import table
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose 64-bit fingerprints of 3-word shingles are linked at 3 or fewer bits."""
-    classes = simhash.near_duplicate_classes(table(spark, sf_dir, "documents"), width=3, words=1, radius=3)
+    classes = simhash.near_duplicate_classes(table(spark, sf_dir, "documents"), width=3, words=1, radius=3, distinct=False)
     return classes.select(F.col("id").alias("doc_id"), F.col("fp").alias("fingerprint"), "component_id")
 
 
@@ -78,14 +78,14 @@ _RANKED = sorted(urlrules.RULES, key=lambda r: -len(r.name))
 ORACLES = {
     "op2_voronoi_topk": """
         WITH v AS (
-            SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
+            SELECT vec_id, row_number() OVER () AS row, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
             WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
         ), s AS (
-            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+            SELECT q.row AS query_row, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.row <> c.row AND len(q.e) = len(c.e)
         )
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
     """,
     "op7_url_rules": f"""
         WITH p AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages)
