@@ -3,7 +3,8 @@
 The field's variables are a text's candidate tokens, those with a digit or an at sign (every other token has the
 label "none" for sure). Chain potentials link neighbouring candidates, skip potentials link each candidate with
 the previous one in the text that repeats it or is similar (the same shape of at least six digits, or the same
-trailing digits). Loopy message passing gives marginals; a span is added where a label's marginal reaches
+trailing digits). Loopy message passing gives marginals: the chain is solved exactly, given the skip links' messages,
+and those are passed anew, in turn. A span is added where a label's marginal reaches
 ADD_AT and no pattern's span overlaps. The weights are fitted by pseudo-likelihood on a bounded sample of
 documents (SAMPLE_DOCS), labelled by the patterns; features see shapes and neighbours, never the patterns' verdict.
 """
@@ -24,8 +25,10 @@ from graphtrust.llm.common import id_text, map_rows
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone")
-#: Documents and candidate tokens of the training sample at most; hashed features; the marginal from which a span is added; message rounds.
-SAMPLE_DOCS, SAMPLE_TOKENS, BUCKETS, ADD_AT, ROUNDS = 3000, 60_000, 2048, 0.9, 6
+#: Documents and candidate tokens of the training sample at most; hashed features; the marginal from which a span is added.
+SAMPLE_DOCS, SAMPLE_TOKENS, BUCKETS, ADD_AT = 3000, 60_000, 2048, 0.9
+#: Rounds of skip messages at most, and the change of a message below which they have settled.
+ROUNDS, SETTLED = 30, 1e-3
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
@@ -81,29 +84,40 @@ class Tokens:
 
 
 def _shape(token: str) -> str:
-    out = []
-    for c in token[:64]:
+    """The kinds of all characters, runs of one kind shortened to two."""
+    out: list[str] = []
+    for c in token:
         s = "9" if c.isdigit() else ("A" if c.isupper() else "a") if c.isalpha() else c
         if len(out) < 2 or out[-1] != s or out[-2] != s:
             out.append(s)
     return "".join(out)
 
 
+def _word_before(text: str, at: int) -> str:
+    """The whole word before a place; each is looked at for one candidate only, so all of them cost the text's length."""
+    while at and text[at - 1].isspace():
+        at -= 1
+    start = at
+    while start and not text[start - 1].isspace():
+        start -= 1
+    return text[start:at]
+
+
 def candidates(text: str) -> Tokens:
     spans, features, partner = [], [], []
     seen: dict[str, int] = {}
     for m in _TOKEN.finditer(text):
         a, b, token = m.start(), m.end(), m[0]
         digits = "".join(filter(str.isdigit, token))
-        before = text[max(0, a - 24) : a].split()
+        shape, before = _shape(token), _word_before(text, a)
         words = {
-            "shape " + _shape(token), f"digits {min(len(digits), 24)}", f"length {min(len(token), 40)}", f"dots {min(token.count('.'), 5)}",
-            f"at {min(token.count('@'), 2)}", "first " + _shape(token)[:3], "last " + _shape(token)[-3:],
-            "before " + (_shape(before[-1]) if before and text[a - 1] not in "\n" else "-"), "plus " + str(token.startswith("+")),
+            "shape " + shape, f"digits {min(len(digits), 24)}", f"length {min(len(token), 40)}", f"dots {min(token.count('.'), 5)}",
+            f"at {min(token.count('@'), 2)}", "first " + shape[:3], "last " + shape[-3:],
+            "before " + (_shape(before) if before and text[a - 1] != "\n" else "-"), "plus " + str(token.startswith("+")),
         }
         features.append(sorted({zlib.crc32(w.encode()) % BUCKETS for w in words}))
         n = len(spans)
-        keys = [f"= {token.strip('.,;:!?()[]').lower()}"] + ([f"# {digits[-7:]}"] if len(digits) >= 7 else []) + ([f"~ {_shape(token)} {len(digits)}"] if len(digits) >= 6 else [])
+        keys = [f"= {token.strip('.,;:!?()[]').lower()}"] + ([f"# {digits[-7:]}"] if len(digits) >= 7 else []) + ([f"~ {shape} {len(digits)}"] if len(digits) >= 6 else [])
         partner.append(next((seen[k] for k in keys if k in seen), n))
         seen.update(dict.fromkeys(keys, n))
         spans.append((a, b))
@@ -162,30 +176,60 @@ def fit_field(tokens: list[tuple[list[int], int, int, int, int]], rounds: int =
     return Field(local, chain, skip)
 
 
+def _products(tables: np.ndarray) -> np.ndarray:
+    """The products of all tables up to each, in order, each scaled; by doubling, so in log2(n) steps."""
+    out, step = tables.copy(), 1
+    while step < len(out):
+        out[step:] = out[:-step] @ out[step:]
+        out[step:] /= out[step:].max(axis=(1, 2), keepdims=True)
+        step *= 2
+    return out
+
+
+def _chain(unary: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Exact marginals of a chain, from potentials of its nodes (log) and of neighbours."""
+    local = np.exp(unary - unary.max(axis=1, keepdims=True))
+    steps = np.exp(table - table.max()) * local[1:, None, :]
+    ahead = np.concatenate([local[:1], local[0] @ _products(steps)]) if len(steps) else local
+    behind = np.ones_like(local)
+    if len(steps):
+        behind[:-1] = _products(steps[::-1].transpose(0, 2, 1))[::-1].transpose(0, 2, 1).sum(axis=2)
+    held = ahead * behind
+    return held / held.sum(axis=1, keepdims=True)
+
+
 def marginals(tokens: Tokens, field: Field) -> np.ndarray:
-    """Label marginals of each token by loopy message passing over chain and skip links, in the log domain, damped."""
-    n, k = len(tokens.spans), field.chain.shape[0]
+    """Label marginals of each token by loopy message passing; exact where no token has a skip partner.
+
+    In a round the chain is solved whole, by forward and backward products, and then each skip link passes a message
+    either way: its sender's marginals without what it was sent, through the link's potentials, damped by half.
+    """
+    n = len(tokens.spans)
     unary = np.array([field.local[f].sum(axis=0) for f in tokens.features]) + field.local[BUCKETS]
     partner = np.array(tokens.partner)
     later = np.flatnonzero(partner != np.arange(n))
-    src = np.concatenate([np.arange(n - 1), partner[later]])
-    dst = np.concatenate([np.arange(1, n), later])
-    table = np.concatenate([np.repeat(field.chain[None], n - 1, axis=0), np.repeat(field.skip[None], len(later), axis=0)])
-    ends, starts = np.concatenate([dst, src]), np.concatenate([src, dst])
-    tables = np.concatenate([table, table.transpose(0, 2, 1)])
-    m = len(src)
-    back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
-    sent = np.zeros((2 * m, k))
-    for _ in range(ROUNDS if m else 0):
+    if not len(later):
+        return _chain(unary, field.chain)
+    src, dst = np.concatenate([partner[later], later]), np.concatenate([later, partner[later]])
+    back = np.roll(np.arange(len(src)), len(later))
+    table = np.exp(field.skip - field.skip.max())
+    tables = np.concatenate([np.repeat(table[None], len(later), axis=0), np.repeat(table.T[None], len(later), axis=0)])
+    sent = np.zeros((len(src), unary.shape[1]))
+    for k in range(ROUNDS + 1):
         held = unary.copy()
-        np.add.at(held, ends, sent)
-        inner = held[starts] - sent[back]
-        new = np.logaddexp.reduce(inner[:, :, None] + tables, axis=1)
-        new -= np.logaddexp.reduce(new, axis=1)[:, None]
+        np.add.at(held, dst, sent)
+        p = _chain(held, field.chain)
+        if k == ROUNDS:
+            break
+        inner = np.log(np.maximum(p[src], 1e-300)) - sent[back]
+        inner = np.exp(inner - inner.max(axis=1, keepdims=True))
+        new = np.log(np.maximum((inner[:, None, :] @ tables)[:, 0], 1e-300))
+        new -= new.max(axis=1, keepdims=True)
+        change = np.abs(new - sent).max()
         sent = (sent + new) / 2
-    held = unary.copy()
-    np.add.at(held, ends, sent)
-    return np.exp(held - np.logaddexp.reduce(held, axis=1)[:, None])
+        if change < SETTLED:
+            break
+    return p
 
 
 def find_spans(text: str, field: Field) -> tuple[list, list]:
@@ -238,8 +282,10 @@ def _listed(spans: list) -> str:
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None) -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of each row; counts are of the patterns' spans.
 
-    Null texts are empty and have no spans; repeated rows have each their result; other columns are ignored; an
-    empty table gives no rows. Spans are in code points, the end exclusive.
+    Null texts are empty and have no spans; repeated rows have each their result; null ids are kept. A very long text is
+    searched whole: patterns cost its length, the field its candidates times the logarithm of their number. Ties: of spans
+    with one start the kind listed first comes first, of equal labels the first. Other columns are ignored, whatever
+    their names; an empty table gives no rows. Spans are in code points, the end exclusive.
     """
     field = field or train(docs, id_col, text_col)
     schema = T.StructType([
