@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphtrust.llm.common import id_text, map_rows, small_batches
+from graphtrust.llm.common import id_text, map_rows, powers, small_batches
 from graphtrust.runtime import spill
 
 #: Documents of the training sample at most; hashed features; rounds of either fit; score from which a document is kept.
 SAMPLE_DOCS, BUCKETS, EM_ROUNDS, FIT_ROUNDS, KEEP_AT = 4000, 1 << 14, 60, 80, 0.5
-LABELLERS = 10
+#: Labellers; words of the windows, side by side over the whole text, in which distinct words are counted.
+LABELLERS, SPAN = 10, 256
 
 
 def _kinds() -> np.ndarray:
@@ -33,7 +34,6 @@ def _kinds() -> np.ndarray:
 
 
 _KIND = _kinds()
-_POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
 _IS_ODD = np.isin(np.arange(256), np.frombuffer(b"!$*%#&|@<>{}[]\\^~=_", np.uint8))
 
 
@@ -44,7 +44,7 @@ class Profile:
         raw = np.frombuffer(text, np.uint8)
         kind = _KIND[raw]
         solid = np.flatnonzero(kind)
-        self.n = self.distinct = self.pairs = self.repeats = 0
+        self.n = self.fresh = self.pairs = self.repeats = 0
         self.chars = self.letters = self.capitals = self.upper = self.symbols = self.odd = self.tails = self.bars = 0
         self.buckets = np.zeros(0, np.int64)
         if not len(solid):
@@ -55,7 +55,7 @@ class Profile:
         self.n = len(first)
         word = np.cumsum(begins) - 1
         size = np.diff(np.concatenate([first, [len(raw)]]))
-        place = (np.arange(len(raw)) - first[word]) & (len(_POWERS) - 1)
+        place = np.arange(len(raw)) - first[word]
         counted = lambda mask: np.bincount(word[mask], minlength=self.n)
         upper, symbol = counted(kind == 2), counted(_IS_ODD[raw])
         self.chars, self.capitals, self.symbols = len(raw) - np.count_nonzero(kind == 5), int(upper.sum()), int(symbol.sum())
@@ -67,8 +67,9 @@ class Profile:
         last -= (size > 2) & ((raw[last] == 44) | (raw[last] == 46))  # a comma or stop may follow
         self.tails = int(((size > 1) & (raw[last] == raw[last - 1]) & (kind[last] > 6)).sum())
         self.bars = int(((size == 1) & (raw[first] == 124)).sum())
-        names = np.add.reduceat(raw.astype(np.uint64) * _POWERS[place], first)
-        self.distinct = len(set(names.tolist()))
+        names = np.add.reduceat(raw.astype(np.uint64) * powers(int(size.max()))[place], first)
+        spans = (np.arange(self.n) // SPAN).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        self.fresh = len(set((names + spans).tolist()))  # distinct words of each window, summed, so that texts of any length compare
         self.repeats = int((names[1:] == names[:-1]).sum())
         self.pairs = len(set((names[1:] * np.uint64(0xC2B2AE3D27D4EB4F) + names[:-1]).tolist()))
         # shapes: runs of one kind shortened to two, then hashed
@@ -79,7 +80,7 @@ class Profile:
         kind, word = kind[kept], word[kept]
         first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         place = np.arange(len(word)) - np.repeat(first, np.diff(np.concatenate([first, [len(word)]])))
-        shapes = np.add.reduceat((kind.astype(np.uint64) + np.uint64(1)) * _POWERS[place & (len(_POWERS) - 1)], first)
+        shapes = np.add.reduceat((kind.astype(np.uint64) + np.uint64(1)) * powers(int(place.max()) + 1)[place], first)
         self.buckets = ((shapes >> np.uint64(20)) % np.uint64(BUCKETS - 64)).astype(np.int64) + 64
 
 
@@ -99,7 +100,7 @@ def votes(p: Profile) -> list[int]:
         share(p.capitals, p.letters, 0.2, 0.35, 5),
         share(p.repeats, p.n, 0.08, 0.2, 8),
         share(p.n - 1 - p.pairs, p.n, 0.3, 0.5, 20),
-        share(p.n - p.distinct, p.n, 0.8, 0.92, 40) if p.n < 500 else 0,
+        share(p.n - p.fresh, p.n, 0.8, 0.92, 40),
         share(p.bars, p.n, 0.01, 0.08, 8),
         share(p.chars - p.letters, p.chars, 0.15, 0.45),
     ]
@@ -141,7 +142,7 @@ def features(p: Profile) -> tuple[np.ndarray, np.ndarray]:
     shapes = np.flatnonzero(counts)
     counts = counts[shapes]
     marks = [11 * k + min(10, int(20 * x / max(1, p.n))) for k, x in enumerate((p.odd, p.upper, p.repeats, p.bars, p.tails))]
-    marks += [55 + min(4, int(5 * p.distinct / max(1, min(p.n, 400)))), 60 + (p.n == 0)]
+    marks += [55 + min(4, int(5 * p.fresh / max(1, p.n))), 60 + (p.n == 0)]
     values = np.concatenate([np.ones(len(marks)), np.sqrt(counts / max(1, p.n))])
     return np.concatenate([marks, shapes]).astype(np.int64), values / np.sqrt((values**2).sum())
 
@@ -197,8 +198,9 @@ def train(profiled: DataFrame) -> tuple[dict[int, float], np.ndarray]:
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bad_votes, posterior, score, keep) of each row: the weak label's and the scorer's probability of good.
 
-    A null text is empty, and an empty text is bad by vote; repeated rows score alike; other columns are ignored; an empty
-    table gives no rows.
+    A null text is empty, and an empty text is bad by vote; a very long one is counted whole, its distinct words in windows.
+    Repeated rows score alike, null ids like any. Ties: a score of KEEP_AT is kept; sampled documents of equal hash go by
+    id. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     profiled = profiles(docs, id_col, text_col)
     good, w = train(profiled)
@@ -221,7 +223,7 @@ def _logistic(w: np.ndarray, buckets: np.ndarray, values: np.ndarray) -> float:
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, all columns, whose score is KEEP_AT or more. Texts are read once to train and once to filter; nothing is shuffled."""
+    """The rows of docs, all columns, whose score is KEEP_AT or more, else as score(). Texts are read once to train and once to filter; nothing is shuffled."""
     _, w = train(profiles(docs, id_col, text_col))
     names = docs.columns
 
