@@ -47,13 +47,15 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, size, source_size, target, copies, taken, *keep) of each row of docs; reruns agree.
+    """(id, size, source_size, target, copies, taken) of each row of docs; reruns agree.
 
     A null text has size 0; null sources are a source of their own, the last; null ids come first in the order, and repeated
-    rows are neighbours in it. No words at all: targets of 0. `keep` names columns of docs to carry along. An empty table: no rows.
+    rows are neighbours in it. Ties in size go by id. A very long text counts whole, as one document. No words at all: targets
+    of 0. `keep` names columns of docs to carry along, in a struct `kept`, so no name can clash. An empty table: no rows.
     """
     size = word_count(F.col(text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *[F.col(c).alias(f"kept_{c}") for c in keep])
+    kept = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *kept)
     digits = F.length(F.bin("size"))
     size_class = F.when(digits <= 4, F.col("size")).otherwise((digits * 8).cast("long") + F.floor(F.col("size") / F.pow(F.lit(2.0), digits - 4)) % 8)
     rows = rows.withColumn("class", size_class.cast("int")).withColumn("deal", F.pmod(F.coalesce("id", F.lit(0)), F.lit(DEALS)).cast("int"))
@@ -72,5 +74,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     place = (F.col("before") + F.col("within")).cast("double")
     copies = F.floor(each * place + F.col("offset")) - F.floor(each * (place - 1) + F.col("offset"))
     return joined.withColumn("copies", copies.cast("long")).select(
-        "id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"kept_{c}").alias(c) for c in keep]
+        "id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["kept"] if keep else [])
     )
