@@ -136,18 +136,16 @@ def phrase_places(words: list[bytes]) -> list[tuple[int, str]]:
     return sorted(found)
 
 
-def _positions(templates: Mapping[str, tuple[str, ...]]) -> list[tuple]:
-    """(gram, label, template, at, length) of every k-gram of every template, and the row that stands for texts."""
-    rows: list[tuple] = [(_HEAD, None, None, None, None)]
-    for label, texts in templates.items():
-        for n, text in enumerate(texts):
-            hashes = word_hashes(text.encode().translate(_FOLD))
-            rows += [(int(g), label, n, p, len(hashes)) for p, g in enumerate(gram_hashes(hashes))]
-    return rows
+_LABELS = tuple(sorted(set(PHRASES.values())))
+
+
+def _flat(templates: Mapping[str, tuple[str, ...]]) -> list[tuple[str, np.ndarray]]:
+    """(label, k-gram hashes) of each template, in order."""
+    return [(label, gram_hashes(word_hashes(text.encode().translate(_FOLD)))) for label, texts in templates.items() for text in texts]
 
 
 def merged_spans(lines: list[dict], length: int) -> list[tuple[int, int, float]]:
-    """(start, stop, share) of verified spans of one text and template, from its diagonals (diagonal, start, stop, hit).
+    """(start, stop, share) of verified spans of one text and template, from its diagonals (diagonal, start, stop, and hit: the positions as bits).
 
     Diagonals are taken in order; one joins the last while it is a neighbour and the span stays short enough.
     """
@@ -156,11 +154,11 @@ def merged_spans(lines: list[dict], length: int) -> list[tuple[int, int, float]]
         last = spans[-1] if spans else None
         if last and d["diagonal"] - last[3] <= NEIGHBOURS and max(d["stop"], last[1]) - min(d["start"], last[0]) <= LONGEST * length:
             last[0], last[1], last[3] = min(last[0], d["start"]), max(last[1], d["stop"]), d["diagonal"]
-            last[2] |= set(d["hit"])
+            last[2] |= d["hit"]
         else:
-            spans.append([d["start"], d["stop"], set(d["hit"]), d["diagonal"]])
+            spans.append([d["start"], d["stop"], d["hit"], d["diagonal"]])
     whole = length - GRAM + 1
-    return sorted((a, b, len(hit) / whole) for a, b, hit, _ in spans if len(hit) >= LEAST_SHARE * whole and b - a <= LONGEST * length)
+    return sorted((a, b, hit.bit_count() / whole) for a, b, hit, _ in spans if hit.bit_count() >= LEAST_SHARE * whole and b - a <= LONGEST * length)
 
 
 def license_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
@@ -175,45 +173,44 @@ def license_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     could be merged either way the lesser goes first. Other columns are ignored, whatever their names; an empty table gives
     no rows.
     """
-    schema = T.StructType([
-        T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_base", T.LongType()),
-        T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType()), T.StructField("base_labels", T.StringType()),
-        T.StructField("grams", T.ArrayType(T.LongType())),
-    ])
+    flat = _flat(templates)
+    counts = ("id", "n_words", "n_base", "first_word", "last_word", "base_mask")
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in counts), T.StructField("grams", T.ArrayType(T.LongType()))])
 
     def grams(ids, texts):
         for i, text in zip(ids, texts, strict=True):
             folded = text.translate(_FOLD)
             words = folded.split()
             base = phrase_places(words)
-            starts = [p for p, _ in base]
-            found = np.concatenate([[_HEAD], gram_hashes(word_hashes(folded))])
-            yield i, len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in base})), found
+            starts, mask = [p for p, _ in base], sum(1 << _LABELS.index(x) for x in {x for _, x in base})
+            yield i, len(words), len(base), min(starts, default=None), max(starts, default=None), mask, np.concatenate([[_HEAD], gram_hashes(word_hashes(folded))])
 
     spark = docs.sparkSession
-    table = spark.createDataFrame(_positions(templates), "gram long, label string, template int, at int, length int")
-    text = F.struct("id", "n_words", "n_base", "first_word", "last_word", "base_labels").alias("text")
-    rows = map_rows(id_text(docs, id_col, text_col), grams, schema, as_bytes=True).select(F.monotonically_increasing_id().alias("row"), text, "grams")
-    rows = rows.select("row", "text", F.posexplode("grams").alias("place", "gram"))
-    votes = rows.join(F.broadcast(table), "gram")  # the templates' words bound it
-    place = F.col("place") - 1
-    key = ["row", "label", "template", "length"]
-    lines = votes.groupBy(*key, (place - F.col("at")).alias("diagonal")).agg(
-        F.min(place).alias("start"), (F.max(place) + GRAM).alias("stop"), F.collect_set("at").alias("hit"), F.first(F.when(F.col("label").isNull(), F.col("text")), ignorenulls=True).alias("text")
-    )
-    one = F.struct("label", "template", "length", "diagonal", "start", "stop", "hit")
-    texts = lines.groupBy("row").agg(F.first("text", ignorenulls=True).alias("text"), F.collect_list(F.when(F.col("label").isNotNull(), one)).alias("lines"))  # a text's own matches only: bounded by its length
+    positions = [(_HEAD, None, None), *((int(g), n, p) for n, (_, hashes) in enumerate(flat) for p, g in enumerate(hashes))]
+    table = F.broadcast(spark.createDataFrame(positions, "gram long, template int, at int"))  # the templates' words bound it
+    rows = map_rows(id_text(docs, id_col, text_col), grams, schema, as_bytes=True).select(F.monotonically_increasing_id().alias("row"), *counts, "grams")
+    votes = rows.select("row", *counts, F.posexplode("grams").alias("place", "gram")).join(table, "gram").withColumn("place", F.col("place") - 1)
+    # positions hit are kept as bits, so that all of a vote's state is of fixed width
+    parts = range(-(-max((len(hashes) for _, hashes in flat), default=1) // 63))
+    bits = [F.bit_or(F.when(F.floor(F.col("at") / 63) == k, F.expr("shiftleft(1L, at % 63)")).otherwise(F.lit(0).cast("long"))).alias(f"hit{k}") for k in parts]
+    own = [F.max(F.when(F.col("template").isNull(), F.col(c))).alias(c) for c in counts]
+    lines = votes.groupBy("row", "template", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.min("place").alias("start"), (F.max("place") + GRAM).alias("stop"), *bits, *own)
+    one = F.struct("template", "diagonal", "start", "stop", *[f"hit{k}" for k in parts])
+    texts = lines.groupBy("row").agg(*[F.max(c).alias(c) for c in counts], F.collect_list(F.when(F.col("template").isNotNull(), one)).alias("lines"))  # a text's own matches only: bounded by its length
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("share", T.DoubleType())])
-    out = T.StructType([*schema.fields[:6], T.StructField("labels", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("license_spans", T.ArrayType(span))])
+    longs = [T.StructField(c, T.LongType()) for c in counts[:5]]
+    out = T.StructType([*longs, T.StructField("base_labels", T.StringType()), T.StructField("labels", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("license_spans", T.ArrayType(span))])
 
-    def verify(texts, lines):
-        for t, found in zip(texts, lines, strict=True):
-            by_template: dict[tuple, list] = {}
+    def verify(ids, n_words, n_base, first, last, masks, lines):
+        for i, words, places, a, z, mask, found in zip(ids, n_words, n_base, first, last, masks, lines, strict=True):
+            by_template: dict[int, list] = {}
             for d in found:
-                by_template.setdefault((d["label"], d["template"], d["length"]), []).append(d)
-            spans = sorted((a, b, label, share) for (label, _, length), ds in by_template.items() for a, b, share in merged_spans(ds, length))
-            labels = {x for x in t["base_labels"].split(",") if x} | {s[2] for s in spans}
-            score = 1.0 if t["n_base"] else max((s[3] for s in spans), default=0.0)
-            yield *t.values(), ",".join(sorted(labels)), score, [dict(zip(("start", "stop", "label", "share"), s, strict=True)) for s in spans]
-
-    return map_rows(texts.select("text", "lines"), verify, out)
+                d["hit"] = sum(d[f"hit{k}"] << 63 * k for k in parts)
+                by_template.setdefault(d["template"], []).append(d)
+            spans = sorted((p, q, flat[t][0], share) for t, ds in by_template.items() for p, q, share in merged_spans(ds, len(flat[t][1]) + GRAM - 1))
+            base = [x for k, x in enumerate(_LABELS) if mask >> k & 1]
+            labels = sorted({*base, *(s[2] for s in spans)})
+            score = 1.0 if places else max((s[3] for s in spans), default=0.0)
+            yield i, words, places, a, z, ",".join(base), ",".join(labels), score, [dict(zip(("start", "stop", "label", "share"), s, strict=True)) for s in spans]
+
+    return map_rows(texts.select(*counts, "lines"), verify, out)
