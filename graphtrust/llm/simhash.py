@@ -100,12 +100,20 @@ def _tiles(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def _near(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of x and y at most `radius` bits apart; words after the second are only looked at where the first two allow it."""
+    """Rows of x and y at most `radius` bits apart.
+
+    As many words are compared for all rows as keep unrelated ones, 32 bits a word apart, five deviations beyond the radius; the
+    rest are only looked at where these allow it.
+    """
+    words = x.shape[1]
+    dense = next((w for w in range(1, words) if 32 * w - radius >= 20 * w**0.5), words)
     distance = np.bitwise_count(x[:, :1] ^ y[None, :, 0])
-    if x.shape[1] > 1:
-        distance += np.bitwise_count(x[:, 1:2] ^ y[None, :, 1])
+    if 64 * dense > 255:
+        distance = distance.astype(np.uint16)
+    for w in range(1, dense):
+        distance += np.bitwise_count(x[:, w : w + 1] ^ y[None, :, w])
     i, j = np.nonzero(distance <= radius)
-    if x.shape[1] > 2 and len(i):
+    if dense < words and len(i):
         close = np.bitwise_count(x[i] ^ y[j]).sum(axis=1, dtype=np.int32) <= radius
         i, j = i[close], j[close]
     return i, j
