@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of an Arrow batch: bounds a Python worker's memory where texts are long.
-BATCH_ROWS = 1000
+BATCH_ROWS = 200
 #: A key of more than one in so many rows is joined by broadcast, so that no task gathers its rows.
 OFTEN = 4096
 #: likely() tells by at most so many residues of a hash.
-RESIDUES = 1 << 22
+RESIDUES = 1 << 20
 
 
 _powers = np.cumprod(np.full(256, 0x9E3779B97F4A7C15, np.uint64))
