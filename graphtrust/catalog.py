@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,7 +22,7 @@ from graphtrust.operators import stability as B
 from graphtrust.operators import student as T
 from graphtrust.operators.components import connected_components
 from graphtrust.plans import project as P
-from graphtrust.runtime import checkpoint, table
+from graphtrust.runtime import checkpoint, spill, table
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -33,7 +34,7 @@ def query(sql: str | None = None, views: bool = True):
     def put(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = f"WITH {P.SQL}{sql}" if views else sql
+            ORACLES[f.__name__] = f"WITH RECURSIVE {P.SQL}{sql}" if views else sql
         return f
 
     return put
@@ -44,6 +45,10 @@ def weighted(spark, sf: str) -> DataFrame:
     return E.weighted_edges(e, P.semantics(e))
 
 
+def weighted_pairs(spark, sf: str) -> DataFrame:
+    """weighted without edge ids: joined by both ends, so that no digest is made or moved."""
+    e = P.pairs(spark, sf)
+    return E.weighted_edges(e, P.semantics(e), ["src", "dst"])
 
 
 def r6(x: str) -> str:
@@ -162,85 +167,109 @@ def degree_assortativity(spark, sf):
     return S.degree_assortativity(P.edges(spark, sf), P.nodes(spark, sf)).select("community", fixed(F.col("assortativity")).alias("assortativity"))
 
 
-_FEATURES = ["density", "log_inflation", "reciprocity", "superficiality", "assortativity", "mean_rank_drop"]
+_FEATURES = ["density", "log_inflation", "reciprocity", "superficiality", "assortativity", "mean_pagerank_drop"]
+
+
+def _pagerank_sql(name: str, weight: str = "1.0::DOUBLE", stop: str = "z.n * 1e-6") -> str:
+    """A recursive view (id, r) of ranks, iterated until the L1 change is below `stop`."""
+    return f""", {name}_arc AS MATERIALIZED (SELECT src, dst, {weight} AS w FROM weighted GROUP BY 1, 2
+), {name}_p AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM {name}_arc
+), {name}_n AS MATERIALIZED (SELECT id, id NOT IN (SELECT src FROM {name}_p) AS dry, count(*) OVER () AS n FROM nodes
+), {name}_all AS (
+    SELECT 0 AS k, id, 1.0::DOUBLE / n AS r, NULL::DOUBLE AS was, dry, n FROM {name}_n
+    UNION ALL
+    SELECT z.k + 1, z.id, 0.15::DOUBLE / z.n + 0.85::DOUBLE * (coalesce(g.got, 0) + (SELECT coalesce(sum(r), 0) FROM {name}_all WHERE dry) / z.n), z.r, z.dry, z.n
+    FROM {name}_all z LEFT JOIN (SELECT dst, sum(p * r) AS got FROM {name}_p JOIN {name}_all y ON y.id = src GROUP BY 1) g ON g.dst = z.id
+    WHERE z.k = 0 OR (SELECT sum(abs(r - was)) FROM {name}_all) >= {stop}
+), {name} AS MATERIALIZED (SELECT id, r FROM {name}_all WHERE k = (SELECT max(k) FROM {name}_all))"""
+
+
+_SHIFTS = _pagerank_sql("pu") + _pagerank_sql("pw", "max(weight)") + f"""
+, shifted AS MATERIALIZED (SELECT u.id, u.r AS u, w.r AS w, rank() OVER (ORDER BY {r9('u.r')} DESC) AS place_plain, rank() OVER (ORDER BY {r9('w.r')} DESC) AS place_trust FROM pu u JOIN pw w USING (id))"""
+_MEANS = ["mean_pagerank_drop", "mean_rank_drop", "mean_weighted_pagerank", "mean_unweighted_pagerank"]
 
 
 def _z(f: str) -> str:
-    return f"CASE WHEN coalesce(stddev_pop({r9(f)}) OVER (), 0) > 1e-15 THEN ({r9(f)} - avg({r9(f)}) OVER ()) / stddev_pop({r9(f)}) OVER () ELSE 0 END"
+    x = r9(f"{f} * (SELECT count(*) FROM edges)") if f == "mean_pagerank_drop" else r9(f)
+    return f"CASE WHEN coalesce(stddev_pop({x}) OVER (), 0) > 1e-15 THEN ({x} - avg({x}) OVER ()) / stddev_pop({x}) OVER () ELSE 0 END"
 
 
-_CCI = _DEGREES + _ASSORT + f""", inner_stats AS (
+_CCI = _SHIFTS + _DEGREES + _ASSORT + f""", inner_stats AS (
     SELECT src_community AS community, count(*) AS internal_edges, count(*) FILTER (WHERE reciprocal) AS reciprocal_edges, count(*) FILTER (WHERE typed) AS typed_edges,
         count(*) FILTER (WHERE typed AND intent IN ('Background', 'Perfunctory/Ceremonial')) AS shallow_edges FROM flagged WHERE internal GROUP BY 1
-), base AS (SELECT community, count(*) AS size, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM deg WHERE community IS NOT NULL GROUP BY 1
+), base AS (SELECT community, count(*) AS size, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree, avg(u - w) AS mean_pagerank_drop, avg(place_trust - place_plain) AS mean_rank_drop,
+        avg(w) AS mean_weighted_pagerank, avg(u) AS mean_unweighted_pagerank FROM deg LEFT JOIN shifted USING (id) WHERE community IS NOT NULL GROUP BY 1
 ), feats AS (
     SELECT b.*, coalesce(internal_edges, 0) AS internal_edges, coalesce(reciprocal_edges, 0) AS reciprocal_edges, coalesce(typed_edges, 0) AS typed_edges, coalesce(shallow_edges, 0) AS shallow_edges,
         coalesce(internal_edges, 0) / nullif(size * (size - 1), 0)::DOUBLE AS density0, coalesce(reciprocal_edges / nullif(internal_edges, 0)::DOUBLE, 0) AS reciprocity,
-        coalesce(shallow_edges / nullif(typed_edges, 0)::DOUBLE, 0) AS superficiality, coalesce(assortativity, 0) AS assortativity, 0.0::DOUBLE AS mean_rank_drop,
+        coalesce(shallow_edges / nullif(typed_edges, 0)::DOUBLE, 0) AS superficiality, coalesce(assortativity, 0) AS assortativity,
         ln(1 + coalesce(internal_edges, 0) / greatest(out_degree::DOUBLE * in_degree / (SELECT count(*) FROM edges), 1e-9)) AS log_inflation,
         coalesce(internal_edges, 0) / greatest(out_degree::DOUBLE * in_degree / (SELECT count(*) FROM edges), 1e-9) AS inflation
     FROM base b LEFT JOIN inner_stats USING (community) LEFT JOIN assort USING (community)
 ), zs AS (SELECT *, coalesce(density0, 0) AS density FROM feats
 ), zz AS (SELECT *, {', '.join(f'{_z(f)} AS {f}_z' for f in _FEATURES)} FROM zs
-), scored AS (SELECT *, {r6('(' + ' + '.join(f'{f}_z' for f in _FEATURES) + ') / 6')} AS cci, {r6('(' + ' + '.join(f'{f}_z' for f in _FEATURES if f != 'superficiality') + ') / 5')} AS structural_cci FROM zz)"""
+), scored AS MATERIALIZED (SELECT *, {r6('(' + ' + '.join(f'{f}_z' for f in _FEATURES) + ') / 6')} AS cci, {r6('(' + ' + '.join(f'{f}_z' for f in _FEATURES if f != 'superficiality') + ') / 5')} AS structural_cci FROM zz)"""
+_COUNTS = ["community", "size", "internal_edges", "reciprocal_edges", "typed_edges", "shallow_edges"]
+
 
+def scores(spark, sf: str) -> DataFrame:
+    e, n = weighted_pairs(spark, sf), P.nodes(spark, sf)
+    return S.community_scores(e, n, S.pagerank_shifts(e, n))
 
-@query(_CCI + f"SELECT community, size, internal_edges, reciprocal_edges, typed_edges, shallow_edges, {', '.join(f'{r6(f)} AS {f}' for f in _FEATURES + ['inflation'])}, cci, structural_cci, rank() OVER (ORDER BY cci DESC) AS cci_rank FROM scored")
+
+@query(_CCI + f"""SELECT {', '.join(_COUNTS)}, {', '.join(f'{r6(f)} AS {f}' for f in _FEATURES[:-1] + ['inflation', 'mean_rank_drop'])}, {', '.join(f'{r6(f + ' * 1e6')} AS {f}_ppm' for f in _MEANS if f != 'mean_rank_drop')},
+    {', '.join(f'{r6(f + '_z')} AS {f}_z' for f in _FEATURES)}, cci, structural_cci, rank() OVER (ORDER BY cci DESC) AS cci_rank FROM scored""")
 def cci_scores(spark, sf):
-    rows = S.community_scores(weighted(spark, sf), P.nodes(spark, sf))
-    keep = ["community", "size", "internal_edges", "reciprocal_edges", "typed_edges", "shallow_edges"]
-    return rows.select(*keep, *[fixed(F.col(f)).alias(f) for f in _FEATURES + ["inflation"]], "cci", "structural_cci", "cci_rank")
+    """The composite index of every community from all six features, with the four means of its ranks (in millionths)."""
+    return scores(spark, sf).select(
+        *_COUNTS, *[fixed(F.col(f)).alias(f) for f in _FEATURES[:-1] + ["inflation", "mean_rank_drop"]], *[fixed(F.col(f) * 1e6).alias(f"{f}_ppm") for f in _MEANS if f != "mean_rank_drop"],
+        *[fixed(F.col(f"{f}_z")).alias(f"{f}_z") for f in _FEATURES], "cci", "structural_cci", "cci_rank",
+    )
 
 
-def full_scores(spark, sf: str) -> DataFrame:
-    """The index from all six features: ranks' drops included."""
-    e, n = weighted(spark, sf), P.nodes(spark, sf)
-    return S.community_scores(e, n, checkpoint(S.rank_drops(e, n)))
+_RANKS = lambda x: f"rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0::DOUBLE"
 
 
-@query()
-def cci_scores_full(spark, sf):
-    """cci_scores with the trust-PageRank feature, from stationary ranks."""
-    keep = ["community", "size", "internal_edges", "reciprocal_edges", "typed_edges", "shallow_edges"]
-    drop = fixed(F.col("mean_rank_drop"), 12).alias("mean_rank_drop")
-    return full_scores(spark, sf).select(*keep, *[fixed(F.col(f)).alias(f) for f in _FEATURES[:-1]], drop, fixed(F.col("inflation")).alias("inflation"), "cci", "structural_cci", "cci_rank")
+def _compared(rows: str, names: dict[str, str]) -> str:
+    """Spearman and overlaps of each column of `rows` (community, cci, columns) with cci."""
+    top = lambda c, k: f"SELECT community FROM {rows} ORDER BY {c} DESC, community LIMIT {k}"
+    pearson = "CASE WHEN stddev_pop(x) * stddev_pop(y) > 1e-15 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) ELSE 0 END"
 
+    def one(name: str, column: str) -> str:
+        overlaps = ", ".join(f"(SELECT {r6(f'avg(CASE WHEN community IN ({top(column, k)}) THEN 1.0 ELSE 0.0 END)')} FROM ({top('cci', k)})) AS overlap_{k}" for k in (5, 10, 25))
+        return f"SELECT '{name}' AS score, (SELECT {r6(pearson)} FROM (SELECT {_RANKS(column)} AS x, {_RANKS('cci')} AS y FROM {rows})) AS spearman, {overlaps}"
 
-_RANKS = lambda x: f"rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0::DOUBLE"
-_BASELINES = ["density", "inflation", "reciprocity", "structural_cci", "superficiality"]
+    return " UNION ALL ".join(one(name, column) for name, column in names.items())
 
 
-def _baseline(name: str) -> str:
-    top = lambda c, k: f"SELECT community FROM fine ORDER BY {c} DESC, community LIMIT {k}"
-    overlaps = ", ".join(f"(SELECT {r6(f'avg(CASE WHEN community IN ({top(name, k)}) THEN 1.0 ELSE 0.0 END)')} FROM ({top('cci', k)})) AS overlap_{k}" for k in (5, 10, 25))
-    pearson = "CASE WHEN stddev_pop(x) * stddev_pop(y) > 1e-15 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) ELSE 0 END"
-    return f"SELECT '{name}' AS score, (SELECT {r6(pearson)} FROM (SELECT {_RANKS(name)} AS x, {_RANKS('cci')} AS y FROM fine)) AS spearman, {overlaps}"
+_BASELINES = _CCI + f""", fine AS MATERIALIZED (SELECT community, cci, structural_cci, {', '.join(f'{r6(c)} AS {c}' for c in S.BASELINES.values() if c not in ('structural_cci', 'random_score'))},
+    CAST(('0x' || substr(md5(community || ':42'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS random_score FROM scored), compared AS ({_compared('fine', S.BASELINES)})"""
 
 
-@query(_CCI + f", fine AS (SELECT community, cci, structural_cci, {', '.join(f'{r6(f)} AS {f}' for f in _BASELINES if f != 'structural_cci')} FROM scored) " + " UNION ALL ".join(map(_baseline, _BASELINES)))
+@query(_BASELINES + "SELECT * FROM compared")
 def spearman_baselines(spark, sf):
-    from graphtrust.runtime import checkpoint
+    return S.baselines(scores(spark, sf))
 
-    rows = S.community_scores(weighted(spark, sf), P.nodes(spark, sf))
-    fine = checkpoint(rows.select("community", "cci", "structural_cci", *[fixed(F.col(f)).alias(f) for f in _BASELINES if f != "structural_cci"]))
-    return S.compare(fine, _BASELINES)
 
+@query(_BASELINES + " UNION ALL ".join(f"SELECT score, {k} AS k, overlap_{k} AS precision FROM compared" for k in (5, 10, 25)))
+def precision_at_k(spark, sf):
+    """Proxy precision of each baseline: a row for each and k."""
+    return S.precision_rows(S.baselines(scores(spark, sf)))
 
-@query()
-def spearman_baselines_full(spark, sf):
-    """spearman_baselines of the index from all six features."""
-    return S.compare(checkpoint(full_scores(spark, sf).select("community", "cci", "structural_cci", *[fixed(F.col(f)).alias(f) for f in _BASELINES if f != "structural_cci"])), _BASELINES)
 
+_WITHOUT = ", ".join(r6("(" + " + ".join(f"{g}_z" for g in _FEATURES if g != f) + ") / 5") + f" AS without_{f}" for f in _FEATURES)
 
-@query(_CCI + "SELECT community, cci, " + ", ".join(r6("(" + " + ".join(f"{g}_z" for g in _FEATURES if g != f) + ") / 5") + f" AS without_{f}" for f in _FEATURES) + " FROM scored")
-def ablation(spark, sf):
-    return S.ablations(S.community_scores(weighted(spark, sf), P.nodes(spark, sf)))
 
+@query(_CCI + f"SELECT community, cci, {_WITHOUT} FROM scored")
+def ablation_scores(spark, sf):
+    """The index without each feature."""
+    return S.without_each(scores(spark, sf))
 
-@query()
-def ablation_full(spark, sf):
-    """ablation of the index from all six features."""
-    return S.ablations(full_scores(spark, sf))
+
+@query(_CCI + f", ablated AS MATERIALIZED (SELECT community, cci, {_WITHOUT} FROM scored) " + _compared("ablated", {f: f"without_{f}" for f in _FEATURES}))
+def ablation(spark, sf):
+    """Spearman and overlaps of the index without each feature against the whole."""
+    return S.ablations(scores(spark, sf))
 
 
 _PRE = """, und AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst
@@ -264,33 +293,37 @@ def pct_rank_scores(spark, sf):
     return pre.select("community", fixed(stats.percent_rank("size")).alias("size_pct"), fixed(stats.percent_rank("volume")).alias("volume_pct"))
 
 
-_POOLS = _PRE + f""", dense AS (SELECT community FROM pre ORDER BY {r9('density')} DESC, size DESC, community LIMIT 5
-), inflated AS (SELECT community FROM pre ORDER BY {r9('internal_edges / greatest(expected, 1e-9)')} DESC, community LIMIT 5
-), pools AS (
+_TOP = 5  # communities of a kind that a pool takes
+_POOLS = _PRE + f""", dense AS (SELECT community FROM pre ORDER BY {r9('density')} DESC, size DESC, community LIMIT {_TOP}
+), inflated AS (SELECT community FROM pre ORDER BY {r9('internal_edges / greatest(expected, 1e-9)')} DESC, community LIMIT {_TOP}
+), fine_pre AS (SELECT community, {r9('density')} AS density, {r9('internal_edges / greatest(expected, 1e-9)')} AS inflation, {r9('reciprocity')} AS reciprocity FROM pre
+), candidates AS (SELECT community FROM (SELECT community, {r6(' + '.join(f"({_RANKS(c)}) / count(*) OVER ()" for c in ('density', 'inflation', 'reciprocity')))} AS rough FROM fine_pre) ORDER BY rough DESC, community LIMIT {_TOP}
+), pools AS MATERIALIZED (
     SELECT edge_id, src, dst, 'dense' AS pool FROM flagged WHERE internal AND src_community IN (SELECT community FROM dense)
     UNION ALL SELECT edge_id, src, dst, 'inflated' FROM flagged WHERE internal AND src_community IN (SELECT community FROM inflated)
     UNION ALL SELECT edge_id, src, dst, 'reciprocal' FROM flagged WHERE reciprocal
-    UNION ALL SELECT edge_id, src, dst, 'cross' FROM flagged WHERE NOT internal AND (src_community IN (SELECT community FROM dense) OR dst_community IN (SELECT community FROM dense))
+    UNION ALL SELECT edge_id, src, dst, 'touching' FROM flagged WHERE src_community IN (SELECT community FROM candidates) OR dst_community IN (SELECT community FROM candidates)
     UNION ALL (SELECT edge_id, src, dst, 'random' FROM edges ORDER BY md5(edge_id || ':42'), edge_id LIMIT 2500))"""
 
 
 def pools(spark, sf) -> DataFrame:
-    """(edge_id, src, dst, pool): five pools, in each of which an edge stands once."""
+    """(edge_id, src, dst, pool), written: five pools, in each of which an edge stands once. The flagged edges are made once."""
     e, n = P.edges(spark, sf), P.nodes(spark, sf)
-    pre = S.precommunity_scores(e, n)
-    top = lambda *order: pre.orderBy(*order, "community").limit(5).select("community")
+    flagged = S.flagged_edges(e, n)
+    pre = checkpoint(S.precommunity_scores(flagged, n))
+    top = lambda *order: pre.orderBy(*order, "community").limit(_TOP).select("community")
     dense, inflated = top(fixed(F.col("density"), 9).desc(), F.desc("size")), top(fixed(F.col("inflation"), 9).desc())
-    flagged = E.with_reciprocal(E.with_communities(e, n))
     inside = lambda t: flagged.filter("internal").join(F.broadcast(t.withColumnRenamed("community", "src_community")), "src_community", "left_semi")  # noqa: E731  five rows
-    a = F.broadcast(dense.select(F.col("community").alias("src_community"), F.lit(True).alias("a")))
-    b = F.broadcast(dense.select(F.col("community").alias("dst_community"), F.lit(True).alias("b")))
-    cross = flagged.filter("not internal").join(a, "src_community", "left").join(b, "dst_community", "left").filter("a or b")
-    named = {"dense": inside(dense), "inflated": inside(inflated), "reciprocal": flagged.filter("reciprocal"), "cross": cross, "random": R.sample(e, "edge_id", 2500, 42)}
+    candidates = S.rough_candidates(pre, _TOP)
+    a = F.broadcast(candidates.select(F.col("community").alias("src_community"), F.lit(True).alias("a")))
+    b = F.broadcast(candidates.select(F.col("community").alias("dst_community"), F.lit(True).alias("b")))
+    touching = flagged.join(a, "src_community", "left").join(b, "dst_community", "left").filter("a or b")
+    named = {"dense": inside(dense), "inflated": inside(inflated), "reciprocal": flagged.filter("reciprocal"), "touching": touching, "random": R.sample(flagged, "edge_id", 2500, 42)}
     out = None
     for name, rows in named.items():
         rows = rows.select("edge_id", "src", "dst", F.lit(name).alias("pool"))
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return spill(out, "pools")
 
 
 @query(_POOLS + "SELECT * FROM pools")
@@ -298,7 +331,7 @@ def sampling_pools(spark, sf):
     return pools(spark, sf)
 
 
-_QUOTAS = {"cross": 400, "dense": 250, "inflated": 200, "random": 300, "reciprocal": 150}
+_QUOTAS = {"dense": 250, "inflated": 200, "random": 300, "reciprocal": 150, "touching": 400}
 
 
 @query(_POOLS + f""", ranked AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY md5(edge_id || ':7'), edge_id) AS n FROM pools),
@@ -319,14 +352,18 @@ def exclusive_selection(spark, sf):
     return R.exclusive_groups([("dense", of("dense"), 100, 42), ("reciprocal", of("reciprocal"), 100, 59), ("filler", filler, 300, 143)], "edge_id")
 
 
-@query(_CCI + f""", ti AS (SELECT src_community AS community, count(*) AS typed_seen, avg(CASE WHEN intent IN ('Background', 'Perfunctory/Ceremonial') THEN 1.0 ELSE 0.0 END) AS shallow_share, avg(weight) AS seen_weight FROM flagged WHERE internal AND typed GROUP BY 1
-), ar AS (SELECT community, size, {r9('density')} AS density, {r9('inflation')} AS inflation, {r9('coalesce(shallow_share, 0)')} AS shallow_share, 1.0::DOUBLE - {r9('coalesce(seen_weight, (SELECT median(seen_weight) FROM ti), 1.0)')} AS distrust, coalesce(typed_seen, 0) AS seen FROM scored LEFT JOIN ti USING (community)
-), el AS (SELECT * FROM ar WHERE seen >= 10 OR NOT EXISTS (SELECT 1 FROM ar WHERE seen >= 10)
-), rk AS (SELECT community, size, {r6('((' + ') / count(*) OVER () + ('.join(_RANKS(c) for c in ('density', 'inflation', 'shallow_share', 'distrust')) + ') / count(*) OVER ()) / 4')} AS rough_score FROM el)
-    SELECT * FROM rk ORDER BY rough_score DESC, community LIMIT 10""")
+_ADAPTIVE = f""", ti AS (SELECT src_community AS community, count(*) AS typed_seen, avg(CASE WHEN intent IN ('Background', 'Perfunctory/Ceremonial') THEN 1.0 ELSE 0.0 END) AS shallow_share, avg(weight) AS seen_weight FROM flagged WHERE internal AND typed GROUP BY 1
+), ar AS (SELECT community, size, {r9('density')} AS density, {r9('internal_edges / greatest(expected, 1e-9)')} AS inflation, {r9('reciprocity')} AS reciprocity, {r9('coalesce(shallow_share, 0)')} AS shallow_share,
+    {r9('coalesce(seen_weight, (SELECT median(seen_weight) FROM ti), 1.0)')} AS mean_weight, coalesce(typed_seen, 0) AS typed_seen FROM pre LEFT JOIN ti USING (community)
+), el AS (SELECT * FROM ar WHERE typed_seen >= 10 OR NOT EXISTS (SELECT 1 FROM ar WHERE typed_seen >= 10)
+), rk AS (SELECT community, size, typed_seen, shallow_share, mean_weight, {r6(' + '.join(f"({_RANKS(c)}) / count(*) OVER ()" for c in ('inflation', 'density', 'reciprocity', 'shallow_share')))} AS adaptive_score FROM el
+), adaptive AS (SELECT * FROM rk ORDER BY adaptive_score DESC, community LIMIT 10)"""
+
+
+@query(_PRE + _ADAPTIVE + "SELECT * FROM adaptive")
 def adaptive_ranking(spark, sf):
-    n, e = P.nodes(spark, sf), P.edges(spark, sf)
-    return S.adaptive_ranking(S.community_scores(weighted(spark, sf), n), P.semantics(e), n)
+    n, e = P.nodes(spark, sf), P.pairs(spark, sf)
+    return S.adaptive_ranking(S.precommunity_scores(e, n), P.semantics(e), n)
 
 
 @query("SELECT intent, count(*) AS n FROM weighted WHERE typed GROUP BY 1")
@@ -347,11 +384,11 @@ def intent_breakdown(spark, sf):
 _SHALLOW = "avg(CASE WHEN intent IN ('Background', 'Perfunctory/Ceremonial') THEN 1.0 ELSE 0.0 END)"
 
 
-@query(f"SELECT src_community AS community, count(*) AS internal_edges, {r6(_SHALLOW)} AS shallow_share, {_SHALLOW} > 0.3 AS flagged FROM flagged WHERE internal GROUP BY 1 HAVING count(*) > 2")
+@query(f"SELECT src_community AS community, count(*) AS internal_edges, {r6(_SHALLOW)} AS shallow_share, {_SHALLOW} > 0.6 AS flagged FROM flagged WHERE internal GROUP BY 1 HAVING count(*) > 2")
 def shallow_share(spark, sf):
     share = F.avg(L.is_shallow(F.col("intent")).cast("int"))
     inner = E.with_communities(weighted(spark, sf), P.nodes(spark, sf)).filter("internal")
-    return inner.groupBy(F.col("src_community").alias("community")).agg(F.count("*").alias("internal_edges"), fixed(share).alias("shallow_share"), (share > 0.3).alias("flagged")).filter("internal_edges > 2")
+    return inner.groupBy(F.col("src_community").alias("community")).agg(F.count("*").alias("internal_edges"), fixed(share).alias("shallow_share"), (share > 0.6).alias("flagged")).filter("internal_edges > 2")
 
 
 # ---- labels and text
@@ -368,23 +405,39 @@ def priority_dedup(spark, sf):
     return R.keep_first(shards, "edge_id", F.desc("priority"))
 
 
-_REPLY = """CASE event_id % 5 WHEN 0 THEN '{"label":"method","confidence":0.9}' WHEN 1 THEN '{"label":"This is Support","confidence":"1.7"}' WHEN 2 THEN '{"label":"Background or Method","confidence":null}' WHEN 3 THEN '{"label":"other"}' ELSE NULL END"""
+#: Replies of a labelling service, well and badly formed, for event_id % 13.
+_REPLIES = (
+    '{"label":"method","confidence":0.9}', '{"label":"This is Support","confidence":"1.7"}', '{"label":"Background or Method","confidence":null}', '{"label":"other"}', None, 'not json',
+    '{"label": "Support", "confidence": 0.5', '["Method"]', '{"label":"CONTRAST/criticism","confidence":-3}', '{"label":" result/comparison ","confidence":"NaN"}', '{"confidence":0.4}', '{"label":7,"confidence":true}', '{"label":"Perfunctory/Ceremonial","confidence":"high"}',
+)
+_REPLY = "CASE event_id % 13 " + " ".join(f"WHEN {k} THEN {'NULL' if r is None else repr(r)}" for k, r in enumerate(_REPLIES)) + " END"
+_INTENT_SQL = ("Background", "Method", "Result/Comparison", "Support", "Contrast/Criticism", "Perfunctory/Ceremonial")
+_PARSED = f"""parsed AS (
+    SELECT *, CASE WHEN json_valid(content) THEN coalesce(json_extract_string(content, '$.label'), '') END AS raw, CASE WHEN json_valid(content) THEN try_cast(json_extract_string(content, '$.confidence') AS DOUBLE) END AS c FROM replies
+), named AS (
+    SELECT *, coalesce({', '.join(f"CASE WHEN lower(trim(raw)) = '{x.lower()}' THEN '{x}' END" for x in _INTENT_SQL)}, {', '.join(f"CASE WHEN contains(lower(trim(raw)), '{x.lower()}') THEN '{x}' END" for x in _INTENT_SQL)}) AS label FROM parsed
+), labelled AS (
+    SELECT * EXCLUDE (label, raw, c, content), label, CASE WHEN label IS NOT NULL AND c IS NOT NULL THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, c)) END AS confidence,
+        CASE WHEN content IS NULL THEN 'missing_message_content' WHEN NOT json_valid(content) THEN 'json_decode_error' WHEN label IS NULL THEN 'unknown_label: ' || raw END AS error FROM named)"""
 
 
-@query(f"""
-    WITH r AS (SELECT event_id, {_REPLY} AS content FROM events)
-    SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'Method' WHEN 1 THEN 'Support' WHEN 2 THEN 'Background' END AS label,
-        CASE event_id % 5 WHEN 0 THEN 0.9::DOUBLE WHEN 1 THEN 1.0::DOUBLE END AS confidence,
-        CASE event_id % 5 WHEN 3 THEN 'unknown_label: other' WHEN 4 THEN 'missing_message_content' END AS error FROM r""", views=False)
+@query(f"WITH replies AS (SELECT event_id, {_REPLY} AS content FROM events), {_PARSED} SELECT event_id, label, confidence, error FROM labelled", views=False)
 def label_parse(spark, sf):
-    rows = table(spark, sf, "events").select("event_id", F.expr(_REPLY.replace("::DOUBLE", "")).alias("content"))
+    rows = table(spark, sf, "events").select("event_id", F.expr(_REPLY).alias("content"))
     return rows.select("event_id", L.parse_reply(F.col("content")).alias("r")).select("event_id", "r.*")
 
 
-@query("""SELECT quality AS label, count(*) AS n, floor(count(*) * 10000.0::DOUBLE / sum(count(*)) OVER () + 0.5) / 10000.0::DOUBLE AS share, count(*) < 100 AS underpowered FROM labels GROUP BY 1""", views=False)
+_LABELS = "labelled AS (SELECT intent AS label, confidence FROM semantics WHERE intent <> 'Support' AND (intent <> 'Method' OR src % 97 = 0))"
+
+
+@query(f""", {_LABELS}, names AS (SELECT * FROM (VALUES {', '.join(f"({k}, '{x}')" for k, x in enumerate(_INTENT_SQL))}) t(k, label)
+), c AS (SELECT label, k, coalesce(n, 0) AS n FROM names LEFT JOIN (SELECT label, count(*) AS n FROM labelled GROUP BY 1) USING (label))
+    SELECT label, n, floor(n * 10000.0::DOUBLE / (SELECT count(*) FROM labelled) + 0.5) / 10000.0::DOUBLE AS share, n = 0 AS missing, n > 0 AND n < 100 AS underpowered, (SELECT count(*) = 0 FROM c WHERE n < 100) AS ready,
+        (SELECT count(*) FROM labelled) AS rows, {', '.join(f"(SELECT {r6(f'{f}(confidence)')} FROM labelled) AS confidence_{f2}" for f, f2 in (('avg', 'mean'), ('median', 'median'), ('min', 'min'), ('max', 'max')))} FROM c""")
 def label_audit(spark, sf):
-    counts = table(spark, sf, "labels").groupBy(F.col("quality").alias("label")).agg(F.count("*").alias("n"))
-    return counts.select("label", "n", fixed(F.col("n") / F.sum("n").over(Window.partitionBy()), 4).alias("share"), (F.col("n") < 100).alias("underpowered"))
+    """Counts of all six labels, one of which is missing here and one weak, with confidences and whether a student can be trained."""
+    s = P.semantics(P.pairs(spark, sf)).filter("intent <> 'Support' and (intent <> 'Method' or src % 97 = 0)")
+    return L.audit(s.select(F.col("intent").alias("label"), "confidence"), 100)
 
 
 @query(f"SELECT quality AS label, {r6('sum(count(*)) OVER () / (count(*) OVER () * greatest(count(*), 1))::DOUBLE')} AS weight FROM labels GROUP BY 1", views=False)
@@ -410,20 +463,23 @@ def confusion_matrix(spark, sf):
 @query(f"""
     WITH p AS ({_PRED}), c AS (SELECT k.gold AS label, (SELECT count(*) FROM p WHERE gold = k.gold AND pred = k.gold) AS hit, (SELECT count(*) FROM p WHERE gold = k.gold) AS support, (SELECT count(*) FROM p WHERE pred = k.gold) AS said FROM (SELECT DISTINCT gold FROM p) k)
     SELECT label, support, {r6('coalesce(hit / nullif(said, 0)::DOUBLE, 0)')} AS prec, {r6('hit / support::DOUBLE')} AS recall, {r6('coalesce(2.0 * hit / nullif(said + support, 0)::DOUBLE, 0)')} AS f1,
-        {r6('sum(hit) OVER () / sum(support) OVER ()::DOUBLE')} AS accuracy FROM c""", views=False)
+        {r6('sum(hit) OVER () / sum(support) OVER ()::DOUBLE')} AS accuracy, {r6('avg(coalesce(2.0 * hit / nullif(said + support, 0)::DOUBLE, 0)) OVER ()')} AS macro_f1,
+        {r6('sum(support * coalesce(2.0 * hit / nullif(said + support, 0)::DOUBLE, 0)) OVER () / sum(support) OVER ()')} AS weighted_f1 FROM c""", views=False)
 def class_report(spark, sf):
     p = predictions(spark, sf)
     cells = p.groupBy("gold", "pred").agg(F.count("*").alias("n"))
     gold = cells.groupBy(F.col("gold").alias("label")).agg(F.sum("n").alias("support"), F.coalesce(F.sum(F.when(F.col("gold") == F.col("pred"), F.col("n"))), F.lit(0)).alias("hit"))
     said = cells.groupBy(F.col("pred").alias("label")).agg(F.sum("n").alias("said"))
     every, s = Window.partitionBy(), F.coalesce("said", F.lit(0))
+    f1 = F.coalesce(F.try_divide(2.0 * F.col("hit"), s + F.col("support")), F.lit(0.0))
     return gold.join(said, "label", "left").select(
         "label", "support", fixed(F.coalesce(F.try_divide("hit", s), F.lit(0.0))).alias("prec"), fixed(F.col("hit") / F.col("support")).alias("recall"),
-        fixed(F.coalesce(F.try_divide(2.0 * F.col("hit"), s + F.col("support")), F.lit(0.0))).alias("f1"), fixed(F.sum("hit").over(every) / F.sum("support").over(every)).alias("accuracy"),
+        fixed(f1).alias("f1"), fixed(F.sum("hit").over(every) / F.sum("support").over(every)).alias("accuracy"), fixed(F.avg(f1).over(every)).alias("macro_f1"),
+        fixed(F.sum(F.col("support") * f1).over(every) / F.sum("support").over(every)).alias("weighted_f1"),
     )
 
 
-_STOP = "['" + "', '".join(text.STOP) + "']"
+_STOP = "['the', 'and', 'for', 'with', 'that', 'this', 'from', 'are', 'was', 'were', 'using', 'based', 'paper', 'method', 'approach', 'results', 'data', 'model', 'models', 'study']"
 _TOK = lambda c: f"list_sort(list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z][a-z0-9_+-]{{2,}}'), lambda w: NOT list_contains({_STOP}, w))))"
 
 
@@ -437,10 +493,22 @@ def jaccard_pairs(spark, sf):
     return t.join(b, "item_id").select("item_id", F.size("t").cast("long").alias("n_tokens"), fixed(text.jaccard(F.col("t"), F.col("u"))).alias("jaccard"))
 
 
-@query("WITH w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark) SELECT item_id, trim(array_to_string(w, ' ')) AS text FROM w", views=False)
+@query("""
+    WITH w AS (SELECT item_id, text, string_split(text, ' ') AS w FROM benchmark
+    ), cells AS (SELECT item_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM w
+    ), put AS (SELECT item_id, word, i + i // 7 + item_id % 3 AS pos, i AS n FROM cells UNION ALL SELECT item_id, word || '!', i + i // 7 + item_id % 3, i + 10000 FROM cells WHERE i % 11 = 0
+    ), last AS (SELECT item_id, pos, arg_max(word, n) AS word FROM put GROUP BY 1, 2
+    ), size AS (SELECT item_id, max(pos) + 1 + CASE WHEN item_id % 2 = 0 THEN 3 ELSE 0 END AS n FROM put GROUP BY 1
+    ), filled AS (SELECT s.item_id, string_agg(coalesce(word, ''), ' ' ORDER BY p) AS text FROM (SELECT item_id, unnest(range(n)) AS p FROM size) s LEFT JOIN last l ON l.item_id = s.item_id AND l.pos = s.p GROUP BY 1)
+    SELECT item_id, trim(text) AS text FROM filled""", views=False)
 def inverted_index_text(spark, sf):
-    words = F.transform(F.split("text", " "), lambda w, i: F.struct(w.alias("word"), i.alias("pos")))
-    return table(spark, sf, "benchmark").select("item_id", text.text_from_index(F.reverse(words)).alias("text"))
+    """Texts from indexes with gaps (every seventh place and the first ones), repeats (a later word at a taken place) and lengths beyond the last word."""
+    place = lambda i: (i + F.floor(i / 7) + F.pmod("item_id", F.lit(3))).cast("int")
+    words = F.transform(F.split("text", " "), lambda w, i: F.struct(w.alias("word"), place(i).alias("pos")))
+    again = F.transform(F.filter(F.transform(F.split("text", " "), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["i"] % 11 == 0), lambda x: F.struct(F.concat(x["w"], F.lit("!")).alias("word"), place(x["i"]).alias("pos")))
+    rows = table(spark, sf, "benchmark").select("item_id", F.concat(words, again).alias("words"))
+    last = F.array_max(F.transform("words", lambda w: w["pos"])) + 1
+    return rows.select("item_id", text.text_from_index(F.col("words"), F.when(F.col("item_id") % 2 == 0, last + 3).otherwise(last)).alias("text"))
 
 
 @query("SELECT o_orderkey, coalesce(arg_max(l_returnflag, (l_quantity, -l_linenumber)), 'Unknown') AS top FROM orders LEFT JOIN (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2) ON l_orderkey = o_orderkey GROUP BY 1", views=False)
@@ -451,10 +519,10 @@ def top_field(spark, sf):
     return orders.join(fields, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", text.top_field(F.col("fields")).alias("top"))
 
 
-@query("SELECT doc_id, substring(concat_ws(' ', source, text), 1, 1200) AS clipped, concat(source, '. ', substring(text, 1, 80)) AS pair_text FROM documents", views=False)
+@query("SELECT doc_id, substring(concat(coalesce(source, ''), ' ', coalesce(text, '')), 1, 1200) AS clipped, concat(coalesce(source, ''), '. ', coalesce(text, '')) AS pair_text FROM documents", views=False)
 def pair_text(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select("doc_id", text.clipped(F.col("source"), F.col("text")).alias("clipped"), F.concat("source", F.lit(". "), F.substring("text", 1, 80)).alias("pair_text"))
+    return d.select("doc_id", text.clipped(F.col("source"), F.col("text")).alias("clipped"), text.pair_text(F.col("source"), F.col("text")).alias("pair_text"))
 
 
 @query(f"SELECT role, count(*) AS requests, sum(length(text))::BIGINT AS chars, {r6('sum(length(text)) / 4.0::DOUBLE * 0.15 / 1000000')} AS cost, sum(length(text)) / 4.0::DOUBLE * 0.15 / 1000000 > 100 AS over_cap FROM conversations GROUP BY 1", views=False)
@@ -474,13 +542,21 @@ def stratified_split(spark, sf):
     WITH r AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id::VARCHAR || ':9'), doc_id) AS n, count(*) OVER (PARTITION BY quality) AS c, count(*) OVER () AS t FROM labels)
     SELECT doc_id, quality FROM r WHERE n <= greatest(1, floor(c * 100 / t::DOUBLE + 0.5))""", views=False)
 def stratified_cap(spark, sf):
-    every, one = Window.partitionBy(), Window.partitionBy("quality")
-    n = F.row_number().over(one.orderBy(R.draw("doc_id", 9), "doc_id"))
-    cap = F.greatest(F.lit(1), F.floor(F.count("*").over(one) * 100 / F.count("*").over(every) + 0.5))
-    return table(spark, sf, "labels").withColumns({"n": n, "cap": cap}).filter("n <= cap").select("doc_id", "quality")
+    return R.stratified_cap(table(spark, sf, "labels"), "doc_id", "quality", 100, 9).select("doc_id", "quality")
 
 
-@query()
+_CHUNKS = """
+    WITH RECURSIVE t AS (SELECT conv_id * 100000 + turn AS request, octet_length(encode(text))::BIGINT AS bytes FROM conversations
+    ), o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY request, bytes) AS n FROM t
+    ), walk AS (
+        SELECT n, request, bytes, 0::BIGINT AS chunk, 1 AS held, bytes AS sum FROM o WHERE n = 1
+        UNION ALL
+        SELECT o.n, o.request, o.bytes, CASE WHEN held >= 50 OR sum + o.bytes > 20000 THEN chunk + 1 ELSE chunk END, CASE WHEN held >= 50 OR sum + o.bytes > 20000 THEN 1 ELSE held + 1 END,
+            CASE WHEN held >= 50 OR sum + o.bytes > 20000 THEN o.bytes ELSE sum + o.bytes END FROM walk w JOIN o ON o.n = w.n + 1
+    ) SELECT request, bytes, chunk FROM walk"""
+
+
+@query(_CHUNKS, views=False)
 def request_chunks(spark, sf):
     """Greedy chunks of conversation turns by rows and bytes."""
     t = table(spark, sf, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("request"), F.octet_length("text").cast("long").alias("bytes"))
@@ -490,33 +566,83 @@ def request_chunks(spark, sf):
 # ---- graph
 
 
-def _pagerank_sql(weight: str, k: int, name: str) -> str:
-    w = "max(weight)" if weight else "1.0::DOUBLE"
-    parts = [f", {name}_arc AS (SELECT src, dst, {w} AS w FROM weighted GROUP BY 1, 2), {name}_p AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM {name}_arc)",
-             f"{name}_0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS r FROM nodes)"]
+def _pagerank_k_sql(k: int, name: str) -> str:
+    parts = [f", {name}_p AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS p FROM edges)", f"{name}_0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS r FROM nodes)"]
     for i in range(1, k + 1):
         parts.append(f"{name}_{i} AS MATERIALIZED (SELECT n.id, 0.15::DOUBLE / (SELECT count(*) FROM nodes) + 0.85::DOUBLE * (coalesce(g.got, 0) + (SELECT coalesce(sum(r), 0) FROM {name}_{i - 1} WHERE id NOT IN (SELECT src FROM {name}_p)) / (SELECT count(*) FROM nodes)) AS r FROM nodes n LEFT JOIN (SELECT dst, sum(p * r) AS got FROM {name}_p JOIN {name}_{i - 1} z ON z.id = src GROUP BY 1) g ON g.dst = n.id)")
     return ", ".join(parts)
 
 
-@query(_pagerank_sql("", 5, "pr") + f"SELECT id, {r9('r')} AS rank FROM pr_5")
+@query(_pagerank_k_sql(5, "pr") + f"SELECT id, {r9('r')} AS rank FROM pr_5")
 def pagerank_k(spark, sf):
-    return G.pagerank(P.edges(spark, sf), P.nodes(spark, sf), rounds=5, stop="fixed").select("id", fixed(F.col("rank"), 9).alias("rank"))
+    """Five rounds, whatever the change."""
+    return G.pagerank(P.pairs(spark, sf), P.nodes(spark, sf), rounds=5, stop="fixed").select("id", fixed(F.col("rank"), 9).alias("rank"))
+
 
+@query(_pagerank_sql("pr") + f"SELECT id, {r9('r')} AS rank FROM pr")
+def pagerank(spark, sf):
+    """Until the L1 change is below a millionth of the number of nodes."""
+    return G.pagerank(P.pairs(spark, sf), P.nodes(spark, sf)).select("id", fixed(F.col("rank"), 9).alias("rank"))
 
-@query(_pagerank_sql("", 4, "pu") + _pagerank_sql("weight", 4, "pw") + f", s AS (SELECT u.id, {r9('u.r')} AS u, {r9('w.r')} AS w FROM pu_4 u JOIN pw_4 w USING (id)) SELECT id, u AS rank_plain, w AS rank_trust, rank() OVER (ORDER BY u DESC) AS place_plain, rank() OVER (ORDER BY w DESC) AS place_trust, rank() OVER (ORDER BY w DESC) - rank() OVER (ORDER BY u DESC) AS rank_drop FROM s")
+
+@query(_pagerank_sql("pu", stop="1e-9") + _pagerank_sql("pw", "max(weight)", stop="1e-9") + f"SELECT u.id, {r9('u.r')} AS rank_plain, {r9('w.r')} AS rank_trust FROM pu u JOIN pw w USING (id)")
+def pagerank_stationary(spark, sf):
+    """Both variants until the L1 change is below 1e-9: ranks that no further round would change."""
+    both = G.pageranks(weighted_pairs(spark, sf), P.nodes(spark, sf), {"rank_plain": None, "rank_trust": "weight"}, tol=1e-9, stop="l1")
+    return both.select("id", *[fixed(F.col(c), 9).alias(c) for c in ("rank_plain", "rank_trust")])
+
+
+@query(_SHIFTS + f"SELECT id, title, domain, {r9('u')} AS rank_plain, {r9('w')} AS rank_trust, {r9('(u - w) * 1000')} AS drop_permille, place_plain, place_trust, place_trust - place_plain AS rank_drop FROM shifted JOIN nodes USING (id)")
 def trust_pagerank_shift(spark, sf):
-    e, n = weighted(spark, sf), P.nodes(spark, sf)
-    plain = G.pagerank(e, n, rounds=4, stop="fixed").select("id", fixed(F.col("rank"), 9).alias("rank_plain"))
-    trust = G.pagerank(e, n, "weight", rounds=4, stop="fixed").select("id", fixed(F.col("rank"), 9).alias("rank_trust"))
-    rows = R.ranks(R.ranks(checkpoint(plain.join(trust, "id")), "rank_plain", "place_plain"), "rank_trust", "place_trust")
-    rows = rows.select("id", "rank_plain", "rank_trust", "place_plain", "place_trust")
-    return rows.withColumn("rank_drop", F.col("place_trust") - F.col("place_plain"))
+    """Ranks without and with weights, to convergence, with the drop in value and in places and the node's metadata."""
+    n = P.nodes(spark, sf)
+    rows = S.pagerank_shifts(weighted_pairs(spark, sf), n).join(n.select("id", "title", "domain"), "id", "left")
+    return rows.select("id", "title", "domain", *[fixed(F.col(c), 9).alias(c) for c in ("rank_plain", "rank_trust")], fixed(F.col("drop") * 1000, 9).alias("drop_permille"), "place_plain", "place_trust", "rank_drop")
+
+
+@query(_SHIFTS + ", places AS (SELECT id, title, domain, place_trust - place_plain AS rank_drop FROM shifted JOIN nodes USING (id))"
+       " (SELECT 'drop' AS kind, * FROM places ORDER BY rank_drop DESC, id LIMIT 25) UNION ALL (SELECT 'gain', * FROM places ORDER BY rank_drop, id LIMIT 25)")
+def shift_extremes(spark, sf):
+    """The 25 largest drops and gains of places, with metadata."""
+    n = P.nodes(spark, sf)
+    return S.shift_extremes(S.pagerank_shifts(weighted_pairs(spark, sf), n), n, ["title", "year", "n_citation", "domain"]).drop("drop")
+
+
+def components_sql(name: str, arcs: str) -> str:
+    """A recursive view (key, id, component) from arcs (key, src, dst), which stand in both directions: the least node reached, until none changes."""
+    return f""", {name}_all AS (
+    SELECT 0 AS k, key, src AS id, src AS c, NULL::BIGINT AS was FROM (SELECT DISTINCT key, src FROM {arcs})
+    UNION ALL
+    SELECT z.k + 1, z.key, z.id, least(z.c, g.m), z.c FROM {name}_all z JOIN (SELECT a.key, a.dst AS id, min(y.c) AS m FROM {arcs} a JOIN {name}_all y ON y.key = a.key AND y.id = a.src GROUP BY 1, 2) g ON g.key = z.key AND g.id = z.id
+    WHERE z.k = 0 OR EXISTS (SELECT 1 FROM {name}_all WHERE c <> was)
+), {name} AS MATERIALIZED (SELECT key, id, c AS component FROM {name}_all WHERE k = (SELECT max(k) FROM {name}_all))"""
+
+
+def bfs_sql(name: str, arcs: str, starts: str) -> str:
+    """A recursive view (key, source, id, d) of all nodes reached from starts (key, id) over arcs (key, src, dst)."""
+    return f""", {name}_all AS (
+    SELECT 0 AS k, key, id AS source, id, 0 AS d, 0 AS n FROM {starts}
+    UNION ALL
+    SELECT k, key, source, id, min(d), any_value(n) FROM (
+        SELECT k + 1 AS k, key, source, id, d, (SELECT count(*) FROM {name}_all) AS n FROM {name}_all
+        UNION ALL SELECT y.k + 1, y.key, y.source, a.dst, y.d + 1, (SELECT count(*) FROM {name}_all) FROM {name}_all y JOIN {arcs} a ON a.key = y.key AND a.src = y.id
+    ) WHERE (SELECT max(n) FROM {name}_all) < (SELECT count(*) FROM {name}_all) GROUP BY 1, 2, 3, 4
+), {name} AS MATERIALIZED (SELECT key, source, id, d FROM {name}_all WHERE k = (SELECT max(k) FROM {name}_all))"""
 
 
-@query(""" SELECT id, (SELECT min(least(src, dst)) FROM edges) AS component FROM nodes WHERE id IN (SELECT src FROM edges WHERE src <> dst UNION SELECT dst FROM edges WHERE src <> dst)""")
+_ARCS = ", both_ways AS MATERIALIZED (SELECT 0 AS key, src, dst FROM edges WHERE src <> dst UNION SELECT 0, dst, src FROM edges WHERE src <> dst)"
+
+
+@query(_ARCS + components_sql("parts", "both_ways") + "SELECT id, component FROM parts")
 def components(spark, sf):
-    return connected_components(P.edges(spark, sf)).withColumnRenamed("node", "id")
+    return connected_components(P.pairs(spark, sf)).withColumnRenamed("node", "id")
+
+
+@query(", sparse AS MATERIALIZED (SELECT 0 AS key, src, dst FROM edges WHERE src <> dst AND (src + dst) % 23 = 0 UNION SELECT 0, dst, src FROM edges WHERE src <> dst AND (src + dst) % 23 = 0)"
+       + components_sql("parts", "sparse") + "SELECT id, component FROM parts")
+def components_sparse(spark, sf):
+    """Components of the links whose ends sum to a multiple of 23: many, of all sizes."""
+    return connected_components(P.pairs(spark, sf).filter("(src + dst) % 23 = 0")).withColumnRenamed("node", "id")
 
 
 _BFS = """, arcs AS (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst
@@ -592,50 +718,99 @@ def trim_top_degree(spark, sf):
     return G.trim_to(P.edges(spark, sf), P.nodes(spark, sf), 300)
 
 
-@query(_CCI + """, worst AS (SELECT community FROM scored ORDER BY cci DESC, community LIMIT 5), gone AS (SELECT src, dst FROM flagged WHERE internal AND src_community IN (SELECT community FROM worst)),
-    und AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst), cut AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM gone WHERE src <> dst)
-    SELECT (SELECT count(*) FROM gone) AS target_edges, (SELECT count(*) FROM und) AS pairs_before, (SELECT count(*) FROM und WHERE (a, b) NOT IN (SELECT (a, b) FROM cut)) AS pairs_after""")
-def excision_edges(spark, sf):
-    """What goes with the internal edges of the five communities of largest index."""
-    e, n = weighted(spark, sf), P.nodes(spark, sf)
-    return _excised(e, n, S.community_scores(e, n))
+_HEALTH_SOURCES, _CONTROL_SEEDS = 32, (11, 23, 37, 42, 101)
 
 
-def _excised(e: DataFrame, n: DataFrame, scores: DataFrame) -> DataFrame:
-    gone = _targets(e, n, scores)
-    before = E.undirected(e)
-    after = before.join(E.undirected(gone), ["a", "b"], "left_anti")
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    return one(gone, "target_edges").crossJoin(one(before, "pairs_before")).crossJoin(one(after, "pairs_after"))  # one row each
+def _health_sql(scenarios: str) -> str:
+    """Views that end in health(key, ...) from scenario_pairs (key, a, b), which hold loops, and a seed for each key."""
+    return f""", scenario_pairs AS MATERIALIZED ({scenarios}
+), arcs AS MATERIALIZED (SELECT key, a AS src, b AS dst FROM scenario_pairs WHERE a <> b UNION ALL SELECT key, b, a FROM scenario_pairs WHERE a <> b)""" + components_sql("parts", "arcs") + f"""
+, sizes AS (SELECT key, component, count(*) AS n FROM parts GROUP BY 1, 2
+), giant AS MATERIALIZED (SELECT key, component, n, (SELECT count(*) FROM sizes s WHERE s.key = g.key) AS parts FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, component) AS p FROM sizes) g WHERE p = 1
+), starts AS MATERIALIZED (SELECT key, id FROM (SELECT p.key, p.id, row_number() OVER (PARTITION BY p.key ORDER BY md5(p.id::VARCHAR || ':' || c.seed), p.id) AS n FROM parts p JOIN giant USING (key, component) JOIN scenarios c USING (key)) WHERE n <= {_HEALTH_SOURCES}
+)""" + bfs_sql("far", "arcs", "starts") + f"""
+, paths AS (SELECT key, avg(d) AS m FROM far WHERE d > 0 GROUP BY 1
+), health AS (
+    SELECT c.key, (SELECT count(*) FROM nodes) AS n_nodes, coalesce(e.n, 0) AS n_pairs, coalesce(g.parts, 0) + (SELECT count(*) FROM nodes) - (SELECT count(*) FROM parts p WHERE p.key = c.key) AS components,
+        coalesce(g.n, 1) AS giant, {r6('coalesce(g.n, 1)::DOUBLE / (SELECT count(*) FROM nodes)')} AS giant_share, {r6('coalesce(h.m, 0)')} AS mean_path
+    FROM scenarios c LEFT JOIN (SELECT key, count(*) AS n FROM scenario_pairs GROUP BY 1) e USING (key) LEFT JOIN giant g USING (key) LEFT JOIN paths h USING (key))"""
 
 
-def _targets(e: DataFrame, n: DataFrame, scores: DataFrame) -> DataFrame:
-    worst = scores.orderBy(F.desc("cci"), "community").limit(5).select(F.col("community").alias("src_community"))
-    return E.with_communities(e, n).filter("internal").join(F.broadcast(worst), "src_community", "left_semi")  # five rows
+@query(", scenarios AS (SELECT 0 AS key, 42 AS seed)" + _health_sql("SELECT DISTINCT 0 AS key, least(src, dst) AS a, greatest(src, dst) AS b FROM edges") + "SELECT * EXCLUDE (key) FROM health")
+def graph_health(spark, sf):
+    """Nodes, pairs, components, the giant's share and its mean path from 32 sampled nodes."""
+    pairs = P.pairs(spark, sf).select(F.lit(0).alias("key"), F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    return C.graph_health(pairs, P.nodes(spark, sf), {0: 42}, _HEALTH_SOURCES).drop("key")
 
 
-@query()
-def excision_edges_full(spark, sf):
-    """excision_edges, the communities chosen by all six features."""
-    return _excised(weighted(spark, sf), P.nodes(spark, sf), full_scores(spark, sf))
+_EXCISION = _CCI + f""", worst AS (SELECT community FROM scored ORDER BY cci DESC, community LIMIT 5
+), gone AS MATERIALIZED (SELECT src, dst FROM flagged WHERE internal AND src_community IN (SELECT community FROM worst)
+), whole AS MATERIALIZED (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges
+), scenarios AS MATERIALIZED (SELECT * FROM (VALUES (0, 'baseline', {_CONTROL_SEEDS[0]}), (1, 'index_top', {_CONTROL_SEEDS[0]}), {', '.join(f"({k}, 'random_matched', {seed})" for k, seed in enumerate(_CONTROL_SEEDS, 2))}) t(key, strategy, seed)
+), drawn AS MATERIALIZED (SELECT key, a, b FROM (SELECT c.key, a, b, row_number() OVER (PARTITION BY c.key ORDER BY md5(a || '-' || b || ':' || c.seed), a, b) AS n FROM whole, scenarios c WHERE c.key > 1) WHERE n <= (SELECT count(*) FROM gone)
+)""" + _health_sql("""SELECT 0 AS key, a, b FROM whole
+    UNION ALL SELECT 1, a, b FROM whole ANTI JOIN (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM gone) USING (a, b)
+    UNION ALL SELECT c.key, w.a, w.b FROM whole w CROSS JOIN (SELECT key FROM scenarios WHERE key > 1) c ANTI JOIN drawn d ON d.key = c.key AND d.a = w.a AND d.b = w.b""")
 
 
-@query()
-def graph_health(spark, sf):
-    """Nodes, pairs, components and the giant's share."""
-    e, n = P.edges(spark, sf), P.nodes(spark, sf)
-    sizes = connected_components(e).groupBy("component").agg(F.count("*").alias("k"))
-    return sizes.agg(F.count("*").alias("components"), F.max("k").alias("giant")).crossJoin(n.agg(F.count("*").alias("n_nodes"))).withColumn("giant_share", fixed(F.col("giant") / F.col("n_nodes")))
+@query(_EXCISION + "SELECT strategy, CASE WHEN key > 1 THEN seed END AS seed, CASE WHEN key = 0 THEN 0 WHEN key = 1 THEN (SELECT count(*) FROM gone) ELSE least((SELECT count(*) FROM gone), (SELECT count(*) FROM whole)) END AS removed_edges, health.* EXCLUDE (key) FROM health JOIN scenarios USING (key)")
+def excision(spark, sf):
+    """Health of the graph, of it without the internal edges of the five communities of largest index, and without as many random pairs, for five seeds."""
+    e, n = weighted_pairs(spark, sf), P.nodes(spark, sf)
+    return C.excision(e, n, S.community_scores(e, n, S.pagerank_shifts(e, n)), _CONTROL_SEEDS, _HEALTH_SOURCES)
 
 
-@query()
+def _reach_sql(name: str, arcs: str, start: str) -> str:
+    return f", {name} AS (SELECT id FROM {start} UNION SELECT {arcs} JOIN {name} y ON y.id = near)"
+
+
+@query(f""", step AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges WHERE src <> dst
+), fore AS (SELECT id AS source, id FROM nodes UNION SELECT f.source, s.dst FROM fore f JOIN step s ON s.src = f.id
+), strong AS MATERIALIZED (SELECT a.source AS id, min(a.id) AS component FROM fore a JOIN fore b ON b.source = a.id AND b.id = a.source GROUP BY 1)
+    SELECT id, component FROM strong""")
+def strong_components(spark, sf):
+    return G.strong_components(P.pairs(spark, sf), P.nodes(spark, sf))
+
+
+_SPARSE = "FROM edges WHERE src <> dst AND (src * 31 + dst * 17) % 29 = 0"
+_STRONG = f""", step AS MATERIALIZED (SELECT DISTINCT src, dst {_SPARSE}
+), fore AS (SELECT id AS source, id FROM nodes UNION SELECT f.source, s.dst FROM fore f JOIN step s ON s.src = f.id
+), strong AS MATERIALIZED (SELECT a.source AS id, min(a.id) AS component FROM fore a JOIN fore b ON b.source = a.id AND b.id = a.source GROUP BY 1)"""
+
+
+@query(_STRONG + "SELECT id, component FROM strong")
+def strong_components_sparse(spark, sf):
+    """Of about one edge in 29: many components."""
+    return G.strong_components(P.pairs(spark, sf).filter("(src * 31 + dst * 17) % 29 = 0"), P.nodes(spark, sf))
+
+
+def _bow_tie_sql(strong: str) -> str:
+    return strong + """, core AS MATERIALIZED (SELECT id FROM strong WHERE component = (SELECT component FROM strong GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)
+), ahead AS (SELECT DISTINCT id FROM fore WHERE source IN (SELECT id FROM core)), behind AS (SELECT DISTINCT source AS id FROM fore WHERE id IN (SELECT id FROM core)
+), both_ways AS MATERIALIZED (SELECT 0 AS key, src, dst FROM step UNION SELECT 0, dst, src FROM step)""" + components_sql("weak", "both_ways") + """
+, near AS (SELECT id FROM weak WHERE component = (SELECT component FROM weak GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1))
+    SELECT CASE WHEN id IN (SELECT id FROM core) THEN 'core' WHEN id IN (SELECT id FROM behind) THEN 'in' WHEN id IN (SELECT id FROM ahead) THEN 'out' WHEN id IN (SELECT id FROM near) THEN 'tendril' ELSE 'apart' END AS part, count(*) AS n
+    FROM nodes GROUP BY 1"""
+
+
+@query(_bow_tie_sql(_STRONG))
 def bow_tie(spark, sf):
-    return G.bow_tie(P.edges(spark, sf), P.nodes(spark, sf)).groupBy("part").agg(F.count("*").alias("n"))
+    """How many nodes are in each part, of the graph of about one edge in 29 (the whole one is all core)."""
+    return G.bow_tie(P.pairs(spark, sf).filter("(src * 31 + dst * 17) % 29 = 0"), P.nodes(spark, sf)).groupBy("part").agg(F.count("*").alias("n"))
 
 
-@query()
+def _snowball_sql(budget: int, seed: int, levels: int = 12) -> str:
+    """Levels one by one; few are needed, as a level holds all neighbours."""
+    parts = ", links AS MATERIALIZED (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), s0 AS (SELECT id, 0 AS level FROM (SELECT id FROM deg ORDER BY i DESC, id LIMIT 5))"
+    for k in range(1, levels + 1):
+        parts += f""", s{k} AS MATERIALIZED (SELECT * FROM s{k - 1} UNION ALL (SELECT id, {k} FROM (SELECT DISTINCT dst AS id FROM links WHERE src IN (SELECT id FROM s{k - 1} WHERE level = {k - 1}) AND dst NOT IN (SELECT id FROM s{k - 1}))
+        ORDER BY md5(id::VARCHAR || ':{seed}'), id LIMIT (SELECT {budget} - count(*) FROM s{k - 1})))"""
+    return parts + f" SELECT id, level FROM s{levels}"
+
+
+@query(_DEGREES + _snowball_sql(500, 42))
 def snowball_sample(spark, sf):
-    e, n = P.edges(spark, sf), P.nodes(spark, sf)
+    e, n = P.pairs(spark, sf), P.nodes(spark, sf)
     seeds = E.degrees(e, n).orderBy(F.desc("in_degree"), "id").limit(5)
     return G.snowball(e, seeds, 500, 42)
 
@@ -652,9 +827,13 @@ def betweenness_sampled(spark, sf):
 
 @query()
 def power_law(spark, sf):
-    counts = E.degrees(P.edges(spark, sf), P.nodes(spark, sf)).groupBy("degree").count().collect()  # a row for each degree
-    alpha, xmin, ks = G.power_law_fit([(r["degree"], r["count"]) for r in counts])
-    return spark.createDataFrame([(alpha, xmin, ks)], "alpha double, xmin long, ks double")
+    """Exponent, start and fit of a discrete power law for in-, out- and total degrees, against a log-normal. The driver gets a row for each distinct degree."""
+    d = E.degrees(P.pairs(spark, sf), P.nodes(spark, sf))
+    rows = []
+    for name in ("in_degree", "out_degree", "degree"):
+        fit = G.power_law_fit([(r[0], r[1]) for r in d.groupBy(name).count().collect()])
+        rows.append((name, fit["alpha"], fit["xmin"], fit["ks"], fit["tail"], fit["ratio"], fit["p"], bool(fit["ratio"] > 0 and fit["p"] < 0.05)))
+    return spark.createDataFrame(rows, "direction string, alpha double, xmin long, ks double, tail long, ratio double, p double, strong boolean")
 
 
 @query()
@@ -671,11 +850,39 @@ def null_models(spark, sf):
     return out
 
 
-@query()
+def _curve_sql(keep: str, frame: str, sources: int) -> str:
+    """Views that end in curve(key, giant, mean_path) from kept (key, a, b), the pairs that stand at each key; frame: all keys."""
+    return f""", kept AS MATERIALIZED ({keep}
+), arcs AS MATERIALIZED (SELECT key, a AS src, b AS dst FROM kept UNION ALL SELECT key, b, a FROM kept)""" + components_sql("parts", "arcs") + f"""
+, sizes AS (SELECT key, component, count(*) AS n FROM parts GROUP BY 1, 2
+), giant AS MATERIALIZED (SELECT key, component, n FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, component DESC) AS p FROM sizes) WHERE p = 1
+), starts AS MATERIALIZED (SELECT key, id FROM (SELECT p.key, p.id, row_number() OVER (PARTITION BY p.key ORDER BY md5(p.id::VARCHAR || ':42'), p.id) AS n FROM parts p JOIN giant USING (key, component)) WHERE n <= {sources}
+)""" + bfs_sql("far", "arcs", "starts") + f", curve AS (SELECT f.key, g.n AS giant, {r6('coalesce(m.m, 0)')} AS mean_path FROM {frame} f LEFT JOIN giant g USING (key) LEFT JOIN (SELECT key, avg(d) AS m FROM far WHERE d > 0 GROUP BY 1) m USING (key))"
+
+
+#: Sources of a step's mean path.
+_CURVE_SOURCES = 8
+_ATTACK = _UND + """, deg2 AS (SELECT id, count(*) AS d FROM (SELECT a AS id FROM und UNION ALL SELECT b FROM und) GROUP BY 1
+), n AS (SELECT count(*) AS n FROM nodes
+), orders AS MATERIALIZED (SELECT 0 AS s, id, row_number() OVER (ORDER BY md5(id::VARCHAR || ':42'), id) AS number FROM nodes
+    UNION ALL SELECT 1, id, row_number() OVER (ORDER BY coalesce(d, 0) DESC, id) FROM nodes LEFT JOIN deg2 USING (id)
+), frame AS MATERIALIZED (SELECT s * 100 + step AS key, s, step, floor(fraction * n)::BIGINT AS removed FROM (VALUES (0), (1)) v(s), (VALUES """ + ", ".join(f"({k}, {float(f)!r}::DOUBLE)" for k, f in enumerate(np.linspace(0, 0.95, 20))) + """) r(step, fraction), n
+)""" + _curve_sql("SELECT f.key, u.a, u.b FROM und u, frame f JOIN orders x ON x.s = f.s AND x.number > f.removed JOIN orders y ON y.s = f.s AND y.number > f.removed WHERE x.id = u.a AND y.id = u.b", "frame", _CURVE_SOURCES)
+
+
+@query(_ATTACK + f"SELECT CASE s WHEN 0 THEN 'random' ELSE 'degree' END AS strategy, step::INTEGER AS step, removed, {r6('coalesce(giant, CASE WHEN removed < (SELECT n FROM n) THEN 1 ELSE 0 END)::DOUBLE / (SELECT n FROM n)')} AS giant_share, mean_path FROM frame JOIN curve USING (key)")
 def attack_curve(spark, sf):
-    """The giant component's share and mean path as nodes go in three orders, twenty fractions each; betweenness from all sources."""
-    e, n = P.edges(spark, sf), P.nodes(spark, sf)
-    return C.attack_curve(e, n, C.attack_orders(e, n), sources=1)
+    """The giant component's share and mean path (from 8 sampled nodes) as nodes go at random and by degree, twenty fractions each."""
+    e, n = P.pairs(spark, sf), P.nodes(spark, sf)
+    out = C.attack_curve(e, n, C.attack_orders(e, n, names=("random", "degree")), sources=_CURVE_SOURCES)
+    return out.select("strategy", "step", "removed", *[fixed(F.col(c)).alias(c) for c in ("giant_share", "mean_path")])
+
+
+@query()
+def attack_curve_betweenness(spark, sf):
+    """The same as nodes go by betweenness, from all sources."""
+    e, n = P.pairs(spark, sf), P.nodes(spark, sf)
+    return C.attack_curve(e, n, C.attack_orders(e, n, names=("betweenness",)), sources=_CURVE_SOURCES)
 
 
 @query(_DEGREES + f""", each AS (SELECT 'in' AS direction, i AS k FROM deg UNION ALL SELECT 'out', o FROM deg)
@@ -704,10 +911,22 @@ def edge_scalars(spark, sf):
     return one.select("n_nodes", "n_edges", "n_pairs", fixed(F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1)), 9).alias("density"))
 
 
-@query()
+_TOPOLOGY = _ARCS + components_sql("parts", "both_ways") + _UND + """, inside AS MATERIALIZED (SELECT id FROM parts WHERE component = (SELECT component FROM parts GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)
+), starts AS MATERIALIZED (SELECT 0 AS key, id FROM inside ORDER BY md5(id::VARCHAR || ':43'), id LIMIT 20)""" + bfs_sql("far", "both_ways", "starts") + """
+, chosen AS MATERIALIZED (SELECT id FROM inside ORDER BY md5(id::VARCHAR || ':42'), id LIMIT 1000
+), und_in AS MATERIALIZED (SELECT * FROM und WHERE a IN (SELECT id FROM inside)
+), deg_in AS (SELECT id, count(*) AS d FROM (SELECT a AS id FROM und_in UNION ALL SELECT b FROM und_in) GROUP BY 1
+), tri AS (SELECT x.a AS p, x.b AS q, y.b AS r FROM und_in x JOIN und_in y ON y.a = x.b JOIN und_in z ON z.a = x.a AND z.b = y.b
+), t AS (SELECT id, count(*) AS t FROM (SELECT p AS id FROM tri UNION ALL SELECT q FROM tri UNION ALL SELECT r FROM tri) GROUP BY 1
+), first_start AS MATERIALIZED (SELECT 0 AS key, id FROM (SELECT id, sum(k) AS d FROM (SELECT src AS id, 1 AS k FROM edges UNION ALL SELECT dst, 1 FROM edges) WHERE id IN (SELECT id FROM inside) GROUP BY 1) ORDER BY d DESC, id LIMIT 1)""" + bfs_sql("one", "both_ways", "first_start") + """
+, second_start AS MATERIALIZED (SELECT 0 AS key, id FROM one ORDER BY d DESC, id LIMIT 1)""" + bfs_sql("two", "both_ways", "second_start")
+
+
+@query(_TOPOLOGY + f"""SELECT (SELECT {r6('avg(CASE WHEN d > 1 THEN 2.0 * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END)')} FROM chosen JOIN deg_in USING (id) LEFT JOIN t USING (id)) AS mean_clustering, (SELECT {r6('avg(d)')} FROM far) AS mean_path,
+    (SELECT max(d)::INTEGER FROM two) AS diameter, {r9('(SELECT count(*) FROM edges) / ((SELECT count(*) FROM nodes) * ((SELECT count(*) FROM nodes) - 1))::DOUBLE')} AS density""")
 def topology_baseline(spark, sf):
     """Density, clustering and paths from sampled nodes of the giant component."""
-    return C.topology_baseline(P.edges(spark, sf), P.nodes(spark, sf))
+    return C.topology_baseline(P.pairs(spark, sf), P.nodes(spark, sf))
 
 
 # ---- the small-graph profile, stability, student
@@ -716,18 +935,18 @@ _PROTO = ["density", "inflation", "reciprocity", "superficiality", "assortativit
 _SAMPLE_Z = lambda f: f"CASE WHEN coalesce(stddev_samp({f}) OVER (), 0) > 1e-15 THEN ({f} - avg({f}) OVER ()) / stddev_samp({f}) OVER () ELSE 0 END"
 
 
-@query(_PRE + _pagerank_sql("", 4, "pp") + f""", shallow AS (SELECT src_community AS community, avg(CASE WHEN intent IN ('Background', 'Perfunctory') THEN 1 ELSE 0 END) AS superficiality FROM flagged WHERE internal GROUP BY 1
+@query(_PRE + _pagerank_sql("pp") + f""", shallow AS (SELECT src_community AS community, avg(CASE WHEN intent IN ('Background', 'Perfunctory') THEN 1 ELSE 0 END) AS superficiality FROM flagged WHERE internal GROUP BY 1
 ), own_out AS (SELECT src AS id, count(*) AS x FROM flagged WHERE internal GROUP BY 1), own_in AS (SELECT dst AS id, count(*) AS y FROM flagged WHERE internal GROUP BY 1
 ), mixing AS (SELECT src_community AS community, CASE WHEN stddev_pop(x) * stddev_pop(y) > 1e-15 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) ELSE 0 END AS assortativity
     FROM flagged JOIN own_out a ON a.id = src JOIN own_in b ON b.id = dst WHERE internal GROUP BY 1
-), odd AS (SELECT n.community, avg(r - coalesce(d, 0) / (SELECT count(*) FROM edges)::DOUBLE) AS rank_anomaly FROM nodes n JOIN pp_4 USING (id) LEFT JOIN indeg USING (id) GROUP BY 1
+), odd AS (SELECT n.community, avg(r - coalesce(d, 0) / (SELECT count(*) FROM edges)::DOUBLE) AS rank_anomaly FROM nodes n JOIN pp USING (id) LEFT JOIN indeg USING (id) GROUP BY 1
 ), f AS (SELECT community, size, {r9('density')} AS density, {r9('internal_edges / greatest(expected, 1.0::DOUBLE)')} AS inflation, {r9('reciprocity')} AS reciprocity,
     {r9('coalesce(superficiality, 0)')} AS superficiality, {r9('coalesce(assortativity, 0)')} AS assortativity, {r9('coalesce(rank_anomaly, 0)')} AS rank_anomaly
     FROM pre LEFT JOIN shallow USING (community) LEFT JOIN mixing USING (community) LEFT JOIN odd USING (community) WHERE size >= 3
 ), i AS (SELECT *, {r6('(' + ' + '.join(_SAMPLE_Z(f) for f in _PROTO) + ') / 6')} AS cartel_index FROM f) SELECT *, cartel_index > 2 AS flagged FROM i""")
 def prototype_index(spark, sf):
     e, n = weighted(spark, sf), P.nodes(spark, sf)
-    return O.prototype_index(e, n, G.pagerank(e, n, rounds=4, stop="fixed"))
+    return O.prototype_index(e, n, G.pagerank(e, n))
 
 
 @query(_PRE + f"SELECT community, size, internal_edges, {r9('density * size')} AS suspicion FROM pre WHERE size > 5 ORDER BY suspicion DESC, community LIMIT 3")
@@ -750,19 +969,26 @@ def double_sweep(spark, sf):
     return O.double_sweep(P.edges(spark, sf), P.nodes(spark, sf))
 
 
-@query()
+_REMOVAL = _PRE + f""", worst AS (SELECT community FROM (SELECT community, {r9('density * size')} AS suspicion FROM pre WHERE size > 5) ORDER BY suspicion DESC, community LIMIT 3
+), targets AS MATERIALIZED (SELECT src, dst, row_number() OVER (ORDER BY md5(edge_id || ':42'), edge_id) AS number FROM flagged WHERE internal AND src_community IN (SELECT community FROM worst)
+), goes AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, min(number) AS at FROM targets WHERE src <> dst GROUP BY 1, 2
+), frame AS MATERIALIZED (SELECT step AS key, floor(fraction * (SELECT count(*) FROM targets))::BIGINT AS removed FROM (VALUES {', '.join(f'({k}, {float(f)!r}::DOUBLE)' for k, f in enumerate(np.linspace(0, 1, 20)))}) r(step, fraction)
+)""" + _curve_sql("SELECT f.key, u.a, u.b FROM (SELECT und.*, goes.at FROM und LEFT JOIN goes USING (a, b)) u, frame f WHERE u.at IS NULL OR u.at > f.removed", "frame", _CURVE_SOURCES)
+
+
+@query(_REMOVAL + f"SELECT key::INTEGER AS step, removed, {r6('coalesce(giant, 1)::DOUBLE / (SELECT count(*) FROM nodes)')} AS giant_share, mean_path FROM frame JOIN curve USING (key)")
 def edge_removal_curve(spark, sf):
-    """The giant component's share as the internal edges of the three densest groups go, in 20 steps."""
+    """The giant component's share and mean path (from 8 sampled nodes) as the internal edges of the three densest groups go, in 20 steps."""
     e, n = P.edges(spark, sf), P.nodes(spark, sf)
     worst = O.dense_groups(e, n).select(F.col("community").alias("src_community"))
     targets = E.with_communities(e, n).filter("internal").join(F.broadcast(worst), "src_community", "left_semi")  # three rows
-    return O.removal_curve(e, n, targets)
+    return O.removal_curve(e, n, targets, sources=_CURVE_SOURCES).select("step", "removed", *[fixed(F.col(c)).alias(c) for c in ("giant_share", "mean_path")])
 
 
 @query()
 def seed_stability(spark, sf):
     e, n = weighted(spark, sf), P.nodes(spark, sf)
-    return B.seed_stability(e, n, shifts=checkpoint(S.rank_drops(e, n)), levels=None, rounds=None)
+    return B.seed_stability(e, n, levels=None, rounds=None)
 
 
 @query()
@@ -785,6 +1011,6 @@ def student_inference(spark, sf):
     a, b = n.selectExpr("id src", "title src_title"), n.selectExpr("id dst", "title dst_title")
     pair = lambda rows: rows.join(a, "src", "left").join(b, "dst", "left").withColumn("text", F.concat_ws(" ", "src_title", "dst_title"))
     labelled = P.semantics(e)
-    model = T.fit_student(pair(labelled).select("text", F.col("intent").alias("label")), rounds=5)
+    model = T.fit_student(pair(labelled).select("text", F.col("intent").alias("label")))
     rest = pair(e.join(labelled.select("edge_id"), "edge_id", "left_anti"))
     return T.infer(model, rest).select("edge_id", "student_label", "student_confidence")

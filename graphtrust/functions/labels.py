@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Intents in class order with their trust weights.
@@ -40,6 +40,23 @@ def clamp(x: Column) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
+def audit(rows: DataFrame, least: int, names: tuple[str, ...] = INTENTS) -> DataFrame:
+    """A row for each of names: its count among rows (label, confidence), 0 where absent, and share; whether it is missing, or has fewer than `least`.
+
+    ready: no label is missing or weak. rows and confidence_*: of all rows, null confidences left out.
+    """
+    from graphtrust.functions.stats import fixed
+
+    known = rows.sparkSession.createDataFrame([(x,) for x in names], "label string")
+    counts = known.join(F.broadcast(rows.filter(F.col("label").isin(*names)).groupBy("label").agg(F.count("*").alias("n"))), "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))  # a row for each name
+    c = F.col("confidence")
+    whole = rows.agg(F.count("*").alias("rows"), *[fixed(x).alias(f"confidence_{name}") for name, x in (("mean", F.avg(c)), ("median", F.median(c)), ("min", F.min(c)), ("max", F.max(c)))])
+    least_seen = counts.agg((F.min("n") >= least).alias("ready"))
+    n = F.col("n")
+    out = counts.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(least_seen))  # one row each
+    return out.select("label", "n", fixed(F.coalesce(F.try_divide(n, F.col("rows")), F.lit(0.0)), 4).alias("share"), (n == 0).alias("missing"), ((n > 0) & (n < least)).alias("underpowered"), "ready", "rows", *[f"confidence_{k}" for k in ("mean", "median", "min", "max")])
+
+
 def parse_reply(content: Column) -> Column:
     """struct(label, confidence, error) of a reply {"label", "confidence"}."""
     doc = F.try_parse_json(content)
@@ -51,3 +68,15 @@ def parse_reply(content: Column) -> Column:
     )
     confidence = clamp(F.try_variant_get(doc, "$.confidence", "double"))
     return F.struct(label.alias("label"), F.when(label.isNotNull(), confidence).alias("confidence"), error.alias("error"))
+
+
+def parse_responses(responses: DataFrame) -> DataFrame:
+    """(line_no, edge_id, label, confidence, error) of responses (line_no, value), one JSON document each."""
+    rows = responses.select("line_no", F.get_json_object("value", "$.custom_id").alias("edge_id"), parse_reply(reply_content(F.col("value"))).alias("r"))
+    return rows.select("line_no", "edge_id", "r.*")
+
+
+def joined_labels(responses: DataFrame, selected: DataFrame) -> DataFrame:
+    """selected (edge_id, ...) with label and confidence of the responses that gave one; an edge with two replies stands twice, none parsed: no rows."""
+    good = parse_responses(responses).filter("error is null").select("edge_id", "label", "confidence")
+    return selected.join(good, "edge_id")

@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that don't count as tokens.
-STOP = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "were", "has", "have", "our", "their", "its", "which", "using", "based", "into", "can")
+STOP = (
+    "the", "and", "for", "with", "that", "this", "from", "are", "was", "were", "using", "based", "paper", "method", "approach", "results", "data", "model", "models", "study",
+)
 TOKEN = "([a-zA-Z][a-zA-Z0-9_+-]{2,})"
 
 
@@ -22,6 +24,23 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(some, F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
 
 
+def pair_text(title: Column, body: Column) -> Column:
+    """Title and whole text, as a student reads them; nulls are empty."""
+    return F.concat(F.coalesce(title, F.lit("")), F.lit(". "), F.coalesce(body, F.lit("")))
+
+
+def first_named(reply: Column, names: tuple[str, ...], otherwise: str) -> Column:
+    """The first of names that a reply contains, whatever its case; otherwise, also for null, the fallback."""
+    held = [F.when(F.contains(F.lower(reply), F.lit(n.lower())), F.lit(n)) for n in names]
+    return F.coalesce(*held, F.lit(otherwise))
+
+
+def positive_number(x: Column) -> Column:
+    """A number above 0 as a double, else null: a guard for fields of any type, read as text."""
+    value = x.try_cast("double")
+    return F.when((value > 0) & ~F.isnan(value), value)
+
+
 def clipped(title: Column, body: Column, n: int = 1200) -> Column:
     return F.substring(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(body, F.lit(""))), 1, n)
 

@@ -13,11 +13,12 @@ def closed_world(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
 
 
-def weighted_edges(edges: DataFrame, semantics: DataFrame) -> DataFrame:
-    """All edges with intent, weight and confidence; an edge without a label gets the neutral values."""
-    labels = semantics.select("edge_id", *UNTYPED, F.lit(True).alias("typed"))
-    held = edges.join(labels, "edge_id", "left")
-    return held.select("edge_id", "src", "dst", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in UNTYPED.items()], F.coalesce("typed", F.lit(False)).alias("typed"))
+def weighted_edges(edges: DataFrame, semantics: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """All edges with intent, weight and confidence; an edge without a label gets the neutral values. key: what joins them, edge_id or both ends."""
+    key = key or ["edge_id"]
+    labels = semantics.select(*key, *UNTYPED, F.lit(True).alias("typed"))
+    held = edges.join(labels, key, "left")
+    return held.select(*edges.columns, *[F.coalesce(c, F.lit(v)).alias(c) for c, v in UNTYPED.items()], F.coalesce("typed", F.lit(False)).alias("typed"))
 
 
 def with_reciprocal(edges: DataFrame) -> DataFrame:

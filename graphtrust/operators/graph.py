@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import count
+from math import erfc
 
 import numpy as np
 import pandas as pd
@@ -12,33 +13,61 @@ from pyspark.sql.window import Window
 
 from graphtrust.operators.edges import degrees, undirected
 from graphtrust.operators.ranking import draw
-from graphtrust.runtime import checkpoint, spill
+from graphtrust.runtime import checkpoint, drop_folder, observed, spill
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, weight: str | None = None, alpha: float = 0.85, rounds: int = 100, tol: float = 1e-6, stop: str = "n_tol") -> DataFrame:
-    """(id, rank) by power iteration, dangling mass spread evenly. stop: n_tol (L1 change below nodes * tol), l1 (below tol) or fixed (all rounds)."""
-    w = F.col(weight) if weight else F.lit(1.0)
-    arcs = edges.groupBy("src", "dst").agg(F.max(w).alias("w"))
-    share = arcs.join(arcs.groupBy("src").agg(F.sum("w").alias("total")), "src").filter("total > 0").select("src", "dst", (F.col("w") / F.col("total")).alias("p"))
-    share = checkpoint(share)
+#: Arcs of a graph that betweenness sends to every worker, at most: 16 bytes each.
+MOST_ARCS = 5_000_000
+#: Links from which communities are found by all tasks; fewer are handed to one, which moves node after node.
+LOCAL_LINKS = 2_000_000
+
+
+def pageranks(edges: DataFrame, nodes: DataFrame, weights: dict[str, str | None], alpha: float = 0.85, rounds: int = 100, tol: float = 1e-6, stop: str = "n_tol") -> DataFrame:
+    """(id, one column for each name in weights) by power iteration, dangling mass spread evenly; a weight of None counts each edge once.
+
+    All variants go in the same rounds over one written table of shares, partitioned by its source; each stops for itself.
+    stop: n_tol (L1 change below nodes * tol), l1 (below tol) or fixed (all rounds). Repeated edges count once, with their
+    largest weight. Null ends have no effect; no nodes: no rows.
+    """
+    names = list(weights)
+    flows, totals = [f"_w{k}" for k in range(len(names))], [f"_t{k}" for k in range(len(names))]
+    mass = [F.max(F.col(w) if w else F.lit(1.0)).cast("double").alias(f) for f, w in zip(flows, weights.values(), strict=True)]
+    arcs = edges.groupBy("src", "dst").agg(*mass)
+    total = arcs.groupBy("src").agg(*[F.sum(f).alias(t) for f, t in zip(flows, totals, strict=True)])
+    total = checkpoint(total)
+    shares = [F.coalesce(F.try_divide(f, t), F.lit(0.0)).alias(f) for f, t in zip(flows, totals, strict=True)]
+    parts = max(1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    share = checkpoint(arcs.join(total, "src").select("src", "dst", *shares).repartition(parts, "src"))
     n = nodes.count()
-    state = checkpoint(nodes.select("id").join(share.select(F.col("src").alias("id"), F.lit(True).alias("out")).distinct(), "id", "left").select("id", (F.lit(1.0) / n).alias("rank"), F.col("out").isNull().alias("dangling")))
+    if not n:
+        return nodes.select("id", *[F.lit(0.0).alias(c) for c in names])
+    dry = [(F.coalesce(t, F.lit(0.0)) <= 0).alias(f"_dry{k}") for k, t in enumerate(totals)]
+    ranks = [f"_r{k}" for k in range(len(names))]
+    state = nodes.select("id").join(total.withColumnRenamed("src", "id"), "id", "left").select("id", *[F.lit(1.0 / n).alias(r) for r in ranks], *dry)
+    lost_now = [F.coalesce(F.sum(F.when(F.col(f"_dry{k}"), F.col(r))), F.lit(0.0)).alias(f"lost{k}") for k, r in enumerate(ranks)]
+    state, seen = observed(state, *lost_now)
+    live = set(range(len(names)))
     for _ in range(rounds):
-        lost = state.filter("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        sent = share.join(state, share["src"] == state["id"]).groupBy("dst").agg(F.sum(F.col("p") * F.col("rank")).alias("got"))
-        new = state.join(sent, state["id"] == sent["dst"], "left").crossJoin(F.broadcast(lost))  # one row
-        new = new.select("id", (F.lit((1 - alpha) / n) + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"), "dangling", F.col("rank").alias("was"))
-        if stop == "fixed":
-            state = checkpoint(new.drop("was"))  # a round reads the last one three times, so an uncut plan triples with each
-            continue
-        new = checkpoint(new)
-        error = new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
-        state = new.drop("was")
-        if error < (n * tol if stop == "n_tol" else tol):
-            return state.select("id", "rank")
-    if stop != "fixed":
-        raise RuntimeError("the ranks have not converged")
-    return state.select("id", "rank")
+        sent = share.join(state, share["src"] == state["id"]).groupBy("dst").agg(*[F.sum(F.col(f) * F.col(r)).alias(f"_got{k}") for k, (f, r) in enumerate(zip(flows, ranks, strict=True))])
+        new = state.join(sent, state["id"] == sent["dst"], "left")
+        value = lambda k: F.lit((1 - alpha) / n + alpha * seen[f"lost{k}"] / n) + alpha * F.coalesce(f"_got{k}", F.lit(0.0)) if k in live else F.col(ranks[k])  # noqa: B023, E731
+        new = new.select("id", *[value(k).alias(r) for k, r in enumerate(ranks)], *[f"_dry{k}" for k in range(len(names))], *[F.col(r).alias(f"_was{k}") for k, r in enumerate(ranks)])
+        errors = [F.sum(F.abs(F.col(r) - F.col(f"_was{k}"))).alias(f"error{k}") for k, r in enumerate(ranks)]
+        new, seen = observed(new, *lost_now, *errors)
+        state = new.drop(*[f"_was{k}" for k in range(len(names))])
+        if stop != "fixed":
+            live = {k for k in live if seen[f"error{k}"] >= (n * tol if stop == "n_tol" else tol)}
+            if not live:
+                break
+    else:
+        if stop != "fixed":
+            raise RuntimeError("the ranks have not converged")
+    return state.select("id", *[F.col(r).alias(c) for r, c in zip(ranks, names, strict=True)])
+
+
+def pagerank(edges: DataFrame, nodes: DataFrame, weight: str | None = None, **how) -> DataFrame:
+    """(id, rank), as pageranks."""
+    return pageranks(edges, nodes, {"rank": weight}, **how)
 
 
 def bfs(edges: DataFrame, sources: DataFrame, directed: bool = False) -> DataFrame:
@@ -134,25 +163,85 @@ def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
     return seen
 
 
+def strong_components(edges: DataFrame, nodes: DataFrame, largest_only: bool = False) -> DataFrame:
+    """(id, component) of every node: the least node of its strong component.
+
+    Nodes without an edge in or out among those left are components of their own and are trimmed away; of the rest, the node
+    of largest degree is the pivot of a forward and a backward search, whose common nodes are its component; so on with what
+    is left. largest_only: stops when what is left can't hold a larger one than the largest found.
+    """
+    arcs = checkpoint(edges.select("src", "dst").filter("src <> dst").distinct())
+    left, done, best = checkpoint(nodes.select("id")), [], 0
+    while True:
+        while True:  # trim to nodes with an edge in and one out
+            inner = arcs.join(left.selectExpr("id src"), "src", "left_semi").join(left.selectExpr("id dst"), "dst", "left_semi")
+            inner = checkpoint(inner)
+            both = inner.select(F.col("src").alias("id")).distinct().join(inner.select(F.col("dst").alias("id")).distinct(), "id")
+            kept = checkpoint(left.join(both, "id", "left_semi"))
+            gone = checkpoint(left.join(kept, "id", "left_anti").select("id", F.col("id").alias("component")))
+            if gone.isEmpty():
+                break
+            done.append(gone)
+            left, arcs = kept, inner
+        size = left.count()
+        if not size or (largest_only and size <= best):
+            break
+        pivot = degrees(arcs, left).orderBy(F.desc("degree"), "id").limit(1).select("id")
+        pivot = checkpoint(pivot)
+        part = reach(arcs, pivot).join(reach(arcs.selectExpr("dst src", "src dst"), pivot), "id", "left_semi")
+        part = checkpoint(part)
+        least, held = part.agg(F.min("id"), F.count("*")).first()
+        best = max(best, held)
+        done.append(part.select("id", F.lit(least).alias("component")))
+        left = checkpoint(left.join(part, "id", "left_anti"))
+    out = left.select("id", F.col("id").alias("component")) if largest_only else left.select("id", F.col("id").alias("component")).limit(0)
+    for rows in done:
+        out = out.unionByName(rows)
+    return out
+
+
 def bow_tie(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, part): core (the strong component of the node of largest degree), in, out, tendril or apart. Forward and backward reach from that pivot."""
+    """(id, part): core (the largest strong component, ties to the least node), in, out, tendril (the rest of the largest weak component) or apart."""
     from graphtrust.operators.components import connected_components
 
     arcs = checkpoint(edges.select("src", "dst").filter("src <> dst").distinct())
-    pivot = degrees(arcs, nodes).orderBy(F.desc("degree"), "id").limit(1).select("id")
-    ahead, behind = reach(arcs, pivot), reach(arcs.selectExpr("dst src", "src dst"), pivot)
-    weak = connected_components(arcs)
-    home = weak.join(pivot, weak["node"] == pivot["id"]).select("component")
-    same = weak.join(home, "component", "left_semi").select(F.col("node").alias("id"), F.lit(True).alias("near"))
+    strong = checkpoint(strong_components(arcs, nodes, largest_only=True))
+    giant = lambda rows, key: rows.groupBy(key).agg(F.count("*").alias("k")).orderBy(F.desc("k"), key).limit(1).select(key)
+    core = checkpoint(strong.join(giant(strong, "component"), "component", "left_semi").select("id"))
+    ahead, behind = reach(arcs, core), reach(arcs.selectExpr("dst src", "src dst"), core)
+    weak = checkpoint(connected_components(arcs))
+    same = weak.join(giant(weak, "component"), "component", "left_semi").select(F.col("node").alias("id"))
     flag = lambda df, name: df.select("id", F.lit(True).alias(name))
-    all_nodes = nodes.select("id").join(flag(ahead, "f"), "id", "left").join(flag(behind, "b"), "id", "left").join(same, "id", "left")
-    part = F.when(F.col("f") & F.col("b"), "core").when(F.col("b"), "in").when(F.col("f"), "out").when(F.col("near"), "tendril").otherwise("apart")
+    all_nodes = nodes.select("id").join(flag(core, "c"), "id", "left").join(flag(ahead, "f"), "id", "left").join(flag(behind, "b"), "id", "left").join(flag(same, "near"), "id", "left")
+    part = F.when(F.col("c"), "core").when(F.col("b"), "in").when(F.col("f"), "out").when(F.col("near"), "tendril").otherwise("apart")
     return all_nodes.select("id", part.alias("part"))
 
 
-def label_moves(edges: DataFrame, nodes: DataFrame, weight: str | None = None, levels: int | None = 2, rounds: int | None = 3, seed: int = 0, least: float = 1e-6) -> DataFrame:
+def adjacency(edges: DataFrame) -> DataFrame:
+    """(id, out, into): the sorted distinct neighbours of every node that has an edge, along and against the edges. A hub's list is one row."""
+    ahead = edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_set("dst")).alias("out"))
+    back = edges.groupBy(F.col("dst").alias("id")).agg(F.sort_array(F.collect_set("src")).alias("into"))
+    none = F.expr("filter(array(id), x -> false)")
+    return ahead.join(back, "id", "full").select("id", F.coalesce("out", none).alias("out"), F.coalesce("into", none).alias("into"))
+
+
+def mean_path(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(giant, mean_path): the exact mean distance of all pairs in the largest component of the undirected graph, 0 for one node. Each node is a source, so for small graphs."""
+    from graphtrust.operators.components import connected_components
+
+    parts = checkpoint(connected_components(edges))
+    giant = parts.groupBy("component").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "component").limit(1)
+    inside = checkpoint(parts.join(giant, "component", "left_semi").select(F.col("node").alias("id")))
+    far = bfs(edges, inside).filter("distance > 0")
+    return far.agg(F.coalesce(F.avg("distance"), F.lit(0.0)).alias("mean_path")).crossJoin(inside.agg(F.count("*").alias("giant"))).select("giant", "mean_path")  # one row each
+
+
+def label_moves(edges: DataFrame, nodes: DataFrame, weight: str | None = None, levels: int | None = 2, rounds: int | None = 3, seed: int = 0, least: float = 1e-6, local_links: int = LOCAL_LINKS) -> DataFrame:
     """(id, community): Louvain by simultaneous local moves and contraction.
 
+    Where levels and rounds are None, a graph (given, or contracted by earlier levels) of at most local_links links is finished
+    by one task, which moves one node after the other until nothing is gained, level by level.
+
     In a round, half of the nodes (by a hash that changes with round and seed) move to the neighbouring community of largest
     modularity gain; communities are contracted between levels. Community names are their least node; deterministic. rounds None: a level
     goes on until its last four rounds gained less than `least` modularity, and keeps the best round's state. levels None: until a level gains
@@ -174,6 +263,11 @@ def label_moves(edges: DataFrame, nodes: DataFrame, weight: str | None = None, l
 
     reached = None
     for _ in range(levels) if levels is not None else count():
+        if levels is None and rounds is None and links.count() <= local_links:
+            kind = dict(links.dtypes)["a"]
+            found = links.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda pdf: _moved_in_turn(pdf, seed, least), f"u {kind}, name {kind}")  # at most local_links rows
+            found = checkpoint(found)
+            return place.join(found, place["community"] == found["u"], "left").select("id", F.coalesce("name", "community").alias("community"))
         both = checkpoint(links.selectExpr("a u", "b v", "w").unionByName(links.filter("a <> b").selectExpr("b u", "a v", "w")))
         degree = both.groupBy("u").agg(F.sum(F.when(F.col("u") == F.col("v"), 2 * F.col("w")).otherwise(F.col("w"))).alias("k"))
         state = checkpoint(degree.select("u", F.col("u").alias("c"), "k"))
@@ -182,11 +276,16 @@ def label_moves(edges: DataFrame, nodes: DataFrame, weight: str | None = None, l
         for r in range(rounds) if rounds is not None else count():
             tot = state.groupBy("c").agg(F.sum("k").alias("tot"))
             to = both.filter("u <> v").join(state.selectExpr("u v", "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("in"))
+            stay = state.select("u", "c", F.lit(0.0).alias("in"))  # the own community counts, linked or not
+            to = to.unionByName(stay).groupBy("u", "c").agg(F.sum("in").alias("in"))
             held = state.selectExpr("u", "c own", "k")
             gain = to.join(tot, "c").join(held, "u").withColumn("gain", F.col("in") - F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / (2 * total))
-            best = gain.groupBy("u").agg(F.max(F.struct("gain", (-F.col("c")).alias("minus"))).alias("best"))
+            best = gain.groupBy("u").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "c")).alias("best"))  # of equal gains the least name
             moves = F.pmod(F.xxhash64("u", F.lit(r + 1000 * seed)), F.lit(2)) == 0
-            state = spill(state.join(best, "u", "left").select("u", F.when(moves & F.col("best").isNotNull(), -F.col("best")["minus"]).otherwise(F.col("c")).alias("c"), "k"), "moves")  # a checkpoint keeps its plan's constraints, which double with each round
+            was = state
+            state = spill(state.join(best, "u").select("u", F.when(moves, F.col("best")["c"]).otherwise(F.col("c")).alias("c"), "k"), "moves")  # a checkpoint keeps its plan's constraints, which double with each round
+            if r and was is not best_state:
+                drop_folder(was)
             if rounds is None:
                 value = quality(both, state)
                 if value > best_value + least:
@@ -209,18 +308,69 @@ def label_moves(edges: DataFrame, nodes: DataFrame, weight: str | None = None, l
     return place
 
 
+def _moved_in_turn(links: pd.DataFrame, seed: int, least: float) -> pd.DataFrame:
+    """(u, name): the community of each end of links (a, b, w), by the least of its nodes. Nodes move in an order drawn by the seed, again and again, and communities are contracted."""
+    names, ends = np.unique(np.concatenate([links["a"].to_numpy(), links["b"].to_numpy()]), return_inverse=True)
+    a, b, w = ends[: len(links)], ends[len(links) :], links["w"].to_numpy(float)
+    member, total, rng = np.arange(len(names)), w.sum(), np.random.default_rng([seed, 7])
+    while True:
+        n = int(max(a.max(), b.max())) + 1
+        src, dst, weight = np.concatenate([a, b[a != b]]), np.concatenate([b, a[a != b]]), np.concatenate([w, w[a != b]])
+        order = np.argsort(src, kind="stable")
+        dst, weight = dst[order].tolist(), weight[order].tolist()
+        starts = np.searchsorted(src[order], np.arange(n + 1)).tolist()
+        degree = (np.bincount(a, w, n) + np.bincount(b, w, n)).tolist()
+        own, volume, gained = list(range(n)), list(degree), 0.0
+        while True:
+            gain = 0.0
+            for u in rng.permutation(n).tolist():
+                c, k, near = own[u], degree[u], {}
+                for p in range(starts[u], starts[u + 1]):
+                    v = dst[p]
+                    if v != u:
+                        near[own[v]] = near.get(own[v], 0.0) + weight[p]
+                volume[c] -= k
+                stay = near.get(c, 0.0) - k * volume[c] / (2 * total)
+                best, value = c, stay
+                for d, x in near.items():
+                    x -= k * volume[d] / (2 * total)
+                    if x > value + 1e-12 or (d < best and abs(x - value) <= 1e-12 and best != c):
+                        best, value = d, x
+                volume[best] += k
+                own[u] = best
+                gain += (value - stay) / total
+            gained += gain
+            if gain < least:
+                break
+        if gained < least:
+            break
+        _, named = np.unique(own, return_inverse=True)
+        member = named[member]
+        lo, hi = np.minimum(named[a], named[b]), np.maximum(named[a], named[b])
+        pairs, at = np.unique(lo * np.int64(n) + hi, return_inverse=True)
+        a, b, w = pairs // n, pairs % n, np.bincount(at, w)
+    first = np.unique(member, return_index=True)[1]  # names are in order, so the first is the least
+    return pd.DataFrame({"u": names, "name": names[first[np.unique(member, return_inverse=True)[1]]]})
+
+
 def betweenness(edges: DataFrame, nodes: DataFrame, sources: int, seed: int = 42, block: int = 16) -> DataFrame:
     """(id, betweenness) on the directed graph, from `sources` seeded source nodes scaled to all: Brandes by blocks of sources.
 
-    The adjacency is sent to every worker, so it is for graphs that fit in one; `sources` of all nodes gives exact values.
+    The adjacency is sent to every worker, so it is for graphs that fit in one: ValueError above MOST_ARCS arcs. `sources` of all
+    nodes gives exact values.
     """
+    size = edges.select("src", "dst").distinct().count()
+    if size > MOST_ARCS:
+        raise ValueError(f"{size} arcs are above the {MOST_ARCS} that every worker may hold")
     ids = np.array(sorted(r["id"] for r in nodes.select("id").collect()))
     arcs = edges.filter("src <> dst").select("src", "dst").distinct().toPandas()
     a, b = np.searchsorted(ids, arcs["src"].to_numpy()), np.searchsorted(ids, arcs["dst"].to_numpy())
     n, scale = len(ids), len(ids) / max(1, min(sources, len(ids)))
+    held = edges.sparkSession.sparkContext.broadcast((ids, a, b))  # sent once to each worker, MOST_ARCS at most
     chosen = nodes.select("id").orderBy(draw("id", seed), "id").limit(sources).withColumn("block", F.floor(F.monotonically_increasing_id() / block))
 
     def solve(key, pdf):
+        ids, a, b = held.value
         total = np.zeros(n)
         for s in np.searchsorted(ids, pdf["id"].to_numpy()):
             dist, paths = np.full(n, -1), np.zeros(n)
@@ -244,22 +394,77 @@ def betweenness(edges: DataFrame, nodes: DataFrame, sources: int, seed: int = 42
     return parts.groupBy("id").agg((F.sum("part") * scale).alias("betweenness"))
 
 
-def power_law_fit(degree_counts: list[tuple[int, int]], least_tail: int = 50) -> tuple[float, int, float]:
-    """(exponent, xmin, KS distance) by discrete maximum likelihood, xmin by least distance, from (degree, count) pairs."""
-    held = sorted((k, c) for k, c in degree_counts if k > 0)
-    best = (float("nan"), 0, float("inf"))
+def _zeta(alpha: float, start: int) -> float:
+    """The sum of k ** -alpha from `start` on: some terms, then Euler-Maclaurin."""
+    k = np.arange(start, start + 20, dtype=float)
+    x = start + 20.0
+    return float((k**-alpha).sum() + x ** (1 - alpha) / (alpha - 1) + x**-alpha / 2 + alpha * x ** (-alpha - 1) / 12 - alpha * (alpha + 1) * (alpha + 2) * x ** (-alpha - 3) / 720)
+
+
+def _largest(value, low: float, high: float, steps: int = 80) -> float:
+    """Where a function of one peak is largest, by golden sections."""
+    ratio = (5**0.5 - 1) / 2
+    a, b = high - ratio * (high - low), low + ratio * (high - low)
+    fa, fb = value(a), value(b)
+    for _ in range(steps):
+        if fa > fb:
+            high, b, fb = b, a, fa
+            a = high - ratio * (high - low)
+            fa = value(a)
+        else:
+            low, a, fa = a, b, fb
+            b = low + ratio * (high - low)
+            fb = value(b)
+    return (low + high) / 2
+
+
+def power_law_fit(degree_counts: list[tuple[int, int]], least_tail: int = 50) -> dict:
+    """alpha, xmin, ks of a discrete power law by maximum likelihood, xmin by least Kolmogorov-Smirnov distance, from (degree, count) pairs.
+
+    Also tail (how many degrees are xmin or more) and a comparison with a discrete log-normal on the same tail: ratio
+    (the sum of log-likelihood differences, over their deviation; positive for the power law) and p (two-sided). Works on the
+    distinct degrees only. NaN where no tail has least_tail degrees and two distinct ones.
+    """
+    held = sorted((int(k), int(c)) for k, c in degree_counts if k > 0)
+    best = {"alpha": float("nan"), "xmin": 0, "ks": float("inf"), "tail": 0, "ratio": float("nan"), "p": float("nan")}
     for i, (xmin, _) in enumerate(held):
         x, c = np.array([k for k, _ in held[i:]], float), np.array([c for _, c in held[i:]], float)
         if c.sum() < least_tail or len(x) < 2:
             break
-        alpha = 1 + c.sum() / (c * np.log(x / (xmin - 0.5))).sum()
-        model = 1 - ((x + 0.5) / (xmin - 0.5)) ** (1 - alpha)
-        ks = float(np.abs(np.cumsum(c) / c.sum() - model).max())
-        if ks < best[2]:
-            best = (float(alpha), int(xmin), ks)
+        logs = float((c * np.log(x)).sum())
+        alpha = _largest(lambda a: -a * logs - c.sum() * np.log(_zeta(a, xmin)), 1.01, 8.0)  # noqa: B023
+        above = np.array([_zeta(alpha, int(k) + 1) for k in x]) / _zeta(alpha, xmin)
+        ks = float(np.abs(np.cumsum(c) / c.sum() - (1 - above)).max())
+        if ks < best["ks"]:
+            best |= {"alpha": float(alpha), "xmin": xmin, "ks": ks, "tail": int(c.sum())}
+    if best["tail"]:
+        x, c = (np.array(v, float) for v in zip(*[(k, n) for k, n in held if k >= best["xmin"]], strict=True))
+        power = -best["alpha"] * np.log(x) - np.log(_zeta(best["alpha"], best["xmin"]))
+        normal = _log_normal(x, c, best["xmin"])
+        gap = power - normal
+        mean = float((c * gap).sum() / c.sum())
+        spread = float(np.sqrt((c * (gap - mean) ** 2).sum() / c.sum()) * np.sqrt(c.sum()))
+        best["ratio"] = mean * float(c.sum()) / spread if spread > 0 else 0.0
+        best["p"] = erfc(abs(best["ratio"]) / 2**0.5)
     return best
 
 
+def _log_normal(x: np.ndarray, c: np.ndarray, xmin: int) -> np.ndarray:
+    """Log-probabilities of a discrete log-normal from xmin on, fitted by maximum likelihood: mu for each sigma, and sigma."""
+    tail = lambda z: erfc(z / 2**0.5) / 2
+
+    def logs(mu: float, sigma: float) -> np.ndarray:
+        z = [(np.log(k - 0.5) - mu) / sigma for k in x], [(np.log(k + 0.5) - mu) / sigma for k in x]
+        mass = np.array([tail(a) - tail(b) if a > 0 else tail(-b) - tail(-a) for a, b in zip(*z, strict=True)])
+        return np.log(np.maximum(mass, 1e-300)) - np.log(max(tail((np.log(xmin - 0.5) - mu) / sigma), 1e-300))
+
+    value = lambda mu, sigma: float((c * logs(mu, sigma)).sum())
+    top = float(np.log(x).max())
+    mu_of = lambda sigma: _largest(lambda mu: value(mu, sigma), -10 * sigma, top + 1, 40)
+    sigma = float(np.exp(_largest(lambda t: value(mu_of(np.exp(t)), np.exp(t)), np.log(0.05), np.log(10.0), 40)))
+    return logs(mu_of(sigma), sigma)
+
+
 def configuration_pairs(edges: DataFrame, seed: int) -> DataFrame:
     """(a, b): a random simple graph with about the degrees of the undirected graph: stubs paired in a reproducible random order, loops and repeats dropped."""
     pairs = undirected(edges)
@@ -271,8 +476,8 @@ def configuration_pairs(edges: DataFrame, seed: int) -> DataFrame:
     return couples.filter("k = 2 and a <> b").select("a", "b").distinct()
 
 
-def random_pairs(n: int, p: float, seed: int, spark) -> DataFrame:
-    """(a, b), a < b: an Erdos-Renyi graph on 0..n-1, each row skipping geometrically over the pairs it lacks."""
+def random_pairs(n: int, p: float, seed: int, spark, directed: bool = False) -> DataFrame:
+    """(a, b): an Erdos-Renyi graph on 0..n-1, a < b unless directed (then a <> b), each row skipping geometrically over the pairs it lacks."""
     odds = float(np.log1p(-min(max(p, 1e-12), 1 - 1e-12)))
 
     def draw_rows(batches):
@@ -280,12 +485,35 @@ def random_pairs(n: int, p: float, seed: int, spark) -> DataFrame:
             rows = []
             for a in pdf["id"]:
                 rng = np.random.default_rng([seed, int(a)])
-                b = int(a)
+                b = -1 if directed else int(a)
                 while True:
                     b += 1 + int(np.log1p(-rng.random()) / odds)
                     if b >= n:
                         break
-                    rows.append((a, b))
+                    if b != a:
+                        rows.append((a, b))
             yield pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
 
     return spark.range(n).mapInPandas(draw_rows, "a long, b long")
+
+
+def closed_triads(edges: DataFrame) -> DataFrame:
+    """(mutual, single, n): triangles by how many of their links go both ways and how many one."""
+    arcs = edges.filter("src <> dst").select("src", "dst").distinct()
+    kinds = checkpoint(arcs.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg((F.count("*") == 2).cast("int").alias("k")))
+    ends = kinds.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    da, db = ends.selectExpr("id a", "degree da"), ends.selectExpr("id b", "degree db")
+    low = F.struct("da", "a") < F.struct("db", "b")  # wedges stand at their end of lesser degree, so hubs don't blow up
+    aimed = checkpoint(kinds.join(da, "a").join(db, "b").select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("v"), "k"))
+    wedges = aimed.selectExpr("u", "v v1", "k k1").join(aimed.selectExpr("u", "v v2", "k k2"), "u").filter("v1 < v2")
+    closed = wedges.join(kinds.selectExpr("a v1", "b v2", "k k3"), ["v1", "v2"]).withColumn("mutual", F.col("k1") + F.col("k2") + F.col("k3"))
+    return closed.groupBy("mutual", (3 - F.col("mutual")).alias("single")).agg(F.count("*").alias("n"))
+
+
+def growth(edges: DataFrame, years: DataFrame) -> DataFrame:
+    """(year, n_nodes, nodes_so_far, links_so_far) from nodes (id, year); an undirected link counts from its later end's year on. Sums run over years only."""
+    later = undirected(edges).join(years.selectExpr("id a", "year ya"), "a").join(years.selectExpr("id b", "year yb"), "b")
+    links = later.groupBy(F.greatest("ya", "yb").alias("year")).agg(F.count("*").alias("l"))
+    so_far = Window.orderBy("year")
+    rows = years.groupBy("year").agg(F.count("*").alias("n_nodes")).join(links, "year", "left")
+    return rows.select("year", "n_nodes", F.sum("n_nodes").over(so_far).alias("nodes_so_far"), F.sum(F.coalesce("l", F.lit(0))).over(so_far).alias("links_so_far"))

@@ -43,12 +43,19 @@ def sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return df.orderBy(draw(key, seed), key).limit(max(0, n))
 
 
+def ranked_within(df: DataFrame, group: str, *order: Column | str) -> DataFrame:
+    """df with `place`, from 1, of each row in its group in a total order, and `group_size`: by one range sort, so no task holds a group."""
+    rows = prefix_sums(df, F.lit(1), group, *order)
+    sizes = rows.groupBy(F.col(group).alias("_group")).agg(F.min("before").alias("_start"), F.count("*").alias("group_size"))
+    rows = rows.join(sizes, F.col(group).eqNullSafe(F.col("_group")))
+    return rows.withColumn("place", F.col("before") - F.col("_start") + 1).drop("_group", "_start", "before")
+
+
 def quota_sample(df: DataFrame, key: str, group: str, quotas: dict[str, int], seed: int) -> DataFrame:
     """Up to each group's quota of rows, then one row for each key (of the first group by name)."""
     limit = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
-    n = F.row_number().over(Window.partitionBy(group).orderBy(draw(key, seed), key))
-    some = df.filter(F.col(group).isin(*quotas)).withColumn("_n", n).filter(F.col("_n") <= limit[F.col(group)]).drop("_n")
-    return keep_first(some, key, F.col(group))
+    some = ranked_within(df.filter(F.col(group).isin(*quotas)), group, draw(key, seed), key).filter(F.col("place") <= limit[F.col(group)])
+    return keep_first(some.drop("place", "group_size"), key, F.col(group))
 
 
 def exclusive_groups(pools: list[tuple[str, DataFrame, int, int]], key: str) -> DataFrame:
@@ -62,13 +69,21 @@ def exclusive_groups(pools: list[tuple[str, DataFrame, int, int]], key: str) ->
 
 def stratified_split(df: DataFrame, key: str, label: str, seed: int, parts: tuple[tuple[str, float], ...]) -> DataFrame:
     """A part for each row, in these shares of each label."""
-    n = F.row_number().over(Window.partitionBy(label).orderBy(draw(key, seed), key))
-    share = (n - 1) / F.count("*").over(Window.partitionBy(label))
+    rows = ranked_within(df, label, draw(key, seed), key)
+    share = (F.col("place") - 1) / F.col("group_size")
     at, when = 0.0, None
     for name, size in parts:
         at += size
         when = F.when(share < at, name) if when is None else when.when(share < at, name)
-    return df.withColumn("part", when.otherwise(parts[-1][0]))
+    return rows.withColumn("part", when.otherwise(parts[-1][0])).drop("place", "group_size")
+
+
+def stratified_cap(df: DataFrame, key: str, label: str, most: int, seed: int) -> DataFrame:
+    """About `most` rows, each label in its share (rounded, at least one)."""
+    rows = ranked_within(df, label, draw(key, seed), key)
+    total = df.agg(F.count("*").alias("_total"))
+    cap = F.greatest(F.lit(1), F.floor(F.col("group_size") * most / F.col("_total") + 0.5))
+    return rows.crossJoin(F.broadcast(total)).filter(F.col("place") <= cap).drop("place", "group_size", "_total")  # one row
 
 
 def chunks(df: DataFrame, order: str, size_col: str, most_rows: int, most_bytes: int) -> DataFrame:

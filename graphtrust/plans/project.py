@@ -21,10 +21,14 @@ def edge_id(src: Column, dst: Column) -> Column:
     return F.sha1(F.concat_ws("->", src.cast("string"), dst.cast("string")).cast("binary"))
 
 
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst), distinct: for what needs no edge ids."""
+    return raw_edges(spark, sf_dir).distinct()
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(edge_id, src, dst), distinct."""
-    pairs = raw_edges(spark, sf_dir).distinct()
-    return pairs.select(edge_id(F.col("src"), F.col("dst")).alias("edge_id"), "src", "dst")
+    return pairs(spark, sf_dir).select(edge_id(F.col("src"), F.col("dst")).alias("edge_id"), "src", "dst")
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +41,7 @@ def semantics(edge_table: DataFrame) -> DataFrame:
     code = F.pmod(F.col("src") * 7 + F.col("dst") * 13, F.lit(10)).cast("int")
     labelled = edge_table.withColumn("k", code).filter(F.col("k") < len(INTENTS))
     intent = F.element_at(F.array(*[F.lit(x) for x in INTENTS]), F.col("k") + 1)
-    return labelled.select("edge_id", "src", "dst", intent.alias("intent"), intent_weight(intent).alias("weight"), (F.pmod("src", F.lit(31)) / F.lit(30.0)).alias("confidence"))
+    return labelled.select(*edge_table.columns, intent.alias("intent"), intent_weight(intent).alias("weight"), (F.pmod("src", F.lit(31)) / F.lit(30.0)).alias("confidence"))
 
 
 #: The same views as SQL for the oracle.

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Folders that spill() wrote in this process and that still stand, in order.
 _written: list[str] = []
@@ -37,6 +37,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def observed(df: DataFrame, *aggregates: Column) -> tuple[DataFrame, dict]:
+    """checkpoint(df), and aggregates of its rows taken as they are written, so that no further job reads them."""
+    watch = Observation()
+    out = checkpoint(df.observe(watch, *aggregates))
+    return out, watch.get
+
+
 def spill(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of a large table by writing it as Parquet to the shared folder and rereading it.
 

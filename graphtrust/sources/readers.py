@@ -72,3 +72,83 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return df
+
+
+def paper_stats(rows: DataFrame) -> DataFrame:
+    """(n_nodes, n_references, without_references, mean_out_degree) of raw records (id, references)."""
+    from graphtrust.functions.stats import fixed
+
+    k = F.coalesce(F.size(F.col("references")), F.lit(0))
+    k = F.when(k < 0, 0).otherwise(k).cast("long")
+    return rows.agg(F.count("*").alias("n_nodes"), F.coalesce(F.sum(k), F.lit(0)).alias("n_references"), F.count_if(k == 0).alias("without_references"), fixed(F.coalesce(F.avg(k), F.lit(0.0))).alias("mean_out_degree"))
+
+
+def papers_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """A second pass over records: those in ids (id), with the references among them only. References go through a join, so ids may be many."""
+    keys = ids.select(F.col("id").cast("string").alias("id")).distinct()
+    kept = rows.withColumn("id", F.col("id").cast("string")).join(keys, "id", "left_semi")
+    refs = kept.select("id", F.posexplode(F.col("references").cast("array<string>")).alias("at", "ref")).join(keys.withColumnRenamed("id", "ref"), "ref", "left_semi")
+    lists = refs.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "ref"))).alias("r"))
+    none = F.array().cast("array<string>")
+    return kept.drop("references").join(lists, "id", "left").select(*[c for c in rows.columns if c != "references"], F.coalesce(F.col("r.ref"), none).alias("references"))
+
+
+def row_count(spark: SparkSession, path: str) -> int:
+    """Rows of a Parquet folder; only footers are read."""
+    return spark.read.parquet(path).count()
+
+
+def label_checkpoint(spark: SparkSession, path: str) -> DataFrame:
+    """(text1, text2, label, source, target) from one array of the early label files."""
+    return spark.read.schema("text1 string, text2 string, label int, source string, target string").option("multiLine", True).json(path)
+
+
+def edge_ids(spark: SparkSession, files: list[str] = (), folders: list[str] = ()) -> DataFrame:
+    """(edge_id), distinct, of label files, each of which must be there, and of shard folders, which may be missing."""
+    from pyspark.errors import AnalysisException
+
+    out = spark.createDataFrame([], "edge_id string")
+    for path in files:
+        out = out.unionByName(spark.read.parquet(path).select(F.col("edge_id").cast("string")))
+    for folder in folders:
+        try:
+            out = out.unionByName(shards(spark, folder).select(F.col("edge_id").cast("string")))
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+    return out.filter("edge_id is not null").distinct()
+
+
+def partial_semantics(spark: SparkSession, folders: list[str] = (), files: list[str] = ()) -> DataFrame:
+    """(edge_id, label, weight, confidence, source): student shards of the folders in order, then teacher label files in order; of an edge_id the first stands."""
+    from pyspark.errors import AnalysisException
+
+    from graphtrust.functions.labels import intent_weight
+    from graphtrust.operators.ranking import keep_first
+
+    schema = "edge_id string, label string, weight double, confidence double, source string, _k int"
+    out, k = spark.createDataFrame([], schema), 0
+    for folder in folders:
+        try:
+            rows = shards(spark, folder)
+            out = out.unionByName(rows.selectExpr("edge_id", "predicted_label label", "semantic_weight weight", "label_confidence confidence", "source_path source", f"{k} _k"))
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+        k += 1
+    for path in files:
+        rows = teacher_labels(spark, path, k)
+        out = out.unionByName(rows.select("edge_id", "label", intent_weight(F.col("label")).alias("weight"), "confidence", "source", F.lit(k).alias("_k")))
+        k += 1
+    return keep_first(out, "edge_id", F.col("_k"), F.col("source")).drop("_k")
+
+
+def teacher_labels(spark: SparkSession, path: str, priority: int = 10_000) -> DataFrame:
+    """(edge_id, label, weight, confidence, model_version, source, priority) of a teacher's label file; ValueError where edge_id or label are missing columns."""
+    from graphtrust.functions.labels import intent_weight
+
+    rows = require(spark.read.parquet(path), "edge_id", "label")
+    confidence = F.col("confidence").cast("double") if "confidence" in rows.columns else F.lit(None).cast("double")
+    return rows.select(
+        "edge_id", "label", intent_weight(F.col("label")).alias("weight"), confidence.alias("confidence"), F.lit("teacher").alias("model_version"), F.lit(path).alias("source"), F.lit(priority).alias("priority"),
+    )

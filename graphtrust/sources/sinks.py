@@ -39,9 +39,9 @@ def resume(df: DataFrame, folder: str, key: str, fn: Callable[[DataFrame], DataF
     return commits
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    """One CSV file with a header, for tables of communities or less."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_report(df: DataFrame, path: str, head: int | None = None) -> None:
+    """One CSV file with a header, for tables of communities or less; head: the first rows only, in df's order."""
+    (df if head is None else df.limit(head)).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
@@ -123,3 +123,22 @@ def package(spark: SparkSession, folders: Sequence[str], target: str, expected:
         manifest = {"package": target, "files": records, "missing": [e for e in expected if e not in held]}
         put("manifest.json", json.dumps(manifest, indent=2, sort_keys=True).encode())
     return manifest
+
+
+def write_request_chunks(rows: DataFrame, folder: str, order: str, value: str, most_rows: int, most_bytes: int) -> DataFrame:
+    """JSON lines in a folder for each chunk, below most_rows lines and most_bytes bytes, line feeds included; gives (chunk, requests, bytes).
+
+    rows: (order, value), value a JSON document. A line beyond most_bytes has a chunk of its own.
+    """
+    from graphtrust.operators.ranking import chunks
+
+    sized = rows.select(order, value, (F.octet_length(value) + 1).cast("long").alias("_bytes"))
+    held = sized.join(chunks(sized, order, "_bytes", most_rows, most_bytes).select(order, "chunk"), order)
+    held.select("chunk", F.col(value).alias("value")).repartition("chunk").write.mode("overwrite").partitionBy("chunk").text(folder)
+    return held.groupBy("chunk").agg(F.count("*").alias("requests"), F.sum("_bytes").alias("bytes"))
+
+
+def append_progress(spark: SparkSession, record: dict, folder: str) -> None:
+    """One line of JSON with the time in UTC, appended to a folder of such lines, as training goes on."""
+    now = spark.sql("SELECT date_format(to_utc_timestamp(current_timestamp(), current_timezone()), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")").first()[0]
+    spark.createDataFrame([(json.dumps({"time": now} | record, sort_keys=True),)], "value string").coalesce(1).write.mode("append").text(folder)
