@@ -194,7 +194,8 @@ def similar_links(distinct: DataFrame, radius: int) -> DataFrame:
     packed = dealt.groupBy("block", "low", "high").applyInPandas(pack, "block int, low int, high int, fps binary, firsts binary")
     packed = spill(packed, "blocks")
     pairs = packed.select("block", "fps", "firsts", F.explode(F.sequence("low", "high")).alias("meets"))
-    n_pairs = sum(high - low + 1 for _, _, _, low, high in plan) * max(n for _, _, n, _, _ in plan)  # at least as many as there are
+    meets = {first + k: high - low + 1 for _, first, n, low, high in plan for k in range(n)}
+    n_pairs = (sum(meets.values()) + len(meets)) // 2
     pairs = pairs.select(F.least("block", "meets").alias("lo"), F.greatest("block", "meets").alias("hi"), "block", "fps", "firsts").repartition(min(n_pairs, MOST_TASKS), "lo", "hi")
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
