@@ -109,8 +109,9 @@ def cut(start: int, length: int) -> list[tuple[int, int, int, int]]:
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece; only the last sequence has padding.
 
-    Each document ends with END_ID, so a null or empty text has one token. Rows of one id are separate documents; other
-    columns are ignored; an empty table gives no rows.
+    Each document ends with END_ID, so a null or empty text has one token. Rows of one id, or without one, are separate documents. A very
+    long text is encoded whole and cut into as many pieces as it takes. There are no ties: documents follow one another as
+    they are read and written. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("tokens", T.BinaryType()), T.StructField("before", T.LongType())])
 

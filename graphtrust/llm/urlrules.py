@@ -125,7 +125,8 @@ def judge(pages: DataFrame, url_col: str = "url", id_col: str = "page_id", rules
     """(id, host, path, rule, verdict) of each row. The rule that fits with the longest name wins (ties: the first given).
 
     A null URL, or one without ://, has an empty host and path, fits no rule and is allowed unless a glob matches the
-    empty text. Repeated rows are judged each; other columns are ignored; an empty table gives no rows.
+    empty text. Repeated rows and null ids are judged each. A very long URL is stepped through whole, alone after the
+    others of its batch have ended. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     ranked = sorted(rules, key=lambda r: -len(r.name))
     auto = build([g for r in ranked for g in r.globs()] + list(blocked))

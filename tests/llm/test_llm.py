@@ -313,6 +313,11 @@ def test_op7_automaton_equals_globs(spark):
     assert rows[1]["rule"] == "example.com/en/7" and rows[1]["verdict"] == "allow" and rows[1]["host"] == "a.example.com"
     assert rows[2]["host"] == rows[3]["path"] == "" and rows[2]["verdict"] == "allow" and rows[4]["rule"] is None and rows[5]["rule"] is None
     assert rows[6]["rule"] == "com/en/" and rows[6]["verdict"] == "block" and rows[7]["verdict"] == "block"
+    odd = [(1, "x://com/en/a"), (1, "x://com/en/a"), (None, "x://com/en/a"), (2, ""), (3, "x://a.net/de/" + "b" * 500_000)]
+    df = spark.createDataFrame([(*r, 7, "h", "p", "r", "v") for r in odd], "page_id long, url string, id int, host string, path string, rule string, verdict string")
+    got = collections.Counter((r["id"], r["rule"], r["verdict"], len(r["path"])) for r in urlrules.judge(df).collect())
+    assert got == {(1, "com/en/", "block", 5): 2, (None, "com/en/", "block", 5): 1, (2, None, "allow", 0): 1, (3, "net/de/", "allow", 500_004): 1}
+    assert urlrules.judge(df.limit(0)).count() == 0
 
 
 def test_op8_targets_and_copies(docs, odd):
@@ -510,6 +515,31 @@ def test_scratch_removes_folders(spark, docs):
     assert not any(Path(p.removeprefix("file:")).exists() for p in held[-1:])
 
 
+def test_very_long_texts(spark):
+    """A text of two million characters, and one word of a million, through every operator."""
+    long = " ".join(f"w{k % 5000} number {k}" for k in range(110_000)) + " mail me@mail.example.com or 10.1.2.3. All rights reserved"
+    word = "x" * 1_000_000 + "1"
+    rows = [(1, long, "a", 1, 7, 7), (2, word, "b", 1, 7, 7), (3, long, "a", 1, 7, 7), (4, "short one", None, 1, 7, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int, id int, row int").cache()
+    of = lambda df: {r["id"]: r for r in df.collect()}
+    classes = of(simhash.near_duplicate_classes(docs))
+    assert {i: r["component_id"] for i, r in classes.items()} == {1: 1, 2: 2, 3: 1, 4: 4}
+    assert classes[1]["fp"] == simhash.fingerprint(np.unique(simhash.shingle_hashes(long.encode(), 5)), 4).hex()
+    found = of(pii.detect(docs, field=pii.fit_field([])))
+    assert [(r["n_email"], r["n_ip"]) for r in (found[1], found[2])] == [(1, 1), (0, 0)]
+    labels = of(licences.license_labels(docs))
+    assert labels[1]["n_words"] == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", long)) and labels[1]["base_labels"] == "reserved" and labels[2]["n_words"] == 1
+    assert set(of(quality.score(docs))) == {1, 2, 3, 4}
+    pieces = [r for r in packing.pack(docs).collect() if r["id"] == 1]
+    assert sum(r["length"] for r in pieces) == pieces[0]["doc_tokens"] > 300_000
+    sizes = of(mixing.mix(docs))
+    assert sizes[1]["size"] == len(long.split()) and sizes[2]["size"] == 1
+    media = of(mpeg.digests(mpeg.encode_audio(docs)))
+    assert media[1]["payload_sha256"] == media[3]["payload_sha256"] == hashlib.sha256(mpeg.padded(long.encode())).hexdigest()
+    kept = of(substrings.dedup_substrings(docs))
+    assert kept[1]["text"] == long and kept[2]["text"] == word and kept[3]["text"] == "" and kept[4]["text"] == "short one"
+
+
 def clashing(spark, rows):
     """Documents with columns of the names that operators use themselves."""
     names = ("id", "size", "copies", "copy", "row", "kept", "fp", "target", "source_size", "taken")
