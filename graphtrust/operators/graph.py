@@ -25,7 +25,7 @@ LOCAL_LINKS = 2_000_000
 def pageranks(edges: DataFrame, nodes: DataFrame, weights: dict[str, str | None], alpha: float = 0.85, rounds: int = 100, tol: float = 1e-6, stop: str = "n_tol") -> DataFrame:
     """(id, one column for each name in weights) by power iteration, dangling mass spread evenly; a weight of None counts each edge once.
 
-    All variants go in the same rounds over one written table of shares, partitioned by its source; each stops for itself.
+    All variants go in the same rounds over one table of shares, partitioned by its source once; each stops for itself.
     stop: n_tol (L1 change below nodes * tol), l1 (below tol) or fixed (all rounds). Repeated edges count once, with their
     largest weight. Null ends have no effect; no nodes: no rows.
     """
@@ -37,10 +37,11 @@ def pageranks(edges: DataFrame, nodes: DataFrame, weights: dict[str, str | None]
     total = checkpoint(total)
     shares = [F.coalesce(F.try_divide(f, t), F.lit(0.0)).alias(f) for f, t in zip(flows, totals, strict=True)]
     parts = max(1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    share = checkpoint(arcs.join(total, "src").select("src", "dst", *shares).repartition(parts, "src"))
     n = nodes.count()
     if not n:
         return nodes.select("id", *[F.lit(0.0).alias(c) for c in names])
+    # kept by source, so that no round shuffles them; partitions that are lost with an executor are made again from the checkpoint
+    share = checkpoint(arcs.join(total, "src").select("src", "dst", *shares)).repartition(parts, "src").sortWithinPartitions("src").persist()
     dry = [(F.coalesce(t, F.lit(0.0)) <= 0).alias(f"_dry{k}") for k, t in enumerate(totals)]
     ranks = [f"_r{k}" for k in range(len(names))]
     state = nodes.select("id").join(total.withColumnRenamed("src", "id"), "id", "left").select("id", *[F.lit(1.0 / n).alias(r) for r in ranks], *dry)
@@ -59,9 +60,9 @@ def pageranks(edges: DataFrame, nodes: DataFrame, weights: dict[str, str | None]
             live = {k for k in live if seen[f"error{k}"] >= (n * tol if stop == "n_tol" else tol)}
             if not live:
                 break
-    else:
-        if stop != "fixed":
-            raise RuntimeError("the ranks have not converged")
+    share.unpersist()
+    if live and stop != "fixed":
+        raise RuntimeError("the ranks have not converged")
     return state.select("id", *[F.col(r).alias(c) for r, c in zip(ranks, names, strict=True)])
 
 

@@ -21,14 +21,24 @@ def keep_first(df: DataFrame, key: str, *order: Column) -> DataFrame:
     return df.withColumn("_n", n).filter("_n = 1").drop("_n")
 
 
-def prefix_sums(df: DataFrame, weight: Column, *order: Column | str) -> DataFrame:
-    """df with `before`: the weights of all rows ahead of a row in a total order. Ranges are sorted by many tasks, and their totals (a row for each) summed."""
-    rows = spill(df.withColumn("_w", weight).orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+def prefix_sums_of(df: DataFrame, weights: dict[str, Column], *order: Column | str) -> DataFrame:
+    """df with a column for each of weights (name: weight): the sum over all rows ahead of a row in a total order.
+
+    Ranges are sorted by many tasks, and their totals (a row for each) summed.
+    """
+    own = {name: f"_w{k}" for k, name in enumerate(weights)}
+    rows = spill(df.withColumns({own[name]: w for name, w in weights.items()}).orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
     rows = rows.withColumn("_range", F.shiftright("_at", 33))
-    totals = rows.groupBy("_range").agg(F.sum("_w").alias("_total"))
-    ahead = totals.select("_range", (F.sum("_total").over(Window.orderBy("_range")) - F.col("_total")).alias("_ahead"))
-    inside = F.coalesce(F.sum("_w").over(Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("_inside", inside).join(F.broadcast(ahead), "_range").withColumn("before", F.col("_ahead") + F.col("_inside")).drop("_w", "_at", "_range", "_ahead", "_inside")
+    totals = rows.groupBy("_range").agg(*[F.sum(c).alias(c) for c in own.values()])
+    ahead = totals.select("_range", *[(F.sum(c).over(Window.orderBy("_range")) - F.col(c)).alias(f"_ahead{c}") for c in own.values()])
+    inside = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"_inside{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in own.values()}).join(F.broadcast(ahead), "_range")
+    return rows.select(*df.columns, *[(F.col(f"_ahead{c}") + F.col(f"_inside{c}")).alias(name) for name, c in own.items()])
+
+
+def prefix_sums(df: DataFrame, weight: Column, *order: Column | str) -> DataFrame:
+    """df with `before`, as prefix_sums_of."""
+    return prefix_sums_of(df, {"before": weight}, *order)
 
 
 def ranks(df: DataFrame, value: str, name: str) -> DataFrame:

@@ -70,6 +70,12 @@ def test_student(spark):
     model = T.fit_student(rows, rounds=10)
     got = T.infer(model, spark.createDataFrame([(t,) for t in words.values()] + [(None,)], "text string")).collect()
     assert [r["student_label"] for r in got[:3]] == list(words) and all(0 < r["student_confidence"] <= 1 for r in got)
+    judged = T.infer(model, rows.filter("label <> 'unknown'"))
+    assert 0.9 < T.macro_f1(judged, "label", "student_label") <= 1
+    best, decay, score = T.fit_best(rows, rows.filter("label <> 'unknown'"), decays=(10.0, 1e-3), rounds=10)
+    assert decay == 10.0 and score > 0.9  # both judge alike, so the first stands
+    long = spark.createDataFrame([("word " * 300 + "tool",), (None,)], "text string").select(T.bounded("text", 256).alias("t")).collect()
+    assert [len(r["t"].split()) for r in long] == [256, 0]
     with pytest.raises(ValueError):
         T.fit_student(rows, least=21)
     with pytest.raises(ValueError):
