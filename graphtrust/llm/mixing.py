@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphtrust.operators.ranking import prefix_sums, prefix_sums_of
+
 #: The weights that the sources take in turn; the share of all words that is mixed; the most copies of a document.
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Sub-buckets of a size class; the offset's seed.
@@ -27,23 +29,18 @@ def targets(sizes: DataFrame) -> DataFrame:
 
     Sources by code point, null last, take WEIGHTS in turn. With the total T to share, each gets min(MOST * size, level * weight),
     where the level makes the sum T: the fixed point of resharing what is above a cap. The level is that of the first
-    source, by cap / weight, whose cap isn't reached.
+    source, by cap / weight, whose cap isn't reached. Sums run over ranges of sources, so there may be many.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(WEIGHTS))) + 1).cast("int"))
-    every = Window.partitionBy()
-    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    rows = (
-        sizes.withColumn("weight", weight).withColumn("cap", MOST * F.col("source_size"))
-        .withColumn("left", SHARE * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("level", F.col("left") / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-        .withColumn("free", F.col("level") * F.col("weight") <= F.col("cap"))
-    )
-    level = F.min(F.when(F.col("free"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(every)["level"]
-    return rows.withColumn("at", level).select(
-        "source", "source_size", F.coalesce(F.least("cap", F.col("at") * F.col("weight")), F.col("cap")).alias("target")
-    )
+    last = F.col("source").asc_nulls_last()
+    ranked = prefix_sums(sizes, F.lit(1), last)
+    weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (F.pmod("before", F.lit(len(WEIGHTS))) + 1).cast("int"))
+    rows = ranked.select("source", "source_size", weight.alias("weight"), (MOST * F.col("source_size")).alias("cap"))
+    rows = prefix_sums_of(rows, {"caps": F.col("cap"), "weights": F.col("weight")}, F.col("cap") / F.col("weight"), last)
+    whole = rows.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"))
+    rows = rows.crossJoin(F.broadcast(whole)).withColumn("level", (SHARE * F.col("all_size") - F.col("caps")) / (F.col("all_weight") - F.col("weights")))  # one row
+    free = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct((F.col("cap") / F.col("weight")).alias("at"), F.col("level").alias("level"))))
+    rows = rows.crossJoin(F.broadcast(rows.agg(free.alias("first"))))  # one row
+    return rows.select("source", "source_size", F.coalesce(F.least("cap", F.col("first.level") * F.col("weight")), F.col("cap")).alias("target"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
