@@ -23,6 +23,7 @@ from graphtrust.operators import student as T
 from graphtrust.operators.components import connected_components
 from graphtrust.plans import project as P
 from graphtrust.runtime import checkpoint, spill, table
+from graphtrust.sources.batches import Prices
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -395,14 +396,18 @@ def shallow_share(spark, sf):
 
 
 @query("""
-    , shards AS (SELECT edge_id, intent, 1 AS priority FROM semantics UNION ALL SELECT edge_id, 'Support', 2 FROM semantics WHERE confidence < 0.5 UNION ALL SELECT edge_id, 'Method', 10000 FROM semantics WHERE confidence > 0.9)
-    SELECT edge_id, intent, priority FROM (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY priority DESC) AS n FROM shards) WHERE n = 1""")
+    , shards AS (SELECT edge_id, intent, 1 AS priority, 'a' AS source, src AS pos FROM semantics UNION ALL SELECT edge_id, 'Support', 1, 'b', dst FROM semantics WHERE src % 3 = 0 UNION ALL SELECT edge_id, 'Method', 1, 'b', dst + 1 FROM semantics WHERE src % 6 = 0
+        UNION ALL SELECT edge_id, 'Support', 2, 'a', 0 FROM semantics WHERE confidence < 0.5 UNION ALL SELECT edge_id, 'Method', 10000, 'teacher', 0 FROM semantics WHERE confidence > 0.9)
+    SELECT edge_id, intent, priority, source, pos FROM (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY priority DESC, source DESC, pos DESC) AS n FROM shards) WHERE n = 1""")
 def priority_dedup(spark, sf):
+    """Of the labels of an edge the one of largest priority, then the last source, then the last place."""
     s = P.semantics(P.edges(spark, sf))
-    shards = s.select("edge_id", "intent", F.lit(1).alias("priority"))
-    shards = shards.unionByName(s.filter("confidence < 0.5").select("edge_id", F.lit("Support").alias("intent"), F.lit(2).alias("priority")))
-    shards = shards.unionByName(s.filter("confidence > 0.9").select("edge_id", F.lit("Method").alias("intent"), F.lit(10000).alias("priority")))
-    return R.keep_first(shards, "edge_id", F.desc("priority"))
+    shard = lambda where, intent, priority, source, pos: s.filter(where).select("edge_id", intent.alias("intent"), F.lit(priority).alias("priority"), F.lit(source).alias("source"), F.expr(pos).cast("long").alias("pos"))
+    named = [("true", F.col("intent"), 1, "a", "src"), ("src % 3 = 0", F.lit("Support"), 1, "b", "dst"), ("src % 6 = 0", F.lit("Method"), 1, "b", "dst + 1"), ("confidence < 0.5", F.lit("Support"), 2, "a", "0"), ("confidence > 0.9", F.lit("Method"), 10000, "teacher", "0")]
+    shards = None
+    for one in named:
+        shards = shard(*one) if shards is None else shards.unionByName(shard(*one))
+    return R.keep_first(shards, "edge_id", F.desc("priority"), F.desc("source"), F.desc("pos"))
 
 
 #: Replies of a labelling service, well and badly formed, for event_id % 13.
@@ -525,10 +530,12 @@ def pair_text(spark, sf):
     return d.select("doc_id", text.clipped(F.col("source"), F.col("text")).alias("clipped"), text.pair_text(F.col("source"), F.col("text")).alias("pair_text"))
 
 
-@query(f"SELECT role, count(*) AS requests, sum(length(text))::BIGINT AS chars, {r6('sum(length(text)) / 4.0::DOUBLE * 0.15 / 1000000')} AS cost, sum(length(text)) / 4.0::DOUBLE * 0.15 / 1000000 > 100 AS over_cap FROM conversations GROUP BY 1", views=False)
+@query(f"SELECT role, count(*) AS requests, sum(length(text))::BIGINT AS chars, {r6('count(*) * (1500 * 0.20::DOUBLE + 30 * 0.80::DOUBLE) / 1000000')} AS cost, count(*) * (1500 * 0.20::DOUBLE + 30 * 0.80::DOUBLE) / 1000000 > 0.08::DOUBLE AS over_cap FROM conversations GROUP BY 1", views=False)
 def cost_estimate(spark, sf):
-    cost = F.sum(F.length("text")) / 4.0 * 0.15 / 1000000
-    return table(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("requests"), F.sum(F.length("text")).alias("chars"), fixed(cost).alias("cost"), (cost > 100).alias("over_cap"))
+    """What requests cost by tokens and prices of either way, and whether that is above a cap."""
+    prices = Prices(1500, 30, 0.20, 0.80)
+    n = F.count("*")
+    return table(spark, sf, "conversations").groupBy("role").agg(n.alias("requests"), F.sum(F.length("text")).alias("chars"), fixed(prices.cost(n)).alias("cost"), (prices.cost(n) > 0.08).alias("over_cap"))
 
 
 @query("""

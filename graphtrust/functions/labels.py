@@ -18,6 +18,11 @@ def intent_weight(label: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in zip(INTENTS, WEIGHTS, strict=True) for x in pair]), label)
 
 
+def name_of(number: Column, names: tuple[str, ...] = INTENTS) -> Column:
+    """The name of a class number, from 0; null where there is none."""
+    return F.try_element_at(F.array(*[F.lit(n) for n in names]), (number + 1).cast("int"))
+
+
 def is_shallow(label: Column) -> Column:
     return F.coalesce(label.isin(*SHALLOW), F.lit(False))
 

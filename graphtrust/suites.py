@@ -221,6 +221,20 @@ def type_guard(spark, sf):
     return table(spark, sf, "events").select("event_id", text.positive_number(v).alias("positive"))
 
 
+@query(f"SELECT edge_id, coalesce(a.title, '') AS citing_title, coalesce(a.domain, '') AS citing_abstract, coalesce(b.title, '') AS cited_title, coalesce(b.domain, '') AS cited_abstract FROM ({_draw_sql('SELECT edge_id FROM edges', 500, 3)}) JOIN edges USING (edge_id) LEFT JOIN nodes a ON a.id = src AND a.id % 5 <> 0 LEFT JOIN nodes b ON b.id = dst AND b.id % 5 <> 0")
+def edge_texts(spark, sf):
+    """Titles and abstracts of both ends of sampled edges, empty where unknown."""
+    known = papers(spark, sf).filter("id % 5 <> 0")
+    return X.with_texts(R.sample(P.edges(spark, sf), "edge_id", 500, 3), known).drop("src", "dst")
+
+
+@query("SELECT event_id, CASE event_id % 8 " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(_OLD_NAMES)) + " END AS label FROM events WHERE event_id % 8 < 6 OR event_id % 3 = 0", views=False)
+def class_names(spark, sf):
+    """Class numbers as names; numbers without one are null."""
+    rows = table(spark, sf, "events").filter("event_id % 8 < 6 or event_id % 3 = 0")
+    return rows.select("event_id", L.name_of(F.pmod("event_id", F.lit(8))).alias("label"))
+
+
 # ---- ingest
 
 
@@ -282,6 +296,12 @@ def metadata_of_nodes(spark, sf):
     return P.nodes(spark, sf).join(wanted, "id", "left_semi").select("id", "title", "domain")
 
 
+@query(_DEGREES + "SELECT id, i AS in_degree FROM deg ORDER BY i DESC, id LIMIT 200")
+def most_cited(spark, sf):
+    """The seeds of a snowball sample."""
+    return E.degrees(P.pairs(spark, sf), P.nodes(spark, sf)).orderBy(F.desc("in_degree"), "id").limit(200).select("id", "in_degree")
+
+
 # ---- graph tables
 
 
@@ -313,9 +333,6 @@ def degree_ccdf(spark, sf):
     return counts.select("degree", "n", fixed(above / F.sum("n").over(Window.partitionBy())).alias("ccdf"))
 
 
-_HEX = "(CASE WHEN dx * dx + 3.0::DOUBLE * dy * dy <= 0.25::DOUBLE * ((dx2 * dx2) + 3.0::DOUBLE * dy2 * dy2) * 4.0::DOUBLE THEN 0 ELSE 1 END)"
-
-
 @query(_DEGREES + f""", xy AS (SELECT ln(1 + o) / 0.25::DOUBLE AS x, ln(1 + i) / (0.25::DOUBLE * sqrt(3.0::DOUBLE)) AS y FROM deg
 ), cells AS (SELECT x, y, floor(x + 0.5::DOUBLE) AS x1, floor(y + 0.5::DOUBLE) AS y1, floor(x) AS x2, floor(y) AS y2 FROM xy
 ), near AS (SELECT *, (x - x1) * (x - x1) + 3.0::DOUBLE * (y - y1) * (y - y1) <= (x - x2 - 0.5::DOUBLE) * (x - x2 - 0.5::DOUBLE) + 3.0::DOUBLE * (y - y2 - 0.5::DOUBLE) * (y - y2 - 0.5::DOUBLE) AS first FROM cells)
@@ -323,10 +340,10 @@ _HEX = "(CASE WHEN dx * dx + 3.0::DOUBLE * dy * dy <= 0.25::DOUBLE * ((dx2 * dx2
 def degree_hexbin(spark, sf):
     """Nodes by hexagonal cells of the logarithms of out- and in-degree: of two shifted grids, the nearer centre."""
     d = E.degrees(P.pairs(spark, sf), P.nodes(spark, sf))
-    return stats_hexbin(d, F.log(1 + F.col("out_degree")), F.log(1 + F.col("in_degree")), 0.25)
+    return hexbin(d, F.log(1 + F.col("out_degree")), F.log(1 + F.col("in_degree")), 0.25)
 
 
-def stats_hexbin(rows: DataFrame, x, y, width: float) -> DataFrame:
+def hexbin(rows: DataFrame, x, y, width: float) -> DataFrame:
     """(cell_x, cell_y, n): rows by hexagons of this width; cells are named by their centres, in units of a hexagon."""
     xy = rows.select((x / width).alias("x"), (y / (width * 3**0.5)).alias("y"))
     one = (F.floor(F.col("x") + 0.5).cast("double"), F.floor(F.col("y") + 0.5).cast("double"))
