@@ -25,73 +25,40 @@ from graphtrust.runtime import spill
 
 #: Tokens of a sequence; the id that ends a document; the tokenizer's file and the same vocabulary as ranks.
 WINDOW, END_ID, TOKENIZER, RANKS = 2048, 1, "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
-#: Pieces of text whose ids a Python worker remembers; it starts anew when they are full.
-CACHE_PIECES = 300_000
 #: Texts whose ids are handed on together.
 STEP_ROWS = 100
+#: White space but for the space and the line feed.
+_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+_PAIRS = ("  ", "\n\n", " \n", "\n ", "<|")
 
 
-class _Inner(Exception):
-    """A piece holds white space inside."""
-
-
-class _Pieces(dict):
-    """Ids of pieces, made at first sight."""
-
-    def __init__(self, encoding):
-        super().__init__()
-        self.encode = encoding.encode_ordinary
-
-    def __missing__(self, piece: str) -> bytes:
-        if piece != "\n" and any(map(str.isspace, piece[piece[0] == " " :])):
-            raise _Inner
-        ids = np.array(self.encode(piece), "<u2").tobytes()
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        if len(piece) < 64:
-            self[piece] = ids
-        return ids
-
-
-class PieceEncoder:
+class PlainEncoder:
     """Ids of a text as little-endian 16-bit numbers, equal to the tokenizers library's.
 
-    A text falls into pieces at places where no pre-token can cross: before a single space between two characters that
-    aren't white space, and around a single line feed likewise. A piece's ids are remembered, or made by the same
-    vocabulary's ranks. Texts with other white space or a special token's string go to the tokenizers library whole.
+    Texts whose white space is single spaces and line feeds between words are encoded by the same vocabulary's ranks and
+    pattern; texts with other white space or a special token's beginning go to the tokenizers library, which is slower.
     """
 
     def __init__(self, tokenizer: str = TOKENIZER, ranks: str = RANKS):
         self.whole = Tokenizer.from_file(public_tokenizers.path(tokenizer))
         with open(public_tokenizers.path(ranks), "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.pieces = _Pieces(tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}))
+        self.plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        parts: list[str] = []
-        for n, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            if "" in words or "<|" in line:
-                return self.all(text)
-            if n:
-                parts.append("\n")
-            parts.append(words[0])
-            parts += [" " + w for w in words[1:]]
-        try:
-            return b"".join(map(self.pieces.__getitem__, parts))
-        except _Inner:
-            return self.all(text)
-
-    def all(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        if not text:
+            return b""
+        if text[0] in " \n" or text[-1] in " \n" or any(p in text for p in _PAIRS) or any(c in text for c in _SPACES):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return np.array(self.plain.encode_ordinary(text), "<u2").tobytes()
 
 
-_encoder: list[PieceEncoder] = []
+_encoder: list[PlainEncoder] = []
 
 
-def encoder() -> PieceEncoder:
+def encoder() -> PlainEncoder:
     if not _encoder:
-        _encoder.append(PieceEncoder())
+        _encoder.append(PlainEncoder())
     return _encoder[0]
 
 
