@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphtrust.operators.ranking import prefix_sums, prefix_sums_of
+from graphtrust.runtime import spill
 
 #: The weights that the sources take in turn; the share of all words that is mixed; the most copies of a document.
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
@@ -57,7 +58,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     size_class = F.when(digits <= 4, F.col("size")).otherwise((digits * 8).cast("long") + F.floor(F.col("size") / F.pow(F.lit(2.0), digits - 4)) % 8)
     rows = rows.withColumn("class", size_class.cast("int")).withColumn("deal", F.pmod(F.coalesce("id", F.lit(0)), F.lit(DEALS)).cast("int"))
     key = ["source", "class", "deal"]
-    buckets = rows.groupBy(*key).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    buckets = spill(rows.groupBy(*key).agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix-buckets")  # so that texts are read for it once
     sources = targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")))
     ahead = Window.partitionBy("source").orderBy("class", "deal").rowsBetween(Window.unboundedPreceding, -1)
     prefix = buckets.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n", "words")
