@@ -285,7 +285,7 @@ def test_op6_ids_and_offsets(spark, docs, odd):
     whole, pieces = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder()
     rng = random.Random(1)
     texts = [r["text"] for r in docs.collect()] + ["<|endoftext|> a", "a\u00a0b c", "tab\there", "it's  two", "\n\n", "x\n y", "don't\nstop 12,3", ""]
-    texts += ["".join(rng.choice("ab 'sé\n\t1.,!") for _ in range(40)) for _ in range(500)]
+    texts += ["".join(rng.choice("ab 'sé\n\t1.,!\u00a0\u2028中ñ_-<|") for _ in range(rng.randrange(40))) for _ in range(3000)]
     for t in texts:
         assert list(np.frombuffer(pieces(t), "<u2")) == whole.encode(t, add_special_tokens=False).ids, repr(t)
     for table in (docs, odd):
