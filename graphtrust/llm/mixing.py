@@ -44,6 +44,12 @@ def targets(sizes: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", F.coalesce(F.least("cap", F.col("first.level") * F.col("weight")), F.col("cap")).alias("target"))
 
 
+def _size_class(size: Column) -> Column:
+    """Sizes below 16 are classes of their own; larger ones share one with those of their power of two and eighth."""
+    digits = F.length(F.bin(size))
+    return F.when(digits <= 4, size).otherwise((digits * 8).cast("long") + F.floor(size / F.pow(F.lit(2.0), digits - 4)) % 8).cast("int")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, size, source_size, target, copies, taken) of each row of docs; reruns agree.
 
@@ -51,12 +57,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows are neighbours in it. Ties in size go by id. A very long text counts whole, as one document. No words at all: targets
     of 0. `keep` names columns of docs to carry along, in a struct `kept`, so no name can clash. An empty table: no rows.
     """
-    size = word_count(F.col(text_col))
+    # the array holds the count, so that it is made once a row however often the class asks for it
+    measured = F.transform(F.array(word_count(F.col(text_col))), lambda n: F.struct(n.alias("size"), _size_class(n).alias("class")))[0].alias("m")
     kept = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *kept)
-    digits = F.length(F.bin("size"))
-    size_class = F.when(digits <= 4, F.col("size")).otherwise((digits * 8).cast("long") + F.floor(F.col("size") / F.pow(F.lit(2.0), digits - 4)) % 8)
-    rows = rows.withColumn("class", size_class.cast("int")).withColumn("deal", F.pmod(F.coalesce("id", F.lit(0)), F.lit(DEALS)).cast("int"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), measured, *kept)
+    rows = rows.select("id", "source", "m.size", "m.class", *(["kept"] if keep else []), F.pmod(F.coalesce("id", F.lit(0)), F.lit(DEALS)).cast("int").alias("deal"))
     key = ["source", "class", "deal"]
     buckets = spill(rows.groupBy(*key).agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix-buckets")  # so that texts are read for it once
     sources = targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")))
