@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -70,6 +70,16 @@ def drop_folder(spilled: DataFrame) -> None:
     _delete(spilled.sparkSession, spilled._spilled_to)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """spill() of what make gives; all else that was written on the way, and that only its plan read, is deleted."""
+    before = len(_written)
+    out = spill(make(), name)
+    for path in _written[before:]:
+        if path != out._spilled_to:
+            _delete(out.sparkSession, path)
+    return out
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end all that spill() wrote inside: put it around a query and what is done with its rows."""
