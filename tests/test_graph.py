@@ -1,6 +1,5 @@
 """The worked micro-graph, degenerate inputs, and a sample of the queries against their SQL."""
 
-import duckdb
 import pytest
 
 from graphtrust import catalog
