@@ -47,9 +47,9 @@ def weighted(spark, sf: str) -> DataFrame:
 
 
 def weighted_pairs(spark, sf: str) -> DataFrame:
-    """weighted without edge ids: joined by both ends, so that no digest is made or moved."""
+    """weighted without edge ids, joined by both ends, so that no digest is made or moved; written, as ranks and scores read it several times."""
     e = P.pairs(spark, sf)
-    return E.weighted_edges(e, P.semantics(e), ["src", "dst"])
+    return spill(E.weighted_edges(e, P.semantics(e), ["src", "dst"]), "weighted-pairs")
 
 
 def r6(x: str) -> str:
