@@ -66,6 +66,71 @@ def test_op1_forest_keeps_links_between_blocks():
     assert [r[0] for r in plan] == [20, 30, 33, 50] and plan[1][2] > 1 and plan[1][4] >= plan[2][1]
 
 
+def test_near_copies_by_shared_shingles_equal_all_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(5000)}"
+    notice = [word() for _ in range(60)]
+    texts = []
+    for k in range(300):
+        base = [word() for _ in range(rng.choice((8, 30, 120, 400)))]
+        body = base + (notice if k % 3 else [])  # two of three share 60 words or more
+        texts.append(" ".join(body))
+        for _ in range(rng.randrange(3)):
+            near = list(body)
+            near[rng.randrange(len(near))] = word()
+            texts.append(" ".join(near))
+    rows = [(i, t) for i, t in enumerate(texts + texts[:40] + [""] * 3)] + [(None, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(str, simhash.near_duplicate_classes(docs).collect()))
+    assert 300 < len(set(want)) and len({r.split("component_id=")[1] for r in want}) < len(texts)
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 500)
+    for most in (simhash.BLOCK_ROWS, 50):  # at 50 the notice's shingles are no bucket's
+        monkeypatch.setattr(simhash, "BLOCK_ROWS", most)
+        assert sorted(map(str, simhash.near_duplicate_classes(docs, sketch=simhash.SKETCH).collect())) == want
+    assert simhash.near_duplicate_classes(docs.limit(0), sketch=simhash.SKETCH).collect() == []
+
+
+def test_near_copies_links_of_groups_and_what_sketches_leave_out():
+    rng = np.random.default_rng(7)
+    fps = rng.integers(0, 2**63, (400, 4), dtype=np.uint64)
+    fps[200:] = fps[:200] ^ np.uint64(5)
+    for keys in (np.arange(400) % 200, np.arange(400) % 2, np.zeros(400), np.arange(400) % 8):
+        forest = simhash.shared_links(keys.astype(np.uint64), fps, 64)
+        assert {tuple(sorted(x)) for x in forest.tolist()} == {(k, k + 200) for k in range(200)}
+    assert not len(simhash.shared_links(np.arange(400).astype(np.uint64), fps, 64))  # no shingle is shared, so none is compared
+    for _ in range(50):
+        pool = np.sort(rng.choice(2**40, 90, replace=False)).astype(np.uint64)
+        pair = [np.sort(rng.choice(pool, rng.integers(1, 65), replace=False)) for _ in range(2)]
+        frequent = np.sort(rng.choice(pool, 30, replace=False))
+        owner, left = simhash.prefixes([x.astype("<u8").tobytes() for x in pair], frequent, rng.integers(4, 90, 30))
+        assert [int((owner == k).sum()) for k in (0, 1)] == [len(x) - len(x) // simhash.SHARED for x in pair]
+        if len(np.intersect1d(*pair)) > max(len(x) // simhash.SHARED for x in pair):
+            assert len(np.intersect1d(left[owner == 0], left[owner == 1]))
+
+
+def test_near_copies_work_follows_the_rows():
+    rng = random.Random(9)
+    notice = " ".join(f"n{k}" for k in range(8))  # four shingles in every text
+    sketches = []
+    for _ in range(2000):
+        text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(150)) + f" {notice}"
+        sketches.append(np.unique(simhash.shingle_hashes(text.encode(), 5))[: simhash.SKETCH])
+    hashes, counts = np.unique(np.concatenate(sketches), return_counts=True)
+    often = counts > 3
+    _, left = simhash.prefixes([x.astype("<u8").tobytes() for x in sketches], hashes[often], counts[often])
+    met = np.unique(left, return_counts=True)[1].astype(np.int64)
+    assert (met * (met - 1) // 2).sum() < len(sketches)  # two million pairs in all
+
+
+def test_near_copies_short_texts_meet_none_by_chance(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    # two shingles set a quarter of the bits, so half of such texts were linked to the empty text, and all of these one class
+    texts = [""] + [" ".join(f"t{k}x{j}" for j in range(6)) for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.near_duplicate_classes(docs).select("component_id").distinct().count() < len(texts)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()) == list(range(len(texts)))
+
+
 def test_op2_equals_brute_force(spark):
     rng = random.Random(3)
     vectors = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(400)] + [(500, None), (501, [None] * 8), (502, [float("nan")] * 8), (600, [0.5] * 8), (601, [0.5] * 8), (700, [1.0]), (None, [1.0] * 8)]
