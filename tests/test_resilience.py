@@ -8,6 +8,8 @@ import xml.dom.minidom
 import numpy as np
 import pytest
 from graphtrust.functions import stats
+from graphtrust.operators import components as K
+from graphtrust.operators import graph as G
 from graphtrust.operators import ranking as R
 from graphtrust.operators import resilience as C
 from graphtrust.sources import batches, readers, sinks
@@ -83,6 +85,31 @@ def test_attack_curve_equals_plain_removal(graph):
     assert C.attack_curve(e.limit(0), nodes.limit(0), {s: o.limit(0) for s, o in orders.items()}, steps=2).count() == 6
 
 
+def test_searches_hold_a_row_for_each_node(graph):
+    """However many start, one row a node and level; the graphs of several keys aren't copied."""
+    links, e, nodes = graph
+    pairs = sorted({(min(p), max(p)) for p in links if p[0] != p[1]})
+    _, near = components(pairs, range(42))
+    arcs = K.linked(e)
+    assert sorted(map(tuple, arcs.select("src", "dst").collect())) == sorted({p for a, b in pairs for p in ((a, b), (b, a))})
+    reached = {}
+    for d, rows, _ in G.waves(arcs, dict(enumerate(range(40)))):
+        held = rows.collect()
+        assert len(held) == len({r["id"] for r in held}) <= 40
+        reached |= {(b, r["id"]): d for r in held for b in range(40) if r["f0"] >> b & 1}
+    assert reached == {(s, i): d for s in range(40) for i, d in hops(near, s, set(range(42))).items() if d}
+    spark = e.sparkSession
+    marked = [(a, b, (a + b) % 4) for a, b in pairs]  # kind: a bit for each of two graphs
+    got = C.health(spark.createDataFrame(marked, "a long, b long, kind int"), nodes, {5: 1, 9: 2}, 50).collect()
+    for r in got:
+        own = [(a, b) for a, b, kind in marked if kind & {5: 1, 9: 2}[r["key"]]]
+        parts, near = components(own, range(42))
+        largest = max(map(len, parts))
+        first = min((p for p in parts if len(p) == largest), key=min)
+        far = [x for i in first for x in hops(near, i, first).values() if x]
+        assert (r["n_pairs"], r["components"], r["giant"]) == (len(own), len(parts), largest) and r["mean_path"] == pytest.approx(np.mean(far), abs=1e-6)
+
+
 def test_ranks_and_medians(spark):
     values = [3, 1, 3, 2, 3, 1, None]
     rows = spark.createDataFrame([(k, v) for k, v in enumerate(values[:-1])], "id long, v long")
