@@ -222,3 +222,30 @@ def test_ranks_within_groups_need_no_task_for_a_group(spark):
     for r in got:
         mine = sorted((x["k"] for x in got if x["g"] == r["g"]), reverse=True)
         assert r["place"] == mine.index(r["k"]) + 1 and r["group_size"] == len(mine)
+
+
+def test_paths_between_in_tables_equal_those_of_workers(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    e = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 30, (70, 2))], "src long, dst long")
+    held = {r["id"]: r["betweenness"] for r in G.betweenness(e, spark.range(32), 20).collect()}
+    monkeypatch.setattr(G, "MOST_ARCS", 3)
+    got = {r["id"]: r["betweenness"] for r in G.betweenness(e, spark.range(32), 20, tables=True).collect()}
+    assert got == pytest.approx(held) and len(got) == 32 and max(held.values()) > 0
+
+
+def test_communities_by_component_stay_inside(spark):
+    """A graph above local_links whose components aren't: no rounds, and no community reaches beyond a component."""
+    rng = np.random.default_rng(2)
+    one = [(int(a), int(b)) for a, b in rng.integers(0, 20, (60, 2))]
+    e = spark.createDataFrame([(a + 100 * k, b + 100 * k) for k in range(3) for a, b in one], "src long, dst long")
+    part = G.label_moves(e, e.selectExpr("src id").union(e.selectExpr("dst id")).distinct(), levels=None, rounds=None, local_links=100)
+    rows = part.collect()
+    assert all(r["community"] // 100 == r["id"] // 100 for r in rows) and len({r["id"] for r in rows}) == len(rows)
+    assert G.modularity(e, part).first()[0] > 0.6
+
+
+def test_mean_clustering_is_that_of_all_nodes(spark):
+    rng = np.random.default_rng(3)
+    e = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 30, (90, 2))], "src long, dst long")
+    want = G.local_clustering(e, spark.range(35)).agg(F.sum("degree"), F.avg("clustering")).first()
+    assert G.mean_clustering(e, 35) == (want[0] // 2, pytest.approx(want[1]))
