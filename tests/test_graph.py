@@ -1,5 +1,6 @@
 """The worked micro-graph, degenerate inputs, and a sample of the queries against their SQL."""
 
+import numpy as np
 import pytest
 
 from graphtrust import catalog
