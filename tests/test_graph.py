@@ -250,3 +250,14 @@ def test_mean_clustering_is_that_of_all_nodes(spark):
     e = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 30, (90, 2))], "src long, dst long")
     want = G.local_clustering(e, spark.range(35)).agg(F.sum("degree"), F.avg("clustering")).first()
     assert G.mean_clustering(e, 35) == (want[0] // 2, pytest.approx(want[1]))
+
+
+def test_first_and_quota_rows_are_those_of_a_full_sort(spark):
+    rows = spark.createDataFrame([(k, "ab"[k % 3 == 0]) for k in range(400)], "k long, g string")
+    code = R.draw("k", 5)
+    every = [r["k"] for r in rows.orderBy(code, "k").collect()]
+    for n in (0, 1, 37, 400, 500):
+        assert sorted(r["k"] for r in R.first_by(rows, code, ("k",), n).collect()) == sorted(every[:n])
+    some = R.quota_sample(rows, "k", "g", {"a": 30, "b": 20}, 5)
+    assert sorted(r["k"] for r in some.collect()) == sorted([k for k in every if k % 3][:30] + [k for k in every if k % 3 == 0][:20])
+    assert "Window" not in R.quota_sample(rows, "k", "g", {"a": 30, "b": 20}, 5)._jdf.queryExecution().optimizedPlan().toString().split("GlobalLimit")[-1]
